@@ -172,14 +172,14 @@ FROM daily d LEFT JOIN quality q USING (subject_id, date)
 LEFT JOIN (SELECT subject_id, CAST(logged_at AS DATE) AS date, arg_max(overall_vas, logged_at) AS overall_vas
   FROM condition_logs GROUP BY subject_id, CAST(logged_at AS DATE)) c USING (subject_id, date)
 LEFT JOIN (SELECT subject_id, date, quantile_cont(steps, 0.5) {cal(60, True)} AS median_steps FROM daily) b USING (subject_id, date)
-LEFT JOIN (SELECT subject_id, date, round_even(avg(steps) {cal(6, True)}, 2) AS avg_steps FROM daily) w USING (subject_id, date)""",
+LEFT JOIN (SELECT subject_id, date, avg(steps) {cal(6, True)} AS avg_steps FROM daily) w USING (subject_id, date)""",
 )
 def _(v):
     tables = {
         "quality": v.quality,
         "condition": op.latest_log_per_day(v.condition_logs).select("subject_id", "date", "overall_vas", "tags"),
         "baselines": agg.baseline_medians(v.daily, ["steps"]).select("subject_id", "date", "median_steps"),
-        "week": agg.weekly_avg(v.daily, ["steps"]).select("subject_id", "date", "avg_steps"),
+        "week": agg.weekly_avg(v.daily, ["steps"], digits=None).select("subject_id", "date", "avg_steps"),
     }
     out = op.daily_context(v.daily, tables)
     return out.select(

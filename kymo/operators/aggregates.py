@@ -173,14 +173,16 @@ def weekly_avg(
     sleep: str = "sleep_duration_min",
     keys: Keys = SUBJECT,
     days: int = 7,
+    digits: int | None = 2,
 ) -> DataFrame:
-    """Trailing-week means, 2 decimals; sleep is in hours and skips zeros."""
+    """Trailing-week means, rounded half-even; sleep is in hours and skips zeros."""
     w = calendar_frame(keys, days - 1, include_today=True)
     made = {}
     for c in cols:
         value = F.nullif(dbl(c), F.lit(0.0)) / 60.0 if c == sleep else dbl(c)
         name = "avg_sleep_hours" if c == sleep else f"avg_{c}"
-        made[name] = F.bround(F.avg(value).over(w), 2)
+        mean = F.avg(value).over(w)
+        made[name] = mean if digits is None else F.bround(mean, digits)
     return df.withColumns({"week_days": F.count(F.lit(1)).over(w), **made})
 
 
