@@ -268,11 +268,12 @@ def _(v):
     + _VRI
     + ", a AS ("
     + " UNION ALL ".join(f"SELECT subject_id, date, '{n}' AS metric, {i} AS i, round_even(abs(z_{n}), 3) AS x FROM s WHERE z_{n} IS NOT NULL" for i, n in enumerate(_DIR) if n != "sri")
-    + ") SELECT subject_id, date, string_agg(metric, ',' ORDER BY x DESC, i) AS metrics, CAST(count(*) AS INT) AS n FROM a GROUP BY subject_id, date",
+    + "), g AS (SELECT subject_id, date, string_agg(metric, ',' ORDER BY x DESC, i) AS metrics, count(*) AS n FROM a GROUP BY subject_id, date) "
+    + "SELECT s.subject_id, s.date, coalesce(g.metrics, '') AS metrics, CAST(coalesce(g.n, 0) AS INT) AS n FROM s LEFT JOIN g USING (subject_id, date)",
 )
 def _(v):
     stored = baselines.vri(v.daily, None, v.quality).drop("contributing_factors")
-    out = baselines.vri_factors(stored).where(F.size("contributing_factors") > 0)
+    out = baselines.vri_factors(stored)
     names = F.transform("contributing_factors", lambda f: f.metric)
     return out.select(*ON, F.concat_ws(",", names).alias("metrics"), F.size("contributing_factors").alias("n"))
 

@@ -1 +1,317 @@
+"""Queries over feature preparation, models, detection and evaluation."""
 
+from functools import lru_cache
+
+from pyspark.sql import functions as F
+
+from kymo.catalog.composites import ON, ln
+from kymo.catalog.registry import DAYNO, cal, query, r
+from kymo.core import calendar_frame
+from kymo.operators.ranking import sort_by_size
+from kymo.plans import boosting, detect, evaluation as ev, features, forest, linear, prepare
+
+PREP = ["resting_hr", "hrv_daily_rmssd", "steps", "spo2_avg"]
+
+
+@query(
+    "impute_median",
+    "WITH s AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in PREP) + " FROM daily) SELECT subject_id, date, "
+    + ", ".join(f"{r(f'coalesce(CAST({c} AS DOUBLE), m_{c}, 0.0e0)')} AS {c}" for c in PREP) + " FROM daily, s",
+)
+def _(v):
+    return prepare.impute_median(v.daily.select(*ON, *PREP), PREP)
+
+
+@query(
+    "winsorize",
+    "WITH s AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.01) AS a_{c}, quantile_cont({c}, 0.99) AS b_{c}" for c in PREP) + " FROM daily) SELECT subject_id, date, "
+    + ", ".join(f"{r(f'CASE WHEN {c} IS NOT NULL THEN greatest(a_{c}, least(b_{c}, {c})) END')} AS {c}" for c in PREP) + " FROM daily, s",
+)
+def _(v):
+    return prepare.winsorize(v.daily.select(*ON, *PREP), PREP)
+
+
+def _scale_sql(center: str) -> str:
+    mid = "avg({c})" if center == "mean" else "quantile_cont({c}, 0.5)"
+    stats = ", ".join(f"{mid.format(c=c)} AS m_{c}, stddev_pop({c}) AS s_{c}" for c in PREP)
+    cols = ", ".join(f"{r(f'({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END')} AS {c}" for c in PREP)
+    return f"WITH s AS (SELECT {stats} FROM daily) SELECT subject_id, date, {cols} FROM daily, s"
+
+
+@query("standardize", _scale_sql("mean"))
+def _(v):
+    return prepare.standardize(v.daily.select(*ON, *PREP), PREP)
+
+
+@query("standardize_median", _scale_sql("median"))
+def _(v):
+    return prepare.standardize(v.daily.select(*ON, *PREP), PREP, "median")
+
+
+@query("group_pca")
+def _(v):
+    m = features.hrv_feature_matrix(v.daily)
+    return prepare.group_pca(m)
+
+
+# ---- evaluation on the long series ----------------------------------------------------
+
+_FORECAST = f"""p AS (SELECT subject_id, date, metric_a / 100000 AS y, avg(metric_a) {cal(7)} / 100000 AS a, avg(metric_a) {cal(28)} / 100000 AS b FROM long_daily)"""
+
+
+def _forecast(v):
+    w = lambda n: F.avg("metric_a").over(calendar_frame(["subject_id"], n)) / 100000
+    return v.long_daily.select(*ON, (F.col("metric_a") / 100000).alias("y"), w(7).alias("a"), w(28).alias("b"))
+
+
+@query(
+    "walk_forward_folds",
+    f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY {DAYNO}) - 1 AS i, lag(date, 2) OVER (PARTITION BY subject_id ORDER BY {DAYNO}) AS train_end, min(date) OVER (PARTITION BY subject_id) AS train_start FROM long_daily)
+SELECT subject_id, CAST(i - 91 AS BIGINT) AS fold_idx, train_start, train_end, date AS test_date, CAST(i - 1 AS BIGINT) AS n_train FROM n WHERE i >= 91""",
+)
+def _(v):
+    return ev.walk_forward_folds(v.long_daily)
+
+
+_EXPAND = f"OVER (PARTITION BY subject_id ORDER BY {DAYNO} ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)"
+
+
+@query(
+    "fold_normalise",
+    f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY {DAYNO}) - 1 AS i, quantile_cont(CAST(metric_b AS DOUBLE), 0.5) {_EXPAND} AS mb, stddev_pop(metric_b) {_EXPAND} AS sb FROM long_daily)
+SELECT subject_id, date, CAST(i - 91 AS BIGINT) AS fold_idx, {r('(metric_b - mb) / CASE WHEN sb = 0 THEN 1 ELSE sb END')} AS metric_b FROM n WHERE i >= 91""",
+)
+def _(v):
+    return ev.fold_normalise(v.long_daily, ["metric_b"])
+
+
+@query(
+    "regression_metrics",
+    f"""WITH {_FORECAST}, e AS (SELECT subject_id, y - 1.5e0 AS y, a - 1.5e0 AS a FROM p WHERE y IS NOT NULL AND a IS NOT NULL)
+SELECT subject_id, CAST(count(*) AS BIGINT) AS n, {r('avg(abs(y - a))')} AS mae, {r('sqrt(avg((y - a) * (y - a)))')} AS rmse,
+  {r('CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - a) * (y - a)) / (var_pop(y) * count(*)) ELSE 0 END')} AS r2, {r('avg(CASE WHEN sign(y) = sign(a) THEN 1.0e0 ELSE 0.0e0 END)')} AS directional_accuracy FROM e GROUP BY subject_id""",
+)
+def _(v):
+    p = _forecast(v).select("subject_id", (F.col("y") - 1.5).alias("y"), (F.col("a") - 1.5).alias("a"))
+    return ev.regression_metrics(p, "y", "a", ["subject_id"])
+
+
+@query(
+    "stability_selection",
+    """WITH i AS (SELECT l_suppkey AS fold_idx, concat('part', CAST(l_partkey % 25 AS VARCHAR)) AS feature, sum(l_extendedprice) AS importance FROM lineitem GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY fold_idx ORDER BY importance DESC, feature) AS n FROM i)
+SELECT feature, CAST(count(*) AS BIGINT) AS n_hits, CAST((SELECT count(DISTINCT fold_idx) FROM i) AS BIGINT) AS n_folds FROM k WHERE n <= 10 GROUP BY feature HAVING count(*) >= 0.4 * (SELECT count(DISTINCT fold_idx) FROM i)""",
+)
+def _(v):
+    imp = v.lineitem.groupBy(
+        F.col("l_suppkey").alias("fold_idx"), F.concat(F.lit("part"), (F.col("l_partkey") % 25).cast("string")).alias("feature")
+    ).agg(F.sum("l_extendedprice").alias("importance"))
+    return ev.stability_selection(imp, share=0.4)
+
+
+_ALPHAS = ", ".join(f"avg(abs({w} * a + {round(1 - w, 1)} * b - y)) AS m{i}" for i, w in enumerate(("0.3e0", "0.4e0", "0.5e0", "0.6e0", "0.7e0")) for w in [float(w.replace('e0', ''))])
+
+
+@query(
+    "blend_search",
+    f"""WITH {_FORECAST}, s AS (SELECT subject_id, count(*) AS n, avg(abs(a - y)) AS ma, avg(abs(b - y)) AS mb, {_ALPHAS} FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL GROUP BY subject_id),
+l AS (SELECT *, [round(m0, 9), round(m1, 9), round(m2, 9), round(m3, 9), round(m4, 9)] AS ms FROM s)
+SELECT subject_id, CAST(n AS BIGINT) AS n, {r('ma')} AS mae_a, {r('mb')} AS mae_b, CAST([0.3, 0.4, 0.5, 0.6, 0.7][list_position(ms, list_min(ms))] AS DOUBLE) AS alpha, {r('least(m0, m1, m2, m3, m4)')} AS blend_mae, mb <= 1.15e0 * ma AS accepted FROM l""",
+)
+def _(v):
+    return ev.blend_search(_forecast(v), "a", "b", "y", keys=["subject_id"])
+
+
+@query(
+    "blend_predict",
+    f"WITH {_FORECAST} SELECT subject_id, date, {r('coalesce(0.3e0 * a + 0.7e0 * CASE WHEN y > 1.5 THEN b END, a)')} AS blend FROM p",
+)
+def _(v):
+    p = _forecast(v)
+    return p.select(*ON, ev.blend_predict("a", F.when(F.col("y") > 1.5, F.col("b")), 0.3).alias("blend"))
+
+
+@query(
+    "time_split",
+    f"""SELECT subject_id, date, row_number() OVER (PARTITION BY subject_id ORDER BY {DAYNO} DESC) <= greatest(1, CAST(floor(count(*) OVER (PARTITION BY subject_id) * 0.15e0) AS INT)) AS is_validation FROM long_daily""",
+)
+def _(v):
+    return ev.time_split(v.long_daily).select(*ON, "is_validation")
+
+
+@query(
+    "score_normalise",
+    f"""SELECT subject_id, date, {r('greatest(0.0e0, least(1.0e0, 1 - (skin_temp_variation + 5) / 60.0e0)) * (1 - 0.5e0 * CASE WHEN spo2_avg IS NULL THEN 0.25e0 ELSE 0 END)')} AS normalized, skin_temp_variation < -2 AS flagged FROM daily""",
+)
+def _(v):
+    unit, flag = ev.score_normalise(
+        "skin_temp_variation", F.lit(-5.0), F.lit(55.0), F.lit(-2.0), F.when(F.col("spo2_avg").isNull(), 0.25).otherwise(0.0)
+    )
+    return v.daily.select(*ON, unit.alias("normalized"), flag.alias("flagged"))
+
+
+@query(
+    "pot_threshold",
+    f"""WITH s AS (SELECT subject_id, metric_a / 100000 AS x FROM long_daily), c AS (SELECT subject_id, quantile_cont(x, 0.05) AS t, quantile_cont(x, 0.02) AS q FROM s GROUP BY subject_id),
+e AS (SELECT s.subject_id, t, q, CASE WHEN x <= t THEN t - x END AS ex FROM s JOIN c USING (subject_id)),
+a AS (SELECT subject_id, max(t) AS t, max(q) AS q, count(ex) AS n, avg(ex) AS m, var_pop(ex) AS v FROM e GROUP BY subject_id),
+k AS (SELECT *, 0.5e0 * (1 - m * m / v) AS shape, 0.5e0 * m * (m * m / v + 1) AS scale FROM a)
+SELECT subject_id, {r('t')} AS tail_threshold, CAST(n AS BIGINT) AS n_tail, {r('CASE WHEN n >= 5 AND v > 0 THEN t - scale / shape * (pow(0.02e0, -shape) - 1) ELSE q END')} AS threshold FROM k""",
+)
+def _(v):
+    s = v.long_daily.select("subject_id", (F.col("metric_a") / 100000).alias("score"))
+    return ev.pot_threshold(s, keys=["subject_id"])
+
+
+# ---- models --------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=4)
+def _forest(spark, sf_dir):
+    from kymo.fixtures import Views
+
+    v = Views(spark, sf_dir)
+    m = features.anomaly_feature_matrix(v.daily, v.quality, "rows").where("coalesce(is_valid_day, true)")
+    return forest.isolation_forest_train(m, features.ANOMALY_FEATURES, trees=100, row_id=ON)
+
+
+@query("isolation_forest_train")
+def _(v):
+    """Flag rate of the training rows per month: near the contamination share."""
+    m = features.anomaly_feature_matrix(v.daily, v.quality, "rows").where("coalesce(is_valid_day, true)")
+    scored = forest.isolation_forest_score(m, _forest(v.spark, v.sf_dir), ON)
+    return scored.groupBy(F.trunc("date", "month").alias("month")).agg(
+        F.count("*").alias("n"), F.avg((F.col("anomaly_score") < 0).cast("double")).alias("below_offset"),
+        F.min("normalized_score").alias("low"), F.max("normalized_score").alias("high"),
+    )
+
+
+@query("isolation_forest_score")
+def _(v):
+    return forest.isolation_forest_score(features.anomaly_feature_matrix(v.daily), _forest(v.spark, v.sf_dir), ON)
+
+
+@query("ablation_attribution")
+def _(v):
+    out = forest.ablation_attribution(features.anomaly_feature_matrix(v.daily), _forest(v.spark, v.sf_dir), ON)
+    top = F.get(sort_by_size("contributions"), F.lit(0))
+    return out.select(*ON, top["feature"].alias("top_feature"), top["contribution"].alias("top_contribution"))
+
+
+@query("anomaly_detect")
+def _(v):
+    f = features.anomaly_feature_matrix(v.daily)
+    out = detect.anomaly_detect(f, _forest(v.spark, v.sf_dir), v.quality, min_wear=5)
+    return out.withColumn("top_drivers", F.to_json("top_drivers"))
+
+
+_RIDGE = ["resting_hr", "hrv_ln_rmssd", "steps", "spo2_avg", "skin_temp_variation", "day_of_week"]
+_PAIRS = f"""SELECT c.subject_id, CAST(c.overall_vas AS DOUBLE) AS y, d.resting_hr, {ln('d.hrv_daily_rmssd')} AS hrv_ln_rmssd, d.steps, d.spo2_avg, d.skin_temp_variation, CAST(dayofweek(d.date) AS DOUBLE) AS day_of_week
+FROM condition_logs c JOIN daily d ON d.subject_id = c.subject_id AND d.date = CAST(c.logged_at AS DATE) LEFT JOIN quality q ON q.subject_id = d.subject_id AND q.date = d.date WHERE q.is_valid_day IS NOT FALSE"""
+
+
+@lru_cache(maxsize=4)
+def _ridge(spark, sf_dir, by_subject=True):
+    from kymo.fixtures import Views
+
+    v = Views(spark, sf_dir)
+    pairs = features.divergence_feature_matrix(v.daily, v.condition_logs, v.quality)
+    return linear.ridge_fit(pairs, _RIDGE, "target_score", keys=["subject_id"] if by_subject else [])
+
+
+@query("ridge_fit")
+def _(v):
+    t = _ridge(v.spark, v.sf_dir).table
+    coefs = [F.get("coef", F.lit(i)).alias(f"coef_{c}") for i, c in enumerate(_RIDGE)]
+    return t.select("subject_id", "n", *coefs, "intercept", "r2", "mae", "rmse", "residual_mean", "residual_std")
+
+
+# One feature makes ridge a closed form: coef = Sxy / (Sxx / sd + alpha) on scaled values.
+@query(
+    "ridge_fit_one_feature",
+    f"""WITH p AS ({_PAIRS}), m AS (SELECT subject_id, quantile_cont(skin_temp_variation, 0.5) AS med FROM p GROUP BY subject_id),
+x AS (SELECT p.subject_id, coalesce(skin_temp_variation, med) AS x, ln(least(99.5e0, greatest(0.5e0, y)) / 100 / (1 - least(99.5e0, greatest(0.5e0, y)) / 100)) AS t FROM p JOIN m USING (subject_id)),
+s AS (SELECT subject_id, count(*) AS n, avg(x) AS mx, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd, avg(t) AS mt, sum(x * t) - count(*) * avg(x) * avg(t) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM x GROUP BY subject_id)
+SELECT subject_id, CAST(n AS BIGINT) AS n, {r('sxy / sd / (sxx / (sd * sd) + 1)', 4)} AS coef, {r('mt', 4)} AS intercept FROM s""",
+    digits=4,
+)
+def _(v):
+    pairs = features.divergence_feature_matrix(v.daily, v.condition_logs, v.quality)
+    t = linear.ridge_fit(pairs, ["skin_temp_variation"], "target_score").table
+    return t.select("subject_id", "n", F.get("coef", F.lit(0)).alias("coef"), "intercept")
+
+
+@query("ridge_predict")
+def _(v):
+    days = features.divergence_day_features(v.daily)
+    return linear.ridge_predict(days, _ridge(v.spark, v.sf_dir)).select(*ON, "predicted_score")
+
+
+@query("linear_contributions")
+def _(v):
+    days = features.divergence_day_features(v.daily)
+    out = linear.linear_contributions(days, _ridge(v.spark, v.sf_dir))
+    top = F.get(sort_by_size("contributions"), F.lit(0))
+    return out.select(*ON, top["feature"].alias("top_feature"), top["contribution"].alias("top_contribution"))
+
+
+@query("divergence_detect")
+def _(v):
+    days = features.divergence_day_features(v.daily)
+    out = detect.divergence_detect(days, v.condition_logs, _ridge(v.spark, v.sf_dir, False))
+    return out.withColumn("top_drivers", F.to_json("top_drivers"))
+
+
+@query(
+    "valid_divergences",
+    "SELECT subject_id, date FROM daily d WHERE EXISTS (SELECT 1 FROM condition_logs c WHERE c.subject_id = d.subject_id AND CAST(c.logged_at AS DATE) = d.date)",
+)
+def _(v):
+    days = features.divergence_day_features(v.daily)
+    return detect.valid_divergences(detect.divergence_detect(days, v.condition_logs, _ridge(v.spark, v.sf_dir, False))).select(*ON)
+
+
+_GBT = ["hrv_ln_rmssd", "resting_hr", "steps", "sleep_duration_min", "z_hrv", "hrv_delta", "dow_sin", "dow_cos"]
+
+
+@lru_cache(maxsize=4)
+def _boosted(spark, sf_dir):
+    from kymo.fixtures import Views
+
+    v = Views(spark, sf_dir)
+    return boosting.gbt_fit(_training(v), _GBT, "target_hrv_zscore", maxIter=10)
+
+
+def _training(v):
+    m = features.hrv_feature_matrix(v.daily, v.quality, "rows")
+    return m.where("coalesce(is_valid_day, true) AND target_hrv_zscore IS NOT NULL").select(*ON, *_GBT, "target_hrv_zscore")
+
+
+@query("gbt_fit")
+def _(v):
+    model = _boosted(v.spark, v.sf_dir)
+    out = boosting.gbt_predict(_training(v), model, "yhat").withColumnRenamed("target_hrv_zscore", "y")
+    return ev.regression_metrics(out, "y", "yhat", ["subject_id"])
+
+
+@query("gbt_predict")
+def _(v):
+    m = features.hrv_feature_matrix(v.daily)
+    return boosting.gbt_predict(m, _boosted(v.spark, v.sf_dir)).select(*ON, "predicted_zscore")
+
+
+@query("hrv_forecast")
+def _(v):
+    m = features.hrv_feature_matrix(v.daily)
+    out = detect.hrv_forecast(m, _boosted(v.spark, v.sf_dir), v.quality)
+    return out.withColumn("top_drivers", F.to_json("top_drivers"))
+
+
+@query("param_search")
+def _(v):
+    """Errors of the best setting, per subject."""
+    train = _training(v)
+    best, _mae = boosting.param_search(train, _GBT, "target_hrv_zscore", {"maxDepth": [2, 3], "maxIter": [5]}, 2)[0]
+    model = boosting.gbt_fit(train, _GBT, "target_hrv_zscore", **best)
+    out = boosting.gbt_predict(train, model, "yhat").withColumnRenamed("target_hrv_zscore", "y")
+    return ev.regression_metrics(out, "y", "yhat", ["subject_id"]).withColumn("max_depth", F.lit(best["maxDepth"]))

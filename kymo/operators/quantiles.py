@@ -67,7 +67,9 @@ def exact_quantiles(
 
     # Rows below a bracket are counted, rows inside are counted per value; both aggregate
     # map-side, so a group of any size shuffles only its bracket.
-    tagged = long.join(bounds, group).where(F.col("x") <= F.col("hi"))
+    # Without keys there are features x probs bounds, so a broadcast is bounded; with keys
+    # the planner chooses and AQE splits a hot key.
+    tagged = long.join(bounds if keys else F.broadcast(bounds), group).where(F.col("x") <= F.col("hi"))
     value = F.when(F.col("x") >= F.col("lo"), F.col("x"))
     counted = tagged.groupBy(*group, "p", "n", value.alias("x")).agg(F.count("*").alias("c"))
     inside = Window.partitionBy(*group, "p").orderBy(F.col("x").asc_nulls_first())
