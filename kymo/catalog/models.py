@@ -8,6 +8,7 @@ from kymo.catalog.composites import ON, ln
 from kymo.catalog.registry import DAYNO, cal, query, r
 from kymo.core import calendar_frame
 from kymo.operators.ranking import sort_by_size
+from kymo.session import materialized
 from kymo.plans import boosting, detect, evaluation as ev, features, forest, linear, prepare
 
 PREP = ["resting_hr", "hrv_daily_rmssd", "steps", "spo2_avg"]
@@ -141,7 +142,8 @@ def _(v):
 
 @query(
     "score_normalise",
-    f"""SELECT subject_id, date, {r('greatest(0.0e0, least(1.0e0, 1 - (skin_temp_variation + 5) / 60.0e0)) * (1 - 0.5e0 * CASE WHEN spo2_avg IS NULL THEN 0.25e0 ELSE 0 END)')} AS normalized, skin_temp_variation < -2 AS flagged FROM daily""",
+    f"""SELECT subject_id, date, {r('greatest(0.0e0, least(1.0e0, 1 - (skin_temp_variation + 5) / 60.0e0)) * (1 - 0.5e0 * CASE WHEN spo2_avg IS NULL THEN 0.25e0 ELSE 0 END)', 9)} AS normalized, skin_temp_variation < -2 AS flagged FROM daily""",
+    digits=9,
 )
 def _(v):
     unit, flag = ev.score_normalise(
@@ -310,7 +312,7 @@ def _(v):
 @query("param_search")
 def _(v):
     """Errors of the best setting, per subject."""
-    train = _training(v)
+    train = materialized(_training(v), "training")
     best, _mae = boosting.param_search(train, _GBT, "target_hrv_zscore", {"maxDepth": [2, 3], "maxIter": [5]}, 2)[0]
     model = boosting.gbt_fit(train, _GBT, "target_hrv_zscore", **best)
     out = boosting.gbt_predict(train, model, "yhat").withColumnRenamed("target_hrv_zscore", "y")

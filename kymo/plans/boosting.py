@@ -16,6 +16,7 @@ from kymo.core import SUBJECT, Keys, day_number, dbl, finite
 from kymo.operators.filters import iqr_outlier_filter
 from kymo.operators.quantiles import quantiles_wide
 from kymo.plans.evaluation import time_split
+from kymo.session import materialized
 
 # Default tree settings.
 DEFAULTS = {"maxDepth": 3, "maxIter": 60, "stepSize": 0.05, "subsamplingRate": 0.7, "minInstancesPerNode": 10, "seed": 42}
@@ -53,7 +54,8 @@ def gbt_fit(
     the last ``validation`` share of each series. One model over all subjects."""
     cols = list(cols)
     settings = {**DEFAULTS, **params}
-    rows = iqr_outlier_filter(df.where(F.col(y).isNotNull()), y, 3.0, ())
+    source = materialized(df.where(F.col(y).isNotNull()).select(*keys, "date", *cols, y), "boost")
+    rows = materialized(iqr_outlier_filter(source, y, 3.0, ()), "boost")
     medians, sds, low, high = _statistics(rows, cols)
     model = BoostedModel(cols, medians, sds, low, high, None, settings)  # type: ignore[arg-type]
     marked = time_split(rows, validation, keys)
@@ -129,7 +131,8 @@ def param_search(
     Every fit runs on the cluster; only one number per (setting, fold) reaches the driver.
     """
     names = list(grid)
-    blocks = blocked_folds(df.where(F.col(y).isNotNull()), n_folds, keys=keys)
+    source = df.where(F.col(y).isNotNull()).select(*keys, "date", *cols, y)
+    blocks = materialized(blocked_folds(source, n_folds, keys=keys), "folds")
     results = []
     for values in itertools.product(*[list(grid[n]) for n in names]):
         params = dict(zip(names, values))

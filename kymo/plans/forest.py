@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from kymo.core import Keys, dbl, finite
 from kymo.operators.quantiles import quantiles_wide
 from kymo.plans.evaluation import pot_threshold, score_normalise
+from kymo.session import materialized
 
 POOL = 16_384  # rows all trees draw from: a sample of fixed size, whatever the table
 
@@ -125,6 +126,7 @@ def isolation_forest_train(
     depend on the table.
     """
     cols = list(cols)
+    df = materialized(df.select(*row_id, *[finite(c).alias(c) for c in cols]), "forest")
     q = quantiles_wide(df, cols, {"m": 0.5}).first()
     medians = {c: float(q[f"{c}_m"]) if q is not None and q[f"{c}_m"] is not None else 0.0 for c in cols}
     filled = df.select(*[F.coalesce(dbl(c), F.lit(medians[c])).alias(c) for c in cols])
@@ -164,7 +166,7 @@ def isolation_forest_train(
         arrays[name] = a
     model.arrays = arrays
 
-    scores = _score(clean, model, [], "score")
+    scores = materialized(_score(clean, model, [], "score"), "scores")
     model.offset = float(quantiles_wide(scores, ["score"], {"o": contamination}).first()["score_o"])
     shifted = scores.select((F.col("score") - F.lit(model.offset)).alias("score"))
     ends = shifted.agg(F.min("score").alias("a"), F.max("score").alias("b")).first()

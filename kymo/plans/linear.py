@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from kymo.core import SUBJECT, Keys, dbl
 from kymo.functions.numeric import inv_logit_vas, logit_vas, prediction_confidence
 from kymo.operators.quantiles import attach, quantiles_wide
-from kymo.session import checkpointed
+from kymo.session import checkpointed, materialized
 
 
 @dataclass
@@ -56,7 +56,8 @@ def ridge_fit(
     """
     cols, keys = list(cols), tuple(keys)
     p = len(cols)
-    known = df.where(F.col(y).isNotNull())
+    known = df.where(F.col(y).isNotNull()).select(*keys, *cols, y, *([weight] if weight else []))
+    known = materialized(known, "ridge")
     med = quantiles_wide(known, cols, {"_m": 0.5}, keys)
     base = attach(known.select(*keys, *cols, F.col(y).alias("_y"), *([weight] if weight else [])), med, keys)
     base = base.withColumns(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kymo.core import Keys, dbl
 from kymo.operators.quantiles import attach, quantiles_wide
+from kymo.session import materialized
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], keys: Keys = ()) -> DataFrame:
@@ -86,7 +87,7 @@ def group_pca(
     present = {g: [c for c in cols if c in df.columns] for g, cols in groups.items()}
     every = [c for cols in present.values() for c in cols]
     keep = [c for c in df.columns if c not in every]
-    out = impute_median(df, every)
+    out = materialized(impute_median(materialized(df, "pca"), every), "pca")
     means = out.agg(*[F.avg(c).alias(f"{c}__mean") for c in every])
     out = attach(out, means).select(*keep, *[(F.col(c) - F.col(f"{c}__mean")).alias(c) for c in every])
     for g, cols in present.items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,3 +55,12 @@ def checkpointed(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def materialized(df, name: str = "stage"):
+    """Write a frame that several passes will read to the shared folder and read it back:
+    columnar, pruned per pass, and safe when an executor is lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/kymo-stage/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
