@@ -90,16 +90,24 @@ def _(v):
 _RUN = "OVER (PARTITION BY subject_id ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query(
-    "stream_cusum",
-    f"""WITH z AS (SELECT user_id AS subject_id, event_id, ts AS time, (value - 50) / 49.0e0 AS z FROM events),
+_CUSUM = f"""WITH z AS (SELECT user_id AS subject_id, event_id, ts AS time, (value - 50) / 49.0e0 AS z FROM events),
 x AS (SELECT *, sum(z - 0.5e0) {_RUN} AS a, sum(-z - 0.5e0) {_RUN} AS b FROM z),
 y AS (SELECT *, a - least(0.0e0, min(a) {_RUN}) AS up, b - least(0.0e0, min(b) {_RUN}) AS down FROM x)
-SELECT subject_id, event_id, {r('up')} AS cusum_positive, {r('down')} AS cusum_negative, up > 4 OR down > 4 AS cusum_alert FROM y""",
-)
+SELECT subject_id, event_id, {r('up')} AS cusum_positive, {r('down')} AS cusum_negative, up > 4 OR down > 4 AS cusum_alert FROM y"""
+_CHART = ("subject_id", "event_id", "cusum_positive", "cusum_negative", "cusum_alert")
+
+
+@query("stream_cusum", _CUSUM)
 def _(v):
     """The chart without restarts has a closed form, S - min(0, running min of S)."""
-    return _append(v, streams.stream_cusum(_events(v), "value", 50.0, 49.0))
+    sdf = _events(v).select("subject_id", "time", "event_id", "value")
+    out = runs.stream_cusum(sdf, landing(v, "cusum"), landing(v, "cusum-state"), landing(v, "state"), "value", 50.0, 49.0)
+    return out.select(*_CHART)
+
+
+@query("stream_cusum_stateful", _CUSUM)
+def _(v):
+    return _append(v, streams.stream_cusum_stateful(_events(v), "value", 50.0, 49.0))
 
 
 def _score(daily):

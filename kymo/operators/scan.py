@@ -74,3 +74,41 @@ def prefix_scan(
             value = F.coalesce(l, c)
         out.append(value.alias(name))
     return scanned.select(*[F.col(c) for c in df.columns], *out)
+
+
+def running_cusum(
+    df: DataFrame,
+    residual: str,
+    mu: float | Column,
+    sigma: float | Column,
+    keys: Keys,
+    t: str,
+    tie: Sequence[str] = (),
+    k: float = 0.5,
+    h: float = 4.0,
+    start: DataFrame | None = None,
+) -> DataFrame:
+    """Two-sided control chart without restarts, as prefix scans.
+
+    The recursion S <- max(0, S + a) has the closed form X - min(-S0, running min of X) with
+    X the running sum of a, so no row waits for the one before it. ``start`` holds
+    cusum_positive and cusum_negative per key to go on from.
+    """
+    on = list(keys)
+    z = (F.col(residual).cast("double") - mu) / sigma
+    rows = df.where(F.col(residual).isNotNull())
+    sums = prefix_scan(rows, {"_xu": ("sum", z - k), "_xd": ("sum", -z - k)}, keys, t, tie)
+    lows = prefix_scan(sums, {"_mu": ("max", -F.col("_xu")), "_md": ("max", -F.col("_xd"))}, keys, t, tie)
+    zero = F.lit(0.0)
+    if start is None:
+        up0, down0 = zero, zero
+    else:
+        before = start.select(*on, F.col("cusum_positive").alias("_u0"), F.col("cusum_negative").alias("_d0"))
+        lows = lows.join(before, on, "left")
+        up0, down0 = F.coalesce("_u0", zero), F.coalesce("_d0", zero)
+    out = lows.select(
+        *df.columns,
+        (F.col("_xu") + F.greatest(up0, F.col("_mu"))).alias("cusum_positive"),
+        (F.col("_xd") + F.greatest(down0, F.col("_md"))).alias("cusum_negative"),
+    )
+    return out.withColumn("cusum_alert", (F.col("cusum_positive") > h) | (F.col("cusum_negative") > h))

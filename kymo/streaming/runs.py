@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kymo.core import SUBJECT, Keys
+from kymo.operators.scan import running_cusum
 from kymo.plans.features import in_range
 from kymo.sources.sinks import overwrite_partitions
 
@@ -27,22 +29,23 @@ def run_append(sdf: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def _write_batch(df: DataFrame, out: str, batch: int) -> None:
+    (
+        df.withColumn(BATCH, F.lit(batch).cast("long"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(BATCH)
+        .parquet(out)
+    )
+
+
 def run_updates(sdf: DataFrame, out: str, checkpoint: str, mode: str = "update") -> None:
     """Drain a stream into a log partitioned by batch. A replayed batch overwrites its own
     partition, so the log is exact after a restart."""
 
-    def write(df: DataFrame, batch: int) -> None:
-        (
-            df.withColumn(BATCH, F.lit(batch).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BATCH)
-            .parquet(out)
-        )
-
     query = (
         sdf.writeStream.outputMode(mode)
-        .foreachBatch(write)
+        .foreachBatch(lambda df, batch: _write_batch(df, out, batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -70,6 +73,61 @@ def stream_dedup_upsert(
     return current_rows(read_log(sdf.sparkSession, out, sdf.schema), keys, order)
 
 
+def stream_cusum(
+    sdf: DataFrame,
+    out: str,
+    state: str,
+    checkpoint: str,
+    residual: str,
+    mu: float,
+    sigma: float,
+    keys: Keys = SUBJECT,
+    t: str = "time",
+    tie: Sequence[str] = ("event_id",),
+    k: float = 0.5,
+    h: float = 4.0,
+) -> DataFrame:
+    """Control chart over a stream; each micro-batch goes on from a per-key state table.
+
+    A batch is charted by prefix scans, so a key of any size is spread over tasks. Both the
+    rows and the new state are written under the batch's own partition: a replay rewrites
+    them from the state of the batch before.
+    """
+    spark = sdf.sparkSession
+    schema = T.StructType(
+        [
+            *sdf.schema.fields,
+            T.StructField("cusum_positive", T.DoubleType()),
+            T.StructField("cusum_negative", T.DoubleType()),
+            T.StructField("cusum_alert", T.BooleanType()),
+        ]
+    )
+    states = T.StructType(
+        [*[sdf.schema[c] for c in keys], T.StructField("cusum_positive", T.DoubleType()), T.StructField("cusum_negative", T.DoubleType())]
+    )
+
+    def write(df: DataFrame, batch: int) -> None:
+        before = None if batch == 0 else read_log(spark, state, states).where(F.col(BATCH) == batch - 1).drop(BATCH)
+        charted = running_cusum(df, residual, mu, sigma, keys, t, tie, k, h, before)
+        _write_batch(charted, out, batch)
+        done = read_log(spark, out, schema).where(F.col(BATCH) == batch)
+        ends = F.max_by(F.struct("cusum_positive", "cusum_negative"), F.struct(t, *tie)).alias("_s")
+        after = done.groupBy(*keys).agg(ends).select(*keys, "_s.*")
+        if before is not None:
+            after = after.unionByName(before.join(after.select(*keys), list(keys), "left_anti"))
+        _write_batch(after, state, batch)
+
+    query = (
+        sdf.writeStream.outputMode("append")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return read_log(spark, out, schema).drop(BATCH)
+
+
 def recompute_open_day(
     table: str,
     fn: Callable[[DataFrame], DataFrame],

@@ -84,7 +84,7 @@ def stream_sleep_sessions(
 CUSUM_STATE = T.StructType([T.StructField("up", T.DoubleType()), T.StructField("down", T.DoubleType())])
 
 
-def stream_cusum(
+def stream_cusum_stateful(
     sdf: DataFrame,
     residual: str,
     mu: float,
@@ -95,10 +95,10 @@ def stream_cusum(
     k: float = 0.5,
     h: float = 4.0,
 ) -> DataFrame:
-    """Two-sided control chart with two numbers of state per key.
+    """Two-sided control chart with two numbers of state per key, for low-latency sources.
 
-    Rows of one key in a micro-batch are put in time order before they are folded; their
-    number is bounded by the source's rate limit.
+    The rows of one key in a micro-batch are sorted in one task, so the source must be rate
+    limited. ``runs.stream_cusum`` has no such limit.
     """
     keys = list(keys)
     out_schema = T.StructType(
