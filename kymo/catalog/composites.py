@@ -503,3 +503,48 @@ def _(v):
     return dq.train_eligibility(v.daily, v.quality, runs, 8, "2024-01-31", metric="hrv_daily_rmssd", min_completeness=0.41)
 
 
+
+
+# ---- daily rollup from tall records ----------------------------------------------------
+
+_KIND = """CASE event_type WHEN 'click' THEN 'HKQuantityTypeIdentifierHeartRate' WHEN 'view' THEN 'HKQuantityTypeIdentifierStepCount'
+  WHEN 'signup' THEN 'HKQuantityTypeIdentifierRestingHeartRate' WHEN 'error' THEN 'HKQuantityTypeIdentifierOxygenSaturation' ELSE 'HKQuantityTypeIdentifierActiveEnergyBurned' END"""
+
+
+def _rollup_pick(kind: str, agg: str, ok: str, name: str) -> str:
+    return f"""{name} AS (SELECT subject_id, date, value AS {name}_v FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, date ORDER BY CASE WHEN {ok} THEN 1 ELSE 0 END DESC, rank DESC) AS k
+  FROM (SELECT subject_id, date, rank, {agg} AS value FROM t WHERE type LIKE '%{kind}' GROUP BY subject_id, date, rank) a) b WHERE k = 1)"""
+
+
+def _rollup_sql() -> str:
+    from kymo.catalog.joins import _SESSIONS
+
+    return f"""WITH t AS (SELECT user_id AS subject_id, CAST(ts AS DATE) AS date, ts, {_KIND} AS type, event_id % 3 AS rank, value, event_id FROM events),
+{_rollup_pick('StepCount', 'round_even(sum(value), 0)', 'value > 0 AND value <= 200000', 'st')},
+{_rollup_pick('ActiveEnergyBurned', 'round_even(sum(value), 0)', 'value > 0 AND value <= 15000', 'ac')},
+{_rollup_pick('RestingHeartRate', 'arg_max(value, ts)', 'value >= 30 AND value <= 100', 'rh')},
+mm AS (SELECT subject_id, date, date_trunc('minute', ts) AS m, rank, round_even(avg(value), 0) AS bpm FROM t WHERE type LIKE '%IdentifierHeartRate' GROUP BY ALL),
+ma AS (SELECT subject_id, date, rank, avg(bpm) AS mean FROM mm GROUP BY ALL),
+mk AS (SELECT *, row_number() OVER (PARTITION BY subject_id, date ORDER BY CASE WHEN mean BETWEEN 25 AND 200 THEN 1 ELSE 0 END DESC, rank DESC) AS k FROM ma),
+hr AS (SELECT mm.subject_id, mm.date, CAST(max(bpm) AS INT) AS max_hr, CAST(count(*) FILTER (WHERE bpm < 76) AS BIGINT) AS zone_out_min FROM mm JOIN mk ON mk.subject_id = mm.subject_id AND mk.date = mm.date AND mk.rank = mm.rank AND k = 1 GROUP BY ALL),
+{_SESSIONS}, mn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, date ORDER BY duration_min DESC, a) AS k FROM sess) x WHERE k = 1),
+ox AS (SELECT t.subject_id, t.date, max(CASE WHEN value <= 1 THEN value * 100 ELSE value END) AS top FROM t JOIN mn ON mn.subject_id = t.subject_id AND mn.date = t.date WHERE type LIKE '%OxygenSaturation' AND t.ts BETWEEN mn.a AND mn.b GROUP BY ALL),
+dd AS (SELECT subject_id, date FROM t UNION SELECT subject_id, date FROM sess)
+SELECT dd.subject_id, dd.date, CAST(CASE WHEN st_v > 0 THEN st_v END AS INT) AS steps, CAST(CASE WHEN ac_v > 0 THEN ac_v END AS INT) AS calories_total, CAST(round_even(rh_v, 0) AS INT) AS resting_hr,
+  max_hr, zone_out_min, mn.duration_min AS sleep_duration_min, mn.deep_min AS sleep_deep_min, mn.onset_latency AS sleep_onset_latency, {r('round_even(ox.top, 1)')} AS spo2_max
+FROM dd LEFT JOIN st USING (subject_id, date) LEFT JOIN ac USING (subject_id, date) LEFT JOIN rh USING (subject_id, date) LEFT JOIN hr USING (subject_id, date) LEFT JOIN mn USING (subject_id, date) LEFT JOIN ox USING (subject_id, date)"""
+
+
+@query("daily_rollup", _rollup_sql())
+def _(v):
+    from kymo.catalog.joins import _sessions
+    from kymo.plans.rollup import daily_rollup
+
+    tall = v.events.select(
+        F.col("user_id").alias("subject_id"), F.to_date("ts").alias("date"), F.col("ts").alias("start"), F.expr(_KIND).alias("type"),
+        (F.col("event_id") % 3).alias("source_rank"), F.col("value").alias("numeric_value"),
+    )
+    out = daily_rollup(tall, _sessions(v))
+    return out.select(
+        *ON, "steps", "calories_total", "resting_hr", "max_hr", "zone_out_min", "sleep_duration_min", "sleep_deep_min", "sleep_onset_latency", "spo2_max"
+    )
