@@ -39,13 +39,11 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where none is configured."""
+    """The cluster's shared folder; a local one only where none is configured, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    local = os.path.join(tempfile.gettempdir(), "kymo-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return os.path.join(tempfile.gettempdir(), "kymo-checkpoints")
 
 
 def checkpointed(df):
