@@ -202,27 +202,25 @@ def isolation_forest_score(df: DataFrame, model: ForestModel, keys: Keys) -> Dat
     return raw.select(*keys, "anomaly_score", unit.alias("normalized_score"), flag.alias("is_anomaly"))
 
 
-CONTRIBUTION = T.ArrayType(
-    T.StructType([T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("contribution", T.DoubleType())])
-)
-
-
 def ablation_attribution(df: DataFrame, model: ForestModel, keys: Keys) -> DataFrame:
     """Per-row contributions: score change when one feature is set to its median.
 
     These are not Shapley values: each feature is ablated alone. Negative means the feature
-    pushes the row toward an anomaly. Rows stay in their Arrow batch, so nothing is shuffled.
+    pushes the row toward an anomaly. Rows stay in their Arrow batch, so nothing is shuffled;
+    only numbers cross to Python, the structs are built in the JVM.
     """
     cols = model.cols
     shared = df.sparkSession.sparkContext.broadcast(model)
-    raw_cols = [f"_raw_{c}" for c in cols]
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("contributions", CONTRIBUTION)])
+    raw_cols = [f"_raw{j}" for j in range(len(cols))]
+    delta_cols = [f"_delta{j}" for j in range(len(cols))]
+    schema = T.StructType(
+        [*[df.schema[k] for k in keys], *[T.StructField(c, T.DoubleType()) for c in (*raw_cols, *delta_cols)]]
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float)
-            raw = pdf[raw_cols].to_numpy(dtype=float)
             full = m.decision(x)
             delta = np.zeros_like(x)
             for j, c in enumerate(cols):
@@ -231,15 +229,13 @@ def ablation_attribution(df: DataFrame, model: ForestModel, keys: Keys) -> DataF
                     y = x[changed].copy()
                     y[:, j] = m.medians[c]
                     delta[changed, j] = full[changed] - m.decision(y)
-            res = pdf[list(keys)].copy()
-            res["contributions"] = [
-                [
-                    {"feature": c, "value": None if np.isnan(raw[i, j]) else float(raw[i, j]), "contribution": float(delta[i, j])}
-                    for j, c in enumerate(cols)
-                ]
-                for i in range(len(x))
-            ]
-            yield res
-
-    source = df.select(*keys, *[dbl(c).alias(f"_raw_{c}") for c in cols], *prepared(df, model))
-    return source.mapInPandas(run, schema)
+            yield pd.concat([pdf[[*keys, *raw_cols]], pd.DataFrame(delta, columns=delta_cols, index=pdf.index)], axis=1)
+
+    source = df.select(*keys, *[dbl(c).alias(r) for c, r in zip(cols, raw_cols)], *prepared(df, model))
+    items = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), finite(r).alias("value"), F.col(d).alias("contribution"))
+            for c, r, d in zip(cols, raw_cols, delta_cols)
+        ]
+    )
+    return source.mapInPandas(run, schema).select(*keys, items.alias("contributions"))
