@@ -7,6 +7,7 @@ from kymo.catalog.show import stamp
 from kymo.functions import circular as circ
 from kymo.functions.clock import last_sync
 from kymo.operators import aggregates as op
+from kymo.operators.intervals import main_log_filter
 from kymo.operators import ranking as rank
 
 BIG = "CAST(count(*) AS BIGINT)"
@@ -243,17 +244,20 @@ def _code_total(codes: str) -> str:
 @query(
     "session_stage_totals",
     f"""WITH s AS (SELECT subject_id, date, log_id, {_CODES} AS code, CAST(seconds AS BIGINT) * 1000 + 7 AS d FROM sleep_stages),
-t AS (SELECT subject_id, date, log_id, code, CAST(sum(d) AS BIGINT) AS ms FROM s GROUP BY ALL)
+g AS (SELECT subject_id, date, log_id, sum(seconds) AS n FROM sleep_stages GROUP BY ALL),
+b AS (SELECT subject_id, date, log_id FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, date ORDER BY n DESC, log_id) AS k FROM g) x WHERE k = 1),
+t AS (SELECT subject_id, date, log_id, code, CAST(sum(d) AS BIGINT) AS ms FROM s JOIN b USING (subject_id, date, log_id) GROUP BY ALL)
 SELECT subject_id, date, log_id AS row_id, {_code_min('5')} AS deep_min, {_code_min('2, 4')} AS light_min, {_code_min('6')} AS rem_min,
   {_code_min('1')} AS wake_min, {_code_total('2, 4, 5, 6')} AS minutes_asleep, {_code_total('1')} AS minutes_awake
-FROM t WHERE log_id < 2 GROUP BY subject_id, date, log_id""",
+FROM t GROUP BY subject_id, date, log_id""",
 )
 def _(v):
     s = v.sleep_stages.select(
         "subject_id", "date", F.col("log_id").alias("row_id"), F.expr(_CODES).alias("stage_code"),
         (F.col("seconds").cast("long") * 1000 + 7).alias("duration_ms"),
     )
-    chosen = s.where("row_id < 2").select("subject_id", "date", "row_id").distinct()
+    main = main_log_filter(v.sleep_stages)
+    chosen = main.select("subject_id", "date", F.col("log_id").alias("row_id")).distinct()
     return op.session_stage_totals(s, chosen, ("subject_id", "date"))
 
 

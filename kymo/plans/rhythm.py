@@ -277,7 +277,13 @@ def sri(
         }
     )
     rows = rows.withColumn("_mask", F.expr("shiftleft(-1L, _lo) & shiftrightunsigned(-1L, 64 - _hi)"))
-    item = F.struct("time", "_tie", F.col("_mask").alias("m"), F.col("_asleep").alias("s"))
+    # Of rows covering the same bits of a word only the latest can show, which leaves at most
+    # 64 * 65 / 2 rows per word however many stages overlap it.
+    latest = F.struct("time", "_tie")
+    rows = rows.groupBy(*keys, "_w", "_mask").agg(
+        F.max(latest).alias("_at"), F.max_by("_asleep", F.struct("time", "_tie", "_asleep")).alias("_asleep")
+    )
+    item = F.struct("_at", F.col("_mask").alias("m"), F.col("_asleep").alias("s"))
     words = rows.groupBy(*keys, "_w").agg(F.array_sort(F.collect_list(item)).alias("_items"))
     folded = F.aggregate(
         "_items",
