@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kymo.core import SUBJECT, Keys, day_number, dbl, finite
-from kymo.operators.filters import iqr_outlier_filter
 from kymo.operators.quantiles import quantiles_wide
 from kymo.plans.evaluation import time_split
 from kymo.session import materialized
@@ -47,15 +46,36 @@ def _statistics(df: DataFrame, cols: Sequence[str]) -> tuple[dict, dict, dict, d
     return take("m"), {c: float(s[c] or 0.0) or 1.0 for c in cols}, take("lo"), take("hi")
 
 
+def target_range(df: DataFrame, y: str, mult: float = 3.0) -> Column:
+    """The outlier rule of ``iqr_outlier_filter`` over the whole table, with its two quartiles
+    as constants so that later passes do not compute them again."""
+    q = quantiles_wide(df, [y], {"q1": 0.25, "q3": 0.75}).first()
+    if q is None or q[f"{y}_q1"] is None:
+        return F.lit(True)
+    q1, q3 = float(q[f"{y}_q1"]), float(q[f"{y}_q3"])
+    return F.col(y).between(q1 - mult * (q3 - q1), q3 + mult * (q3 - q1))
+
+
 def gbt_fit(
-    df: DataFrame, cols: Sequence[str], y: str, keys: Keys = SUBJECT, validation: float = 0.1, **params
+    df: DataFrame,
+    cols: Sequence[str],
+    y: str,
+    keys: Keys = SUBJECT,
+    validation: float = 0.1,
+    staged: bool = False,
+    **params,
 ) -> BoostedModel:
     """Outlier filter on the target, median/winsor scaling, then boosting that stops early on
-    the last ``validation`` share of each series. One model over all subjects."""
+    the last ``validation`` share of each series. One model over all subjects.
+
+    The input is read several times, so it is written out first unless it is ``staged``.
+    """
     cols = list(cols)
     settings = {**DEFAULTS, **params}
-    source = materialized(df.where(F.col(y).isNotNull()).select(*keys, "date", *cols, y), "boost")
-    rows = materialized(iqr_outlier_filter(source, y, 3.0, ()), "boost")
+    source = df.where(F.col(y).isNotNull()).select(*keys, "date", *cols, y)
+    if not staged:
+        source = materialized(source, "boost")
+    rows = source.where(target_range(source, y))
     medians, sds, low, high = _statistics(rows, cols)
     model = BoostedModel(cols, medians, sds, low, high, None, settings)  # type: ignore[arg-type]
     marked = time_split(rows, validation, keys)
@@ -139,7 +159,7 @@ def param_search(
         errors = []
         for fold in range(1, n_folds + 1):
             train = blocks.where(F.col("_block") < fold)
-            model = gbt_fit(train, cols, y, keys, **params)
+            model = gbt_fit(train, cols, y, keys, staged=True, **params)
             test = gbt_predict(blocks.where((F.col("_block") == fold) & ~F.col("_in_gap")), model, "_p")
             mae = test.agg(F.avg(F.abs(dbl(y) - F.col("_p"))).alias("m")).first()["m"]
             if mae is not None:

@@ -172,3 +172,25 @@ def test_paged_list_limits(spark):
     df = spark.createDataFrame([(1, i, at(i)) for i in range(150)], "subject_id int, id int, logged_at timestamp")
     page = ranking.paged_list(df, "nonsense", "desc", 500, 10).collect()
     assert len(page) == 100 and {r.total for r in page} == {150} and max(r.id for r in page) == 139
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_raw_windows_are_split_by_time_chunk(stages):
+    """No window over raw rows may be partitioned by the subject alone."""
+    spans = stages.select("subject_id", F.col("time").alias("start"), F.expr("timestampadd(SECOND, seconds, time)").alias("end"))
+    for df in (iv.flag_inside(stages.select("subject_id", "time"), spans), iv.gap_sessionize(spans), iv.overlap_chain_dedup(stages, keys=["subject_id"])):
+        windows = [line for line in plan_of(df).splitlines() if "Window [" in line]
+        assert windows
+        for line in windows:
+            over_summary = "_s0#" in line  # one row per chunk
+            assert over_summary or "_chunk" in line.rsplit("], [", 2)[-2], line
+
+
+def test_no_pair_joins(stages):
+    spans = stages.select("subject_id", F.col("time").alias("start"), F.expr("timestampadd(SECOND, seconds, time)").alias("end"))
+    for df in (iv.flag_inside(stages.select("subject_id", "time"), spans), iv.proximity_anti_join(stages, stages.where("event_id < 9"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
