@@ -125,7 +125,8 @@ def _(v):
 
 @query(
     "blend_predict",
-    f"WITH {_FORECAST} SELECT subject_id, date, {r('coalesce(0.3e0 * a + 0.7e0 * CASE WHEN y > 1.5 THEN b END, a)')} AS blend FROM p",
+    f"WITH {_FORECAST} SELECT subject_id, date, {r('coalesce(0.3e0 * a + 0.7e0 * CASE WHEN y > 1.5 THEN b END, a)', 10)} AS blend FROM p",
+    digits=10,
 )
 def _(v):
     p = _forecast(v)
