@@ -77,20 +77,29 @@ def rolling_baseline(
     min_count: int = 7,
     keys: Keys = SUBJECT,
     metrics: Sequence[Metric] = BASELINE,
+    valid: str | None = None,
 ) -> DataFrame:
-    """Median, MAD and count of each metric over the previous valid days, for every day."""
-    on = [*keys, "date"]
-    out = daily
-    if quality is None:
-        out = out.withColumn("_ok", F.lit(True))
-    else:
-        q = quality.select(*on, F.col("is_valid_day").alias("_ok"))
-        out = out.join(q, on, "left").withColumn("_ok", F.coalesce("_ok", F.lit(True)))
+    """Median, MAD and count of each metric over the previous valid days, for every day.
+
+    Validity comes from ``quality`` or from a column of ``daily`` named by ``valid``.
+    """
+    out = daily.withColumn("_ok", F.col(valid)) if valid else _with_quality(daily, quality, keys)
     out = trailing_median_mad(
         out, {m.name: F.when(F.col("_ok"), m.value()) for m in metrics}, days, min_count, keys
     )
     total = F.count(F.when(F.col("_ok"), 1)).over(calendar_frame(keys, days))
-    return out.withColumns({"total_valid_days": total, "window_days": F.lit(days)}).drop("_ok")
+    return out.withColumns({"total_valid_days": total, "window_days": F.lit(days)}).drop("_ok", "_quality")
+
+
+def _with_quality(daily: DataFrame, quality: DataFrame | None, keys: Keys) -> DataFrame:
+    """Adds ``_ok`` (not known to be invalid) and ``_quality`` (confidence) in one join."""
+    nothing = F.lit(None).cast("double")
+    if quality is None:
+        return daily.withColumns({"_ok": F.lit(True), "_quality": nothing})
+    on = [*keys, "date"]
+    score = dbl("confidence_score") if "confidence_score" in quality.columns else nothing
+    q = quality.select(*on, F.col("is_valid_day").alias("_ok"), score.alias("_quality"))
+    return daily.join(q, on, "left").withColumn("_ok", F.coalesce("_ok", F.lit(True)))
 
 
 def z_scores(df: DataFrame, metrics: dict[str, tuple[Metric, str]]) -> DataFrame:
@@ -169,17 +178,13 @@ def vri(
         index = sri(stages, keys, dates=daily.select(*on))
         base = base.join(index.select(*on, F.col("sri").alias("sri_value"), F.col("days_used").alias("sri_days_used")), on, "left")
     tracked = [*BASELINE, Metric("sri", "sri_value")] if sri_baseline else BASELINE
-    scored = rolling_baseline(base, quality, days, min_count, keys, tracked)
+    base = _with_quality(base, quality, keys).withColumns({"_valid": F.col("_ok"), "_confidence": F.col("_quality")})
+    scored = rolling_baseline(base.drop("_ok", "_quality"), None, days, min_count, keys, tracked, "_valid")
     if not sri_baseline:
         nothing = F.lit(None).cast("double")
         scored = scored.withColumns({"sri_median": nothing, "sri_mad": nothing, "sri_count": F.lit(0).cast("long")})
-    confidence = None
-    if quality is not None and "confidence_score" in quality.columns:
-        scored = scored.join(quality.select(*on, dbl("confidence_score").alias("_q")), on, "left")
-        confidence = F.col("_q")
-    out = composite(
-        z_scores(scored, metrics), {n: m.direction for n, (m, _) in metrics.items()}, "total_valid_days", "vri", confidence
-    )
+    directions = {n: m.direction for n, (m, _) in metrics.items()}
+    out = composite(z_scores(scored, metrics), directions, "total_valid_days", "vri", F.col("_confidence"))
     return out.select(
         *on, "vri_score", "vri_confidence", *[f"z_{n}" for n in metrics], "sri_value", "sri_days_used",
         F.col("window_days").alias("baseline_window_days"), "total_valid_days", "baseline_maturity",
