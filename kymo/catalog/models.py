@@ -230,27 +230,56 @@ def _(v):
 
 
 # One feature makes ridge a closed form: coef = Sxy / (Sxx / sd + alpha) on scaled values.
+_ONE = f"""p AS ({_PAIRS}), m AS (SELECT subject_id, quantile_cont(skin_temp_variation, 0.5) AS med FROM p GROUP BY subject_id),
+x AS (SELECT p.subject_id, coalesce(skin_temp_variation, med) AS x, ln(least(99.5e0, greatest(0.5e0, y)) / 100 / (1 - least(99.5e0, greatest(0.5e0, y)) / 100)) AS t FROM p JOIN m USING (subject_id)),
+s AS (SELECT subject_id, count(*) AS n, avg(x) AS mx, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd, avg(t) AS mt, sum(x * t) - count(*) * avg(x) * avg(t) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM x GROUP BY subject_id),
+one AS (SELECT s.*, m.med, sxy / sd / (sxx / (sd * sd) + 1) AS coef FROM s JOIN m USING (subject_id)),
+c AS (SELECT d.subject_id, d.date, one.coef * (coalesce(d.skin_temp_variation, one.med) - one.mx) / one.sd AS part, one.mt FROM daily d LEFT JOIN one USING (subject_id))"""
+
+
+@lru_cache(maxsize=4)
+def _ridge_one(spark, sf_dir):
+    from kymo.fixtures import Views
+
+    v = Views(spark, sf_dir)
+    pairs = features.divergence_feature_matrix(v.daily, v.condition_logs, v.quality)
+    return linear.ridge_fit(pairs, ["skin_temp_variation"], "target_score")
+
+
 @query(
     "ridge_fit_one_feature",
-    f"""WITH p AS ({_PAIRS}), m AS (SELECT subject_id, quantile_cont(skin_temp_variation, 0.5) AS med FROM p GROUP BY subject_id),
-x AS (SELECT p.subject_id, coalesce(skin_temp_variation, med) AS x, ln(least(99.5e0, greatest(0.5e0, y)) / 100 / (1 - least(99.5e0, greatest(0.5e0, y)) / 100)) AS t FROM p JOIN m USING (subject_id)),
-s AS (SELECT subject_id, count(*) AS n, avg(x) AS mx, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd, avg(t) AS mt, sum(x * t) - count(*) * avg(x) * avg(t) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM x GROUP BY subject_id)
-SELECT subject_id, CAST(n AS BIGINT) AS n, {r('sxy / sd / (sxx / (sd * sd) + 1)', 4)} AS coef, {r('mt', 4)} AS intercept FROM s""",
+    f"WITH {_ONE} SELECT subject_id, CAST(n AS BIGINT) AS n, {r('coef', 4)} AS coef, {r('mt', 4)} AS intercept FROM one",
     digits=4,
 )
 def _(v):
-    pairs = features.divergence_feature_matrix(v.daily, v.condition_logs, v.quality)
-    t = linear.ridge_fit(pairs, ["skin_temp_variation"], "target_score").table
+    t = _ridge_one(v.spark, v.sf_dir).table
     return t.select("subject_id", "n", F.get("coef", F.lit(0)).alias("coef"), "intercept")
 
 
+@query(
+    "ridge_predict_one_feature",
+    f"WITH {_ONE} SELECT subject_id, date, {r('100.0e0 / (1 + exp(-(mt + part)))', 4)} AS predicted_score FROM c",
+    digits=4,
+)
+def _(v):
+    days = features.divergence_day_features(v.daily)
+    return linear.ridge_predict(days, _ridge_one(v.spark, v.sf_dir)).select(*ON, "predicted_score")
+
+
+@query("linear_contributions", f"WITH {_ONE} SELECT subject_id, date, {r('part', 4)} AS contribution FROM c", digits=4)
+def _(v):
+    days = features.divergence_day_features(v.daily)
+    out = linear.linear_contributions(days, _ridge_one(v.spark, v.sf_dir))
+    return out.select(*ON, F.get("contributions", F.lit(0))["contribution"].alias("contribution"))
+
+
 @query("ridge_predict")
 def _(v):
     days = features.divergence_day_features(v.daily)
     return linear.ridge_predict(days, _ridge(v.spark, v.sf_dir)).select(*ON, "predicted_score")
 
 
-@query("linear_contributions")
+@query("linear_contributions_top")
 def _(v):
     days = features.divergence_day_features(v.daily)
     out = linear.linear_contributions(days, _ridge(v.spark, v.sf_dir))
