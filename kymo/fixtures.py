@@ -41,9 +41,9 @@ SELECT user_id AS subject_id, CAST(ts AS DATE) AS date,
   CAST(floor(round({_of('sum', 'signup')} * 100, 6)) AS INT) AS steps,
   CAST(floor(round({_of('max', 'signup')} * 3, 6)) AS INT) AS calories_active,
   CAST(floor(round({_of('avg', 'signup')}, 6)) AS INT) AS active_zone_min,
-  round(100 - {_of('avg', 'error')} / 10, 4) AS spo2_avg,
+  round(100 - {_of('avg', 'error')} / 7, 4) AS spo2_avg,
   round(100 - {_of('max', 'error')} / 5, 4) AS spo2_min,
-  round(10 + {_of('avg', 'error')} / 10, 4) AS br_full_sleep,
+  round(10 + {_of('avg', 'error')} / 7, 4) AS br_full_sleep,
   round(min(value) - 5, 4) AS skin_temp_variation,
   CASE WHEN count(*) > 1 THEN min(ts) - INTERVAL '7' HOUR END AS sleep_start,
   CASE WHEN count(*) > 1 THEN max(ts) - INTERVAL '6' HOUR END AS sleep_end
