@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,11 +37,17 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured, as in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
+
+    Where the setting is missing, the context's checkpoint folder counts. A local master has one
+    machine, so its JVM's own folder will do there; on a cluster a missing setting is an error.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        return configured
-    return os.path.join(tempfile.gettempdir(), "kymo-checkpoints")
+        return configured.rstrip("/")
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        return f"{spark._jvm.java.lang.System.getProperty('java.io.tmpdir').rstrip('/')}/kymo-shared"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def checkpointed(df):
@@ -59,6 +63,17 @@ def materialized(df, name: str = "stage"):
     """Write a frame that several passes will read to the shared folder and read it back:
     columnar, pruned per pass, and safe when an executor is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/kymo-stage/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/kymo-stage/{name}-{uuid.uuid4().hex}"
+
+
+def clear_stage(spark: SparkSession) -> None:
+    """Delete everything staged so far; results that still read it must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kymo-stage")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
