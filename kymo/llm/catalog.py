@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import chat, exact_dedup, packing, sharding
+from kymo.llm import chat, exact_dedup, language, near_dedup, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fold(modulus: int) -> Column:
+    """crc32 of the document's id as text, by which folds are made."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op2_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(fold(3) != 1))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.minimax_shards(table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -76,6 +89,43 @@ FROM rows GROUP BY conv_id
 """
 
 
+def op7_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    return toxicity.score(docs, machine).select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+), least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(m, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), size=2048, end=0)
 
@@ -94,9 +144,19 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_minimax_shards, op5_reply_trees, op9_residual_packing, op10_digest_index)
+    f.__name__: f
+    for f in (
+        op2_string_kernels,
+        op4_minimax_shards,
+        op5_reply_trees,
+        op7_factorization_machine,
+        op8_circulant_minhash,
+        op9_residual_packing,
+        op10_digest_index,
+    )
+
 }
-SQL: dict[str, str] = {"op5_reply_trees": OP5_SQL, "op10_digest_index": OP10_SQL}
+SQL: dict[str, str] = {"op5_reply_trees": OP5_SQL, "op8_circulant_minhash": OP8_SQL, "op10_digest_index": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
