@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import chat, exact_dedup, language, near_dedup, packing, sharding, toxicity
+from kymo.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,35 @@ FROM rows GROUP BY conv_id
 """
 
 
+def op6_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id AS id, regexp_extract_all(lower(text), '[^ 	-]+') AS w FROM documents WHERE text IS NOT NULL
+), i AS (
+  SELECT item_id AS item, regexp_extract_all(lower(text), '[^ 	-]+') AS w FROM benchmark WHERE text IS NOT NULL
+), ds AS (
+  SELECT id, len(w) AS n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - 4)) AS p FROM w)
+), items AS (
+  SELECT item, len(w) AS size, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - 4)) AS p FROM i)
+), counts AS (SELECT item, size, s, count(*) AS c FROM items GROUP BY ALL
+), pairs AS (SELECT DISTINCT id, n, item, size FROM ds JOIN counts USING (s)
+), starts AS (SELECT id, item, size, n, unnest(range(0, greatest(n - size, 0) + 1)) AS start FROM pairs
+), windows AS (
+  SELECT t.id, t.item, t.size, t.n, start, s, count(*) AS c
+  FROM starts t JOIN ds ON ds.id = t.id AND p BETWEEN start AND start + t.size - 5 GROUP BY ALL
+), shared AS (
+  SELECT id, v.item, v.size, n, start, sum(least(v.c, counts.c)) AS b
+  FROM windows v JOIN counts ON counts.item = v.item AND counts.s = v.s GROUP BY ALL
+)
+SELECT id AS doc_id, item AS item_id, round(max(CAST(b AS DOUBLE) / (least(size, n) - 4 + size - 4 - b)), 6) AS similarity
+FROM shared GROUP BY id, item HAVING max(CAST(b AS DOUBLE) / (least(size, n) - 4 + size - 4 - b)) >= 0.75
+"""
+
+
 def op7_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
@@ -149,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_string_kernels,
         op4_minimax_shards,
         op5_reply_trees,
+        op6_simhash_windows,
         op7_factorization_machine,
         op8_circulant_minhash,
         op9_residual_packing,
@@ -156,7 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 
 }
-SQL: dict[str, str] = {"op5_reply_trees": OP5_SQL, "op8_circulant_minhash": OP8_SQL, "op10_digest_index": OP10_SQL}
+SQL: dict[str, str] = {"op5_reply_trees": OP5_SQL, "op6_simhash_windows": OP6_SQL, "op8_circulant_minhash": OP8_SQL, "op10_digest_index": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
