@@ -69,16 +69,15 @@ def _jumps(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     state = materialized(state, "jumps")
     jumps, open_ = [state], state.where("up IS NOT NULL").count()
     while open_:
-        state = materialized(
-            _beside(state, state, "up", "left").select(
-                "a.tree",
-                "a.node",
-                F.col("b.up").alias("up"),
-                (F.col("a.n") + F.coalesce("b.n", F.lit(0))).alias("n"),
-                (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"),
-            ),
-            "jumps",
+        ended, open_rows = state.where("up IS NULL"), state.where("up IS NOT NULL")
+        further = _beside(open_rows, state, "up").select(
+            "a.tree",
+            "a.node",
+            F.col("b.up").alias("up"),
+            (F.col("a.n") + F.col("b.n")).alias("n"),
+            (F.col("a.score") + F.col("b.score")).alias("score"),
         )
+        state = materialized(ended.unionByName(further), "jumps")  # only open paths are joined again
         left = state.where("up IS NOT NULL").count()
         if left == open_:  # only cycles are left
             break
