@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, sharding, toxicity
+from kymo.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,18 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def op1_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce(removed, F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(fold(3) != 1))
@@ -33,6 +45,15 @@ def op2_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_counts.section_tokens(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="first"
+    )
+    return found.select("doc_id", "section", "char_start", "char_end", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.minimax_shards(table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -96,9 +117,11 @@ def op6_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH w AS (
-  SELECT doc_id AS id, regexp_extract_all(lower(text), '[^ 	-]+') AS w FROM documents WHERE text IS NOT NULL
+  SELECT doc_id AS id, regexp_extract_all(lower(text), '[^ 	-
+]+') AS w FROM documents WHERE text IS NOT NULL
 ), i AS (
-  SELECT item_id AS item, regexp_extract_all(lower(text), '[^ 	-]+') AS w FROM benchmark WHERE text IS NOT NULL
+  SELECT item_id AS item, regexp_extract_all(lower(text), '[^ 	-
+]+') AS w FROM benchmark WHERE text IS NOT NULL
 ), ds AS (
   SELECT id, len(w) AS n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - 4)) AS p FROM w)
 ), items AS (
@@ -175,7 +198,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_merged_transforms,
         op2_string_kernels,
+        op3_offset_attribution,
         op4_minimax_shards,
         op5_reply_trees,
         op6_simhash_windows,
@@ -189,8 +214,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {"op5_reply_trees": OP5_SQL, "op6_simhash_windows": OP6_SQL, "op8_circulant_minhash": OP8_SQL, "op10_digest_index": OP10_SQL}
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
