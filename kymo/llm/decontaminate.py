@@ -26,11 +26,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kymo.llm.frames import free, small
 from kymo.session import materialized
 
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.75, 23, 64
-#: Rows of the benchmark's side that may be broadcast; above that the joins shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -45,10 +44,6 @@ def shingle_hashes(w: Column, k: int) -> Column:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def simhash(rows: DataFrame, keys: list[str], shingles: str) -> DataFrame:
     """Fingerprint of each row's shingles: bit b is set if more than half of the hashes have it.
     Sixteen sums hold the 64 counts, four to a sum (of items above 65,535 shingles the counts are
@@ -90,7 +85,7 @@ def within_radius(a: DataFrame, b: DataFrame) -> DataFrame:
     right = b.select("iid", F.col("size").alias("z"), F.col("print").alias("q"), F.explode(blocks("print")).alias("c"))
     same = (F.col("size") == F.col("z")) & (F.col("block.number") == F.col("c.number")) & (F.col("block.value") == F.col("c.value"))
     close = F.bit_count(F.col("print").bitwiseXOR(F.col("q"))) <= RADIUS
-    return left.join(_small(right), same).where(close).select("wid", "iid").distinct()
+    return left.join(small(right), same).where(close).select("wid", "iid").distinct()
 
 
 def _items(benchmark: DataFrame, text_col: str) -> DataFrame:
@@ -112,7 +107,7 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         seeds = items.where(F.col("k") == k).select("size", F.explode("shingles").alias("h")).distinct()
         found = (
             docs.select("key", F.size("w").alias("n"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "h"))
-            .join(_small(seeds), "h")
+            .join(small(seeds), "h")
             .select("key", "size", F.lit(k).alias("k"), F.least("pos", F.greatest(F.col("n") - F.col("size"), F.lit(0))).alias("start"))
         )
         out.append(found)
@@ -129,7 +124,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     if starts is None:
         return spark.createDataFrame([], "key long, iid long, similarity double, start int")
     starts = materialized(starts, "windows")
-    hits = _small(starts.select("key").distinct())
+    hits = small(starts.select("key").distinct())
     texts = materialized(text.join(hits, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "hit-texts")
     w = texts.select("key", words(F.col("text")).alias("w"))
     hashed = F.coalesce(*[F.when(F.col("k") == k, shingle_hashes(F.col("w"), k)) for k in range(1, SHINGLE + 1)])
@@ -148,7 +143,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     shared = F.sum(F.least("c", "ci"))
     verified = (
         counted.join(candidates, "wid")
-        .join(_small(wanted), ["iid", "h"])
+        .join(small(wanted), ["iid", "h"])
         .groupBy("wid", "iid", "m", "mi")
         .agg(shared.alias("both"))
         .select("wid", "iid", (F.col("both") / (F.col("m") + F.col("mi") - F.col("both"))).alias("similarity"))
@@ -172,10 +167,11 @@ def contaminated(
     found = matches(docs, benchmark, text_col, item_text)
     named = benchmark.select(F.col(item_col), F.xxhash64(F.array_join(words(F.col(item_text)), " ")).alias("iid"))
     rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("key"))
-    return rows.join(found, "key").join(_small(named), "iid").select(id_col, item_col, "similarity", "start")
+    return rows.join(found, "key").join(small(named), "iid").select(id_col, item_col, "similarity", "start")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, with all their columns."""
-    keys = materialized(matches(docs, benchmark, text_col, item_text).select(F.col("key").alias("__key")).distinct(), "leaked")
-    return docs.join(_small(keys), F.xxhash64(text_col) == F.col("__key"), "left_anti")
+    name = free(docs, "leaked_key")
+    keys = materialized(matches(docs, benchmark, text_col, item_text).select(F.col("key").alias(name)).distinct(), "leaked")
+    return docs.join(small(keys), F.xxhash64(text_col) == F.col(name), "left_anti")

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kymo.llm.frames import free
 from kymo.session import materialized, stage_path
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -125,14 +126,12 @@ def drop_duplicates(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     _, found = _matched(docs, index, id_col, text_col, 1)
-    keep = found.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"), "n_first")
+    digest, keep_id = free(docs, "text_digest"), free(docs, "kept_id")
+    keep = found.select(F.col("digest").alias("other_digest"), F.col("keep_id").alias(keep_id), "n_first")
     ties = keep.where("n_first > 1").limit(1).count() > 0
-    rows = docs.withColumn("__digest", text_digest(F.col(text_col)))
-    left = rows.join(
-        keep.drop("n_first"),
-        (rows["__digest"] == keep["__digest"]) & rows[id_col].eqNullSafe(F.col("__keep_id")),
-        "left_semi",
-    )
+    rows = docs.withColumn(digest, text_digest(F.col(text_col)))
+    same = (F.col(digest) == keep["other_digest"]) & F.col(id_col).eqNullSafe(F.col(keep_id))
+    left = rows.join(keep.drop("n_first"), same, "left_semi")
     if ties:  # repeated rows: same id and same text
-        left = left.dropDuplicates(["__digest"])
-    return left.drop("__digest")
+        left = left.dropDuplicates([digest])
+    return left.drop(digest)

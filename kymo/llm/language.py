@@ -152,7 +152,8 @@ def train(
 
 
 def identify(docs: DataFrame, model: KernelClassifier, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score."""
+    """``docs`` with lang_pred and lang_score, which replace columns of these names."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kymo.llm.components import components
+from kymo.llm.frames import free, small
 from kymo.llm.words import WordHashes, mixed, shingle_set
 from kymo.session import materialized
 
@@ -38,8 +39,6 @@ COORDINATES, BANDS, ROWS = 256, 32, 4
 PERCENT, CUT = 75, 0.615
 #: Members of a bucket that one block holds; shingles hashed at once.
 BLOCK, CHUNK = 256, 32_768
-#: Rows of a small side that may be broadcast, 24 bytes each; above that the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def circulant_signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -223,11 +222,6 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("hash"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("bytes")]
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Verified links between classes that keep all components: (u, v)."""
     keys = classes.select("cid", F.explode("keys").alias("key"))
@@ -321,8 +315,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with the same id and text stay or go together (exact dedup before leaves one of them); rows of
     a component without any id all stay."""
     found = near_duplicates(docs, id_col, text_col)
-    names = {id_col: "__id", "hash": "__h", "bytes": "__b"}
+    id_, hash_, bytes_ = (free(docs, n) for n in ("gone_id", "gone_hash", "gone_bytes"))
+    names = {id_col: id_, "hash": hash_, "bytes": bytes_}
     gone = materialized(found.where("NOT kept").select(*names).withColumnsRenamed(names).distinct(), "gone")
     key, length = _text_key(F.col(text_col))
-    same = (key == F.col("__h")) & (length == F.col("__b")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    same = (key == F.col(hash_)) & (length == F.col(bytes_)) & F.col(id_col).eqNullSafe(F.col(id_))
     return docs.join(small(gone), same, "left_anti")

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kymo.llm.frames import bounded
 from kymo.session import materialized
 
 GRAM = 8
@@ -43,8 +44,6 @@ GRAM = 8
 FIRST, SECOND, BEFORE = 28, 18, 18
 #: Text of one shard, and text behind one range of the merged order.
 SHARD_BYTES, RANGE_BYTES = 32 << 20, 32 << 20
-#: A side of at most so many bytes is broadcast; above that the join shuffles.
-BROADCAST_BYTES = 64 << 20
 LAST = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -286,12 +285,6 @@ def _covered(length: int):
     return run
 
 
-def bounded(df: DataFrame, bytes_per_row: str) -> DataFrame:
-    """``df`` marked for broadcast if its rows take at most ``BROADCAST_BYTES``; else as it is."""
-    size = df.agg(F.sum(F.expr(bytes_per_row) + 32)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     if kind not in ("tinyint", "smallint", "int", "bigint"):

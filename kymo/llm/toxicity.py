@@ -166,8 +166,9 @@ def train(
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a column ``out``: the probability of label 1. The model is of a fixed size and
-    goes to the executors once."""
+    """``docs`` with a column ``out``, which replaces one of that name: the probability of label 1. The
+    model is of a fixed size and goes to the executors once."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
