@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from kymo.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from kymo.llm.catalog import table, vocabulary
+from kymo.llm.frames import free
 from kymo.session import materialized
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a factorization machine, fitted on the labelled ones, does not reject."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, machine, out="__toxicity")
-    return scored.where(F.col("__toxicity") < 0.5).drop("__toxicity")
+    name = free(docs, "toxicity")
+    return toxicity.score(docs, machine, out=name).where(F.col(name) < 0.5).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
