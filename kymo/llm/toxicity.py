@@ -30,8 +30,11 @@ from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS, FACTORS, MIN_DOCS, STEM = 18, 8, 4, 4
-#: Soft threshold of a gradient step of size one.
-LASSO = 8e-3
+#: Training rows, and their share, that a feature needs to take part in interactions: a pair must
+#: have been seen together to tell anything.
+MIN_PAIRED, MIN_SHARE = 20, 0.003
+#: Soft thresholds of a gradient step of size one, of weights and of vectors.
+LASSO, V_LASSO = 8e-3, 4e-3
 #: Distinct words that a worker remembers; beyond that it forgets all and starts anew.
 KNOWN = 500_000
 
@@ -88,11 +91,12 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 8, rate: float
     if share in (0.0, 1.0) or not len(labels):
         machine.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return machine
-    seen = np.bincount(np.concatenate([*docs, np.zeros(0, np.int32)]), minlength=size) >= MIN_DOCS
-    docs = [d[seen[d]] for d in docs]
-    machine.v[seen] = rng.normal(0, 0.01, (int(seen.sum()), FACTORS))
+    count = np.bincount(np.concatenate([*docs, np.zeros(0, np.int32)]), minlength=size)
+    docs = [d[(count >= MIN_DOCS)[d]] for d in docs]
+    paired = count >= max(MIN_PAIRED, MIN_SHARE * len(docs))
+    machine.v[paired] = rng.normal(0, 0.02, (int(paired.sum()), FACTORS))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    w_sum, v_sum, b_sum = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2
+    w_sum, v_sum, b_sum = np.full(size, 1e-2), np.full((size, FACTORS), 1e-5), 1e-2
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), 64):
@@ -118,7 +122,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 8, rate: float
             machine.w[used] = np.sign(w) * np.maximum(np.abs(w) - step * LASSO, 0)
             step = rate / np.sqrt(v_sum[used])
             v = machine.v[used] - step * gv
-            machine.v[used] = np.sign(v) * np.maximum(np.abs(v) - step * LASSO, 0)
+            machine.v[used] = np.sign(v) * np.maximum(np.abs(v) - step * V_LASSO, 0) * paired[used, None]
     return machine
 
 
