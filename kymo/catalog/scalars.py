@@ -220,7 +220,7 @@ def _(v):
     return v.events.select("event_id", vocab.map_stage_code(F.col("event_id") % 8).alias("stage"))
 
 
-_CASES = " ".join(f"WHEN {c} THEN '{n}'" for c, n in vocab.exercise_names().items())
+_CASES = " ".join(f"WHEN {c} THEN '{n}'" for c, n in vocab.EXERCISES.items())
 
 
 @query("map_exercise_code", f"SELECT event_id, CASE event_id % 82 {_CASES} ELSE 'Other' END AS activity_name FROM events")
@@ -281,10 +281,10 @@ _GREETINGS = ["The", "Le"]
 
 
 def _clean_sql() -> str:
-    emoji, edges = txt.emoji_pattern(), txt.EDGES.replace("'", "''")
+    emoji, edges = txt.EMOJI, txt.EDGES.replace("'", "''")
     notes = "\n".join(f"p{i} AS (SELECT *, contains(t{i}, '{o}') AS hit{i}, replace(t{i}, '{o}', '{n}') AS t{i + 1} FROM p{i - 1})," for i, (o, n) in enumerate(_PHRASES))
     k = len(_PHRASES)
-    hits = ", ".join(f"CASE WHEN hit{i} THEN 'phrase_replaced: {o}' END" for i, (o, _n) in enumerate(_PHRASES))
+    hits = ", ".join(f"CASE WHEN hit{i} THEN 'medical_term_replaced: {o}' END" for i, (o, _n) in enumerate(_PHRASES))
     greet = " OR ".join(f"contains(first_line, '{g}')" for g in _GREETINGS)
     return f"""WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{txt.FENCE}', '', 'g'), '{emoji}', '', 'g') AS t0 FROM documents),
 {notes.replace('FROM p-1', 'FROM p')}

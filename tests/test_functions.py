@@ -94,7 +94,7 @@ def test_map_stage_text(spark, value, fixed, legacy):
 
 
 def test_exercise_table(spark):
-    assert len(vocab.exercise_names()) == 46
+    assert len(vocab.EXERCISES) == 46
     df = spark.createDataFrame([(49,), (0,), (57,)], "code int")
     got = {r["code"]: r["activity_name"] for r in vocab.map_exercise_code(df).collect()}
     assert got == {49: "Running", 0: "Other", 57: "Skiing"}
@@ -106,7 +106,7 @@ def test_clean_generated_text(spark):
     long, short = text.clean_generated_text(df).collect()
     assert len(long["clean_text"]) <= 1500 and long["clean_text"].endswith("。")
     assert "```" not in long["clean_text"] and "😀" not in long["clean_text"] and "\n\n\n" not in long["clean_text"]
-    assert long["warnings"][0] == "phrase_replaced: 医師に相談" and long["warnings"][1].startswith("truncated: ")
+    assert long["warnings"][0] == "medical_term_replaced: 医師に相談" and long["warnings"][1].startswith("truncated: ")
     assert short["warnings"] == ["short_output: 5 chars", "missing_greeting"]
 
 
