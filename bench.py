@@ -53,6 +53,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
+            "spark.checkpoint.dir": os.environ.get("BENCH_SHARED", "/tmp/kymo-bench"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -178,12 +178,12 @@ def _(v):
     "replace_time_range",
     """WITH s AS (SELECT subject_id, sleep_start AS a, sleep_end AS b FROM daily WHERE sleep_start IS NOT NULL)
 SELECT subject_id, event_id, stage FROM sleep_stages o WHERE log_id = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.subject_id = o.subject_id AND o.time BETWEEN s.a AND s.b)
-UNION ALL SELECT subject_id, event_id, stage FROM sleep_stages WHERE log_id = 1""",
+UNION ALL SELECT subject_id, event_id, stage FROM sleep_stages WHERE log_id > 0""",
 )
 def _(v):
     spans = v.daily.where("sleep_start IS NOT NULL").select("subject_id", F.col("sleep_start").alias("start"), F.col("sleep_end").alias("end"))
     s = v.sleep_stages.drop("date")
-    out = sinks.replace_time_range(s.where("log_id = 0"), s.where("log_id = 1"), "time", spans)
+    out = sinks.replace_time_range(s.where("log_id = 0"), s.where("log_id > 0"), "time", spans)
     return out.select("subject_id", "event_id", "stage")
 
 

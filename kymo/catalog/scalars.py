@@ -120,10 +120,10 @@ _MATURITY = "CASE WHEN n < 14 THEN n / 14.0e0 * 0.5e0 WHEN n < 30 THEN 0.5e0 + (
 @query(
     "baseline_maturity",
     f"""SELECT subject_id, date, {r(_MATURITY)} AS factor, CASE WHEN n < 14 THEN 'cold' WHEN n < 30 THEN 'warming' ELSE 'warm' END AS label,
-  CASE WHEN n < 14 THEN 'cold' WHEN n < 60 THEN 'warming' ELSE 'mature' END AS quality_label FROM (SELECT subject_id, date, active_zone_min AS n FROM daily WHERE active_zone_min IS NOT NULL) d""",
+  CASE WHEN n < 14 THEN 'cold' WHEN n < 60 THEN 'warming' ELSE 'mature' END AS quality_label FROM (SELECT subject_id, date, active_zone_min AS n FROM daily) d""",
 )
 def _(v):
-    d = v.daily.where("active_zone_min IS NOT NULL")
+    d = v.daily
     return d.select(
         "subject_id", "date", num.baseline_maturity("active_zone_min").alias("factor"), num.maturity_label("active_zone_min").alias("label"),
         num.maturity_label("active_zone_min", 60, "mature").alias("quality_label"),
@@ -132,20 +132,20 @@ def _(v):
 
 @query(
     "divergence_phase",
-    "SELECT subject_id, date, CASE WHEN active_zone_min < 14 THEN 'cold_start' WHEN active_zone_min < 28 THEN 'initial' WHEN active_zone_min < 60 THEN 'baseline' ELSE 'full' END AS phase FROM daily WHERE active_zone_min IS NOT NULL",
+    "SELECT subject_id, date, CASE WHEN active_zone_min < 14 THEN 'cold_start' WHEN active_zone_min < 28 THEN 'initial' WHEN active_zone_min < 60 THEN 'baseline' ELSE 'full' END AS phase FROM daily",
 )
 def _(v):
-    return v.daily.where("active_zone_min IS NOT NULL").select("subject_id", "date", num.divergence_phase("active_zone_min").alias("phase"))
+    return v.daily.select("subject_id", "date", num.divergence_phase("active_zone_min").alias("phase"))
 
 
 @query(
     "prediction_confidence",
     f"""SELECT subject_id, date, {r('0.4e0 * least(1.0e0, active_zone_min / 60.0e0) + 0.3e0 * greatest(0.0e0, skin_temp_variation / 100) + 0.3e0 * spo2_avg / 100', 9)} AS ridge,
-  {r('greatest(0.0e0, least(1.0e0, greatest(0.0e0, least(1.0e0, 1 - skin_temp_variation / 50)) * (1 - 0.5e0 * spo2_avg / 100)))', 9)} AS forecast FROM daily WHERE active_zone_min IS NOT NULL AND spo2_avg IS NOT NULL""",
+  CASE WHEN spo2_avg IS NOT NULL AND skin_temp_variation IS NOT NULL THEN {r('greatest(0.0e0, least(1.0e0, greatest(0.0e0, least(1.0e0, 1 - skin_temp_variation / 50)) * (1 - 0.5e0 * spo2_avg / 100)))', 9)} END AS forecast FROM daily""",
     digits=9,
 )
 def _(v):
-    d = v.daily.where("active_zone_min IS NOT NULL AND spo2_avg IS NOT NULL")
+    d = v.daily
     return d.select(
         "subject_id", "date",
         num.prediction_confidence("active_zone_min", F.col("skin_temp_variation") / 100, F.col("spo2_avg") / 100).alias("ridge"),
@@ -241,10 +241,10 @@ def _(v):
 @query(
     "cosinor_curve",
     f"""SELECT subject_id, date, CAST(h AS INT) AS hour, {r(f'resting_hr + spo2_avg * cos((h - active_zone_min) * {PI2} / 24)')} AS value
-FROM daily, (SELECT unnest(range(24)) AS h) u WHERE resting_hr IS NOT NULL AND spo2_avg IS NOT NULL AND active_zone_min IS NOT NULL""",
+FROM daily, (SELECT unnest(range(24)) AS h) u""",
 )
 def _(v):
-    d = v.daily.where("resting_hr IS NOT NULL AND spo2_avg IS NOT NULL AND active_zone_min IS NOT NULL")
+    d = v.daily
     d = d.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return d.select("subject_id", "date", "hour", clock.cosinor_value("resting_hr", "spo2_avg", "active_zone_min", F.col("hour")).alias("value"))
 
@@ -304,7 +304,21 @@ def _(v):
     return out.select("doc_id", "clean_text", joined("warnings").alias("warnings"))
 
 
-@query("explain_text")
+_DRIVERS = [("resting_hr", "resting hr", " bpm"), ("spo2_avg", "spo2", " %"), ("br_full_sleep", "breathing rate", " br/min"), ("steps", "steps", " steps")]
+_SAID = " UNION ALL ".join(
+    f"SELECT subject_id, date, {i} AS i, '{name} was ' || CASE WHEN v = floor(v) THEN printf('%.0f', v) ELSE printf('%.1f', v) END || '{unit}' AS said, 40.0e0 - coalesce(v, 0) AS c FROM (SELECT subject_id, date, CAST({col} AS DOUBLE) AS v FROM daily) x"
+    for i, (col, name, unit) in enumerate(_DRIVERS)
+)
+
+
+@query(
+    "explain_text",
+    f"""WITH a AS ({_SAID}), k AS (SELECT *, row_number() OVER (PARTITION BY subject_id, date ORDER BY abs(c) DESC, i) AS n FROM a),
+g AS (SELECT subject_id, date, list(said ORDER BY n) FILTER (n <= 3 AND c < 0) AS s FROM k GROUP BY subject_id, date)
+SELECT subject_id, date, CASE WHEN s IS NULL THEN 'No strong anomaly drivers detected.'
+  WHEN len(s) = 1 THEN 'Your health pattern today was unusual — the main driver was ' || s[1] || '.'
+  ELSE 'Your health pattern today was unusual — the main driver was ' || s[1] || ', combined with ' || s[2] || '.' END AS explanation FROM g""",
+)
 def _(v):
     cols = ["resting_hr", "spo2_avg", "br_full_sleep", "steps"]
     arr = F.array(

@@ -63,10 +63,11 @@ SELECT user_id AS subject_id, CAST(ts AS DATE) AS date, CAST(count(*) * 5.0 AS D
   CAST(count(DISTINCT event_type) AS DOUBLE) / 10.0E0 + 0.25E0 AS confidence_score
 FROM events GROUP BY user_id, CAST(ts AS DATE)""",
     "condition_logs": """
-SELECT event_id AS id, user_id AS subject_id, ts AS logged_at, CAST(least(100, floor(value)) AS INT) AS overall_vas,
+SELECT event_id AS id, user_id AS subject_id,
+  CASE WHEN event_id % 2 = 0 THEN ts ELSE ts + INTERVAL '400' DAY END AS logged_at, CAST(least(100, floor(value)) AS INT) AS overall_vas,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 101 AS INT) END AS mood_vas,
   CAST(event_id % 7 AS INT) AS overall, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 6 AS INT) END AS mental,
-  concat(event_type, ',', 'g', CAST(event_id % 7 AS VARCHAR(2))) AS tags_csv FROM events WHERE event_id % 2 = 0""",
+  concat(event_type, ',', 'g', CAST(event_id % 7 AS VARCHAR(2))) AS tags_csv FROM events""",
     "tall_records": """
 SELECT l_suppkey AS subject_id, CAST(l_shipdate AS DATE) AS date, l_shipdate AS start,
   CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 1 ELSE 0 END AS source_rank,

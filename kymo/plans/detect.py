@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kymo.core import SUBJECT, Keys
 from kymo.functions.numeric import divergence_phase, forecast_confidence
-from kymo.functions.text import explain_divergence, explain_text
+from kymo.functions.text import describe_feature, explain_divergence, explain_text
 from kymo.operators.aggregates import count_valid_days
 from kymo.operators.frames import cusum
 from kymo.operators.joins import latest_log_per_day
@@ -15,12 +15,12 @@ from kymo.operators.quantiles import attach
 from kymo.operators.ranking import sort_by_size, top_k_drivers
 from kymo.plans.boosting import BoostedModel, gbt_ablation, gbt_predict
 from kymo.plans.features import DIVERGENCE_FEATURES
-from kymo.plans.forest import ForestModel, ablation_attribution, isolation_forest_score
+from kymo.plans.forest import ForestModel, ablation_attribution
 from kymo.plans.linear import RidgeModel, linear_contributions, model_confidence, ridge_predict
 from kymo.plans.quality import anomaly_quality_gate
 
 SENTINELS = ("no_condition_log", "no_biometric_data")
-NO_DRIVERS = "ARRAY<STRUCT<feature STRING, value DOUBLE, contribution DOUBLE>>"
+NO_DRIVERS = "ARRAY<STRUCT<feature STRING, contribution DOUBLE, direction STRING, description STRING>>"
 
 
 def _signed(direction_of: Column, positive: str, negative: str, zero: str) -> Column:
@@ -39,10 +39,19 @@ def anomaly_detect(
     on = [*keys, "date"]
     gated = anomaly_quality_gate(features, quality, completeness_scale, keys, min_wear)
     passed = gated.where(F.col("quality_gate") == "pass").select(*on, *model.cols)
-    scored = isolation_forest_score(passed, model, on).join(ablation_attribution(passed, model, on), on)
+    scored = ablation_attribution(passed, model, on, scores=True)
     out = gated.select(*on, "quality_gate", "quality_confidence").join(scored, on, "left")
     zero = lambda c: F.coalesce(F.bround(c, 4), F.lit(0.0))
     ranked = sort_by_size("contributions")
+    drivers = F.transform(
+        F.slice(ranked, 1, 5),
+        lambda d: F.struct(
+            d.feature.alias("feature"),
+            F.bround(d.contribution, 4).alias("contribution"),
+            _signed(-d.contribution, "anomalous", "normal", "neutral").alias("direction"),
+            describe_feature(d.feature, d.value).alias("description"),
+        ),
+    )
     return out.select(
         *on,
         zero("anomaly_score").alias("anomaly_score"),
@@ -51,7 +60,7 @@ def anomaly_detect(
         "quality_gate",
         F.bround("quality_confidence", 4).alias("quality_confidence"),
         zero(F.col("normalized_score") * F.col("quality_confidence")).alias("quality_adjusted_score"),
-        F.coalesce(F.slice(ranked, 1, 5), F.array().cast(NO_DRIVERS)).alias("top_drivers"),
+        F.coalesce(drivers, F.array().cast(NO_DRIVERS)).alias("top_drivers"),
         F.when(
             F.col("quality_gate") != "pass", F.concat(F.lit("Quality gate failed: "), F.col("quality_gate"), F.lit("."))
         ).otherwise(explain_text(ranked)).alias("explanation"),
@@ -104,10 +113,20 @@ def divergence_detect(
             "cusum_negative": F.when(chart, F.col("cusum_negative")).otherwise(0.0),
             "cusum_alert": F.when(chart, F.col("cusum_alert")).otherwise(False),
             "confidence": F.when(known, F.bround(model_confidence(model), 4)),
-            "top_drivers": F.when(known, top_k_drivers("contributions", 5)),
+            "_top": F.when(known, top_k_drivers("contributions", 5)),
         }
     )
-    first = F.get("top_drivers", F.lit(0))
+    first = F.get("_top", F.lit(0))
+    drivers = F.transform(
+        "_top",
+        lambda d: F.struct(
+            d.feature.alias("feature"),
+            d.coefficient.alias("coefficient"),
+            d.value.alias("feature_value"),
+            F.bround(d.contribution, 4).alias("contribution"),
+            F.when(d.contribution > 0, "positive").otherwise("negative").alias("direction"),
+        ),
+    )
     text = (
         F.when(F.col("divergence_type") == "no_biometric_data", "No biometric data available for this date.")
         .when(F.col("divergence_type") == "no_condition_log", "No condition log recorded for this date.")
@@ -117,7 +136,8 @@ def divergence_detect(
     return out.select(
         *on, "condition_log_id", shown("actual_score", 2), shown("predicted_score", 2), shown("residual", 4),
         F.bround("cusum_positive", 4).alias("cusum_positive"), F.bround("cusum_negative", 4).alias("cusum_negative"),
-        "cusum_alert", "divergence_type", "phase", "confidence", "top_drivers", text.alias("explanation"),
+        "cusum_alert", "divergence_type", "phase", "confidence", drivers.alias("top_drivers"), text.alias("explanation"),
+        F.lit(model.version).alias("model_version"),
     )
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,8 @@ from kymo.operators.quantiles import quantiles_wide
 from kymo.plans.evaluation import pot_threshold, score_normalise
 from kymo.session import materialized
 
-POOL = 16_384  # rows all trees draw from: a sample of fixed size, whatever the table
+# Draws are hashes below this bound.
+HASHES = 1 << 62
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -96,7 +97,7 @@ class ForestModel:
 
     def decision(self, x: np.ndarray) -> np.ndarray:
         """Higher is more normal; the offset puts the contamination share below 0."""
-        score = -np.power(2.0, -self.depth(x) / float(average_path(np.array(self.psi))))
+        score = -np.power(2.0, -self.depth(x) / max(float(average_path(np.array(self.psi))), 1e-12))
         return score - self.offset
 
 
@@ -118,8 +119,10 @@ def isolation_forest_train(
     seed: int = 42,
     row_id: Sequence[str] = (),
 ) -> ForestModel:
-    """Fit on the whole table's statistics; trees see ``psi`` rows each. Rows are drawn by a hash of ``row_id`` (a unique key), which repeats exactly; without
-    one they are drawn at random. Equal feature rows are drawn independently either way.
+    """Fit on the whole table's statistics; each tree draws ``psi`` rows of its own from the whole
+    table, by a hash of ``row_id`` (a unique key) and the tree, which repeats exactly; without a
+    key they are drawn at random. With fewer than ``psi`` rows every tree sees all of them, and
+    path lengths are normalised by that number.
 
     Medians, winsor bounds, the offset and the thresholds are exact over all rows. Only the
     tree samples are bounded, as the method prescribes, so driver and task memory do not
@@ -136,12 +139,21 @@ def isolation_forest_train(
     )
     clean = filled.select(*prepared(filled, model))
 
+    n = df.count()
+    psi = model.psi = max(1, min(psi, n))
     key = F.xxhash64(*row_id, F.lit(seed)) if row_id else (F.rand(seed) * 2.0**62).cast("long")
-    pool = df.withColumn("_key", key).select("_key", *prepared(df, model)).orderBy("_key").limit(POOL)
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_draw", F.xxhash64("_key", "tree", F.lit(seed))
+    # A row keeps the trees whose hash is below a rate that gives each tree psi rows, with room for
+    # chance (eight deviations); the rest is a rank over that bounded number.
+    rate = min(1.0, (psi + 8.0 * math.sqrt(psi) + 32.0) / max(n, 1))
+    draw = lambda tree: F.xxhash64("_key", tree, F.lit(seed)).bitwiseAND(F.lit(HASHES - 1))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    drawn = (
+        df.withColumn("_key", key)
+        .select("_key", *prepared(df, model))
+        .withColumn("tree", F.explode(F.filter(every, lambda t: draw(t) <= F.lit(int(rate * HASHES)))))
+        .withColumn("_draw", draw(F.col("tree")))
     )
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("_draw"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("_draw", *cols))
     samples = drawn.withColumn("_n", rank).where(F.col("_n") <= psi).select("tree", *cols)
 
     limit = max(1, math.ceil(math.log2(psi)))
@@ -196,14 +208,20 @@ def isolation_forest_score(df: DataFrame, model: ForestModel, keys: Keys) -> Dat
     missing = sum((F.col(c).isNull().cast("int") for c in model.cols), F.lit(0)) / float(len(model.cols))
     tagged = df.select(*keys, *model.cols, missing.alias("_missing"))
     raw = _score(tagged, model, [*keys, "_missing"], "anomaly_score")
+    return raw.select(*keys, "anomaly_score", *_flagged(model))
+
+
+def _flagged(model: ForestModel) -> list[Column]:
+    """Normalised score and flag of rows with anomaly_score and _missing."""
     unit, flag = score_normalise(
         "anomaly_score", F.lit(model.score_min), F.lit(model.score_max), F.lit(model.threshold), "_missing"
     )
-    return raw.select(*keys, "anomaly_score", unit.alias("normalized_score"), flag.alias("is_anomaly"))
+    return [unit.alias("normalized_score"), flag.alias("is_anomaly")]
 
 
-def ablation_attribution(df: DataFrame, model: ForestModel, keys: Keys) -> DataFrame:
-    """Per-row contributions: score change when one feature is set to its median.
+def ablation_attribution(df: DataFrame, model: ForestModel, keys: Keys, scores: bool = False) -> DataFrame:
+    """Per-row contributions: score change when one feature is set to its median. ``scores`` adds
+    the columns of ``isolation_forest_score``, from the same pass.
 
     These are not Shapley values: each feature is ablated alone. Negative means the feature
     pushes the row toward an anomaly. Rows stay in their Arrow batch, so nothing is shuffled;
@@ -214,7 +232,10 @@ def ablation_attribution(df: DataFrame, model: ForestModel, keys: Keys) -> DataF
     raw_cols = [f"_raw{j}" for j in range(len(cols))]
     delta_cols = [f"_delta{j}" for j in range(len(cols))]
     schema = T.StructType(
-        [*[df.schema[k] for k in keys], *[T.StructField(c, T.DoubleType()) for c in (*raw_cols, *delta_cols)]]
+        [
+            *[df.schema[k] for k in keys],
+            *[T.StructField(c, T.DoubleType()) for c in ("_missing", *raw_cols, *delta_cols, "anomaly_score")],
+        ]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,13 +250,19 @@ def ablation_attribution(df: DataFrame, model: ForestModel, keys: Keys) -> DataF
                     y = x[changed].copy()
                     y[:, j] = m.medians[c]
                     delta[changed, j] = full[changed] - m.decision(y)
-            yield pd.concat([pdf[[*keys, *raw_cols]], pd.DataFrame(delta, columns=delta_cols, index=pdf.index)], axis=1)
+            delta = pd.DataFrame(delta, columns=delta_cols, index=pdf.index)
+            yield pd.concat([pdf[[*keys, "_missing", *raw_cols]], delta], axis=1).assign(anomaly_score=full)
 
-    source = df.select(*keys, *[dbl(c).alias(r) for c, r in zip(cols, raw_cols)], *prepared(df, model))
+    missing = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0)) / float(len(cols))
+    raws = [dbl(c).alias(r) for c, r in zip(cols, raw_cols)]
+    source = df.select(*keys, missing.alias("_missing"), *raws, *prepared(df, model))
     items = F.array(
         *[
             F.struct(F.lit(c).alias("feature"), finite(r).alias("value"), F.col(d).alias("contribution"))
             for c, r, d in zip(cols, raw_cols, delta_cols)
         ]
     )
-    return source.mapInPandas(run, schema).select(*keys, items.alias("contributions"))
+    out = source.mapInPandas(run, schema)
+    if not scores:
+        return out.select(*keys, items.alias("contributions"))
+    return out.select(*keys, "anomaly_score", *_flagged(model), items.alias("contributions"))

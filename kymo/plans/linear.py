@@ -25,6 +25,7 @@ class RidgeModel:
     keys: tuple[str, ...]
     logit: bool
     table: DataFrame
+    version: str = ""
 
 
 def _moments(cols: Sequence[str], y: str, w: Column, mark: str) -> list[Column]:
@@ -62,7 +63,7 @@ def ridge_fit(
     base = attach(known.select(*keys, *cols, F.col(y).alias("_y"), *([weight] if weight else [])), med, keys)
     base = base.withColumns(
         {
-            **{f"_x{i}": F.coalesce(dbl(c), F.col(f"{c}__m"), F.lit(0.0)) for i, c in enumerate(cols)},
+            **{f"_x{i}": F.coalesce(dbl(c) - F.col(f"{c}__m"), F.lit(0.0)) for i, c in enumerate(cols)},
             "_t": logit_vas("_y") if logit else dbl("_y"),
         }
     )
@@ -113,10 +114,12 @@ def ridge_fit(
             out["intercept"] = intercept
             yield out
 
+    # features were centred on their medians, so that the sums keep their digits
     fitted = sums.mapInPandas(solve, out_schema)
     medians = med.select(*keys, F.array(*[F.coalesce(f"{c}__m", F.lit(0.0)) for c in cols]).alias("medians"))
-    table = checkpointed(attach(fitted, medians, keys))
-    model = RidgeModel(cols, keys, logit, table)
+    table = attach(fitted, medians, keys)
+    table = checkpointed(table.withColumn("means", F.zip_with("means", "medians", lambda a, b: a + b)))
+    model = RidgeModel(cols, keys, logit, table, f"ridge_{len(cols)}_{alpha:g}")
 
     scored = ridge_predict(known, model)
     e = dbl(y) - F.col("predicted_score")
