@@ -5,6 +5,8 @@ eight bytes is an anchor, so equal strings have equal anchors, and every string
 has one whose choice depends on that string alone. A suffix is read in symbols of fixed length from
 its anchor; the bytes before the anchor are the symbol of the transform's column.
 
+Documents whose whole text an earlier one has are repeats as a whole and take no further part.
+
 1. Each shard sorts the suffixes of its anchors by their symbols: its transform, cut into slices by
    the first symbol. Of rows that agree one goes on, so that a string however frequent is one row a
    shard. Slices of equal range meet in one task.
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.frames import bounded
+from kymo.llm.frames import bounded, small
 from kymo.session import materialized
 
 GRAM = 8
@@ -229,13 +231,13 @@ def _units(length: int):
                     if not len(b):
                         continue
                     one, two = _hash(found.raw, lo.tolist(), (hi + length).tolist())
-                    two = two ^ (b - lo)  # where the anchor lies
+                    two = two ^ (b - lo) ^ ((hi - lo) << 32)  # where the anchor lies, and how many strings
                     parts.append((np.full(len(b), i), np.full(len(b), h), one, two, found.rows(b).view(np.int64), lo, hi - lo + 1))
                 if parts:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)],
-                        ["id", "hash", "one", "two", "row", "start", "n"],
-                    )
+                    names = ["id", "hash", "one", "two", "row", "start", "n"]
+                    columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)]
+                    kinds = [np.int32 if n in ("start", "n") else np.int64 for n in names]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names)
 
     return run
 
@@ -257,10 +259,9 @@ def _strings(length: int):
                     one, two = _hash(raw, starts.tolist(), (starts + length).tolist())
                     parts.append((np.full(len(starts), i), np.full(len(starts), h), one, two, starts))
                 if parts:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)],
-                        ["id", "hash", "one", "two", "start"],
-                    )
+                    columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)]
+                    columns[-1] = columns[-1].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "hash", "one", "two", "start"])
 
     return run
 
@@ -299,7 +300,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     text, spans. Documents without repeats are left out."""
     if length < 50:
         raise ValueError("length must be at least 50 bytes")
-    rows = _named(docs, id_col, text_col)
+    every = _named(docs, id_col, text_col)
+    gone = _copies(every, length)
+    rows = every.join(small(gone.select("id", "hash")), ["id", "hash"], "left_anti")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(0, (total // RANGE_BYTES).bit_length()), FIRST)
     slices = rows.select("id", "text").mapInArrow(
@@ -310,31 +313,44 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     marks = bounded(marked, "aggregate(anchors, 0L, (a, x) -> a + octet_length(x))")
     units = materialized(
         rows.join(marks, "id").mapInArrow(
-            _units(length), "id long, hash long, one long, two long, row long, start long, n long"
+            _units(length), "id long, hash long, one long, two long, row long, start int, n int"
         ),
         "units",
     )
     # of equal surroundings the earliest stays
-    firsts = units.groupBy("one", "two", "n").agg(
-        F.min(F.struct("id", "hash", "start")).alias("first"), F.min("row").alias("row"), F.count("*").alias("copies")
+    firsts = units.groupBy("one", "two").agg(
+        F.min(F.struct("id", "hash", "start", "n")).alias("first"), F.min("row").alias("row"), F.count("*").alias("copies")
     )
     firsts = materialized(firsts, "first-units")
-    copied = firsts.where("copies > 1").select("one", "two", "n", "first")
-    later = units.join(copied, ["one", "two", "n"]).where(F.struct("id", "hash", "start") != F.col("first"))
+    copied = firsts.where("copies > 1").select("one", "two", F.struct("first.id", "first.hash", "first.start").alias("first"))
+    later = units.drop("row").join(copied, ["one", "two"]).where(F.struct("id", "hash", "start") != F.col("first"))
     # intervals with more than one kind of surroundings: compare the strings of the earliest copies
     edges = firsts.groupBy("row").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    edge = firsts.join(edges, "row", "left_semi").select("first.*", "n")
+    edge = firsts.select("row", "first").join(edges, "row", "left_semi").select("first.*")
     edge = materialized(edge.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n")).alias("units")), "edge-units")
     strings = rows.join(bounded(edge, "16 * size(units)"), ["id", "hash"]).mapInArrow(
-        _strings(length), "id long, hash long, one long, two long, start long"
+        _strings(length), "id long, hash long, one long, two long, start int"
     )
-    strings = materialized(strings.distinct(), "edge-strings")
+    strings = materialized(strings, "edge-strings")  # repeated rows repeat strings, but start where the first does
     known = strings.groupBy("one", "two").agg(F.min(F.struct("id", "hash", "start")).alias("first"), F.count("*").alias("copies"))
     again = strings.join(known.where("copies > 1").drop("copies"), ["one", "two"]).where(F.struct("id", "hash", "start") != F.col("first"))
-    runs = later.select("id", "hash", "start", "n").unionByName(again.select("id", "hash", "start", F.lit(1).cast("long").alias("n")))
+    runs = later.select("id", "hash", "start", "n").unionByName(again.select("id", "hash", "start", F.lit(1).alias("n")))
     # a document's runs are bounded by its text
     by_doc = runs.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return materialized(by_doc.mapInArrow(_covered(length), "id long, hash long, spans array<struct<start:long,end:long>>"), "spans")
+    spans = by_doc.mapInArrow(_covered(length), "id long, hash long, spans array<struct<start:long,end:long>>")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("bytes").cast("long").alias("end")))
+    return materialized(spans.unionByName(gone.select("id", "hash", whole.alias("spans"))), "spans")
+
+
+def _copies(rows: DataFrame, length: int) -> DataFrame:
+    """Documents whose whole text an earlier one has: (id, hash, bytes). All their strings are
+    repeats, and none of them is the earliest of its kind, so no other document needs them."""
+    named = rows.select("id", "hash", F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").alias("bytes"))
+    named = materialized(named.where(F.col("bytes") >= length), "whole-texts")
+    first = named.groupBy("md5", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    first = first.where("copies > 1").select("md5", "bytes", "first")
+    gone = named.join(first, ["md5", "bytes"]).where(F.col("id") > F.col("first"))
+    return materialized(gone.select("id", "hash", "bytes").distinct(), "copies")
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
