@@ -12,7 +12,7 @@ row. Classes that agree on a band meet in a bucket, and buckets are dealt out in
 
 Members of the same component need no further link, so a group of many copies costs links in
 proportion to its size, and no link between components is left out. The bands find a pair at a
-similarity of 0.75 with a probability above 0.99999; a signature of 256 coordinates drops a pair
+similarity of 0.75 with a probability above 0.99999; a signature of 512 coordinates drops a pair
 below ``CUT``, five standard deviations under 0.75.
 
 Defined cases: NULL, empty and blank texts have an empty set and are linked with nothing; fewer
@@ -34,9 +34,9 @@ from kymo.llm.frames import free, small
 from kymo.llm.words import WordHashes, mixed, shingle_set
 from kymo.session import materialized
 
-COORDINATES, BANDS, ROWS = 256, 32, 4
+COORDINATES, BANDS, ROWS = 512, 32, 4
 #: Similarity in hundredths, and the estimate below which a pair cannot reach it.
-PERCENT, CUT = 75, 0.615
+PERCENT, CUT = 75, 0.654
 #: Members of a bucket that one block holds; shingles hashed at once.
 BLOCK, CHUNK = 256, 32_768
 
@@ -128,9 +128,10 @@ def spanning_pairs(cid: np.ndarray, n: np.ndarray, sign: np.ndarray) -> list[tup
     return pairs
 
 
-def open_pairs(cid, n, sign, component, stray, first) -> list[tuple[int, int]]:
+def open_pairs(cid, n, sign, component, stray, first, band) -> list[tuple[int, int]]:
     """All pairs of different components that may be linked. ``stray`` members are in every block
-    of the bucket; pairs among them count in the first."""
+    of the bucket; pairs among them count in the first. A pair that shares several bands counts in
+    the first of these."""
     pairs = []
     strays, all_ = np.flatnonzero(stray), np.arange(len(cid))
     for at in range(0, len(strays), BLOCK):
@@ -139,7 +140,9 @@ def open_pairs(cid, n, sign, component, stray, first) -> list[tuple[int, int]]:
         may &= component[rows][:, None] != component[None, :]
         may &= ~stray[None, :] | (first & (rows[:, None] < all_[None, :]))
         i, j = np.nonzero(may)
-        pairs += list(zip(cid[rows[i]], cid[j], strict=True))
+        agree = sign[rows[i], : BANDS * ROWS] == sign[j, : BANDS * ROWS]
+        early = agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        pairs += list(zip(cid[rows[i[early]]], cid[j[early]], strict=True))
     return pairs
 
 
@@ -182,7 +185,7 @@ def _forest(sign, rows):
 
 
 def _between(sign, rows):
-    return open_pairs(rows["cid"], rows["n"], sign, rows["component"], rows["stray"], rows["block"][0] == 0)
+    return open_pairs(rows["cid"], rows["n"], sign, rows["component"], rows["stray"], rows["block"][0] == 0, rows["band"][0])
 
 
 def _proposed(rows: DataFrame, propose) -> DataFrame:
@@ -224,7 +227,7 @@ def _text_key(text: Column) -> list[Column]:
 
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Verified links between classes that keep all components: (u, v)."""
-    keys = classes.select("cid", F.explode("keys").alias("key"))
+    keys = classes.select("cid", F.posexplode("keys").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialized(keys.join(shared, "key"), "members")
     blocks = F.ceil(F.col("size") / BLOCK)
@@ -254,10 +257,10 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
     stray = F.col("component") != F.col("main")
     own = F.pmod(F.xxhash64("cid", "key"), blocks)
     state = state.select(
-        "key", "cid", "component", stray.alias("stray"),
+        "key", "band", "cid", "component", stray.alias("stray"),
         F.explode(F.when(stray, F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).otherwise(F.array(own.cast("long")))).alias("block"),
     )
-    more = _proposed(state.join(signs, "cid").select("key", "block", "cid", "n", "sign", "component", "stray"), _between)
+    more = _proposed(state.join(signs, "cid").select("key", "block", "band", "cid", "n", "sign", "component", "stray"), _between)
     more = materialized(more.join(decided.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
     again = _verified(more, texts).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return links.unionByName(again)
