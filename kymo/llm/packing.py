@@ -27,7 +27,7 @@ from kymo.session import materialized
 
 PASSED, FAN_IN = 64, 8
 #: Words that a worker remembers; beyond that it forgets all and starts anew.
-WORDS = 1_000_000
+WORDS = 250_000
 BREAK = re.compile("[ \n]")
 SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%$&*#|]*)")
 

@@ -36,7 +36,7 @@ MIN_PAIRED, MIN_SHARE = 20, 0.003
 #: Soft thresholds of a gradient step of size one, of weights and of vectors.
 LASSO, V_LASSO = 8e-3, 4e-3
 #: Distinct words that a worker remembers; beyond that it forgets all and starts anew.
-KNOWN = 500_000
+KNOWN = 250_000
 
 
 class Features(dict):
@@ -123,6 +123,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 8, rate: float
             step = rate / np.sqrt(v_sum[used])
             v = machine.v[used] - step * gv
             machine.v[used] = np.sign(v) * np.maximum(np.abs(v) - step * V_LASSO, 0) * paired[used, None]
+    machine.w, machine.v = machine.w.astype(np.float32), machine.v.astype(np.float32)
     return machine
 
 
