@@ -128,10 +128,10 @@ def spanning_pairs(cid: np.ndarray, n: np.ndarray, sign: np.ndarray) -> list[tup
     return pairs
 
 
-def open_pairs(cid, n, sign, component, stray, first, band) -> list[tuple[int, int]]:
+def open_pairs(cid, n, sign, component, stray, first, earlier) -> list[tuple[int, int]]:
     """All pairs of different components that may be linked. ``stray`` members are in every block
-    of the bucket; pairs among them count in the first. A pair that shares several bands counts in
-    the first of these."""
+    of the bucket; pairs among them count in the first. A pair that shares several buckets counts
+    in the first of these: ``earlier`` are the members' keys of the bands before this one."""
     pairs = []
     strays, all_ = np.flatnonzero(stray), np.arange(len(cid))
     for at in range(0, len(strays), BLOCK):
@@ -140,9 +140,10 @@ def open_pairs(cid, n, sign, component, stray, first, band) -> list[tuple[int, i
         may &= component[rows][:, None] != component[None, :]
         may &= ~stray[None, :] | (first & (rows[:, None] < all_[None, :]))
         i, j = np.nonzero(may)
-        agree = sign[rows[i], : BANDS * ROWS] == sign[j, : BANDS * ROWS]
-        early = agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        pairs += list(zip(cid[rows[i[early]]], cid[j[early]], strict=True))
+        here = np.ones(len(i), bool)
+        for key in earlier.T:
+            here &= key[rows[i]] != key[j]
+        pairs += list(zip(cid[rows[i[here]]], cid[j[here]], strict=True))
     return pairs
 
 
@@ -185,7 +186,8 @@ def _forest(sign, rows):
 
 
 def _between(sign, rows):
-    return open_pairs(rows["cid"], rows["n"], sign, rows["component"], rows["stray"], rows["block"][0] == 0, rows["band"][0])
+    earlier = np.stack(rows["earlier"])
+    return open_pairs(rows["cid"], rows["n"], sign, rows["component"], rows["stray"], rows["block"][0] == 0, earlier)
 
 
 def _proposed(rows: DataFrame, propose) -> DataFrame:
@@ -232,7 +234,7 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
     members = materialized(keys.join(shared, "key"), "members")
     blocks = F.ceil(F.col("size") / BLOCK)
     dealt = members.withColumn("block", F.pmod(F.xxhash64("cid", "key"), blocks))
-    signs = classes.select("cid", "n", "sign").join(small(members.select("cid").distinct()), "cid", "left_semi")
+    signs = classes.select("cid", "n", "sign", "keys").join(small(members.select("cid").distinct()), "cid", "left_semi")
     signs = materialized(signs, "signs")
     found = materialized(_proposed(dealt.join(signs, "cid").select("key", "block", "cid", "n", "sign"), _forest), "pairs")
 
@@ -260,7 +262,8 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
         "key", "band", "cid", "component", stray.alias("stray"),
         F.explode(F.when(stray, F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).otherwise(F.array(own.cast("long")))).alias("block"),
     )
-    more = _proposed(state.join(signs, "cid").select("key", "block", "band", "cid", "n", "sign", "component", "stray"), _between)
+    earlier = F.slice("keys", F.lit(1), F.col("band")).alias("earlier")
+    more = _proposed(state.join(signs, "cid").select("key", "block", "cid", "n", "sign", "component", "stray", earlier), _between)
     more = materialized(more.join(decided.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
     again = _verified(more, texts).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return links.unionByName(again)

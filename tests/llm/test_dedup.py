@@ -104,6 +104,17 @@ def test_near_duplicates_over_many_blocks(spark, monkeypatch):
     assert near(df) == brute_components(rows)
 
 
+def test_open_pair_whose_low_bytes_agree_in_an_earlier_band():
+    """Only keys tell which buckets two members share: here band 0 agrees in its low bytes alone."""
+    sign = np.ones((2, near_dedup.COORDINATES), np.uint8)
+    rows = {"cid": np.array([5, 9]), "n": np.array([50, 50]), "component": np.array([5, 9]), "stray": np.array([False, True])}
+    rows |= {"block": np.zeros(2, int), "own": np.zeros(2, int), "band": np.ones(2, int)}
+    keys = lambda *k: np.fromiter(map(np.array, k), object, len(k))
+    assert sorted(near_dedup._between(sign, rows | {"earlier": keys([1], [2])})[0]) == [5, 9]
+    assert near_dedup._between(sign, rows | {"earlier": keys([1], [1])}) == []  # counted in band 0
+    assert sorted(near_dedup._between(sign, rows | {"earlier": keys([], [])})[0]) == [5, 9]
+
+
 def test_near_drop(messy):
     left = near_dedup.drop_near_duplicates(messy)
     assert left.columns == messy.columns
