@@ -8,7 +8,8 @@ row. Classes that agree on a band meet in a bucket, and buckets are dealt out in
 1. each block proposes a spanning forest of its most similar members; the pairs are verified on the
    full shingle sets, and verified links are joined into components;
 2. every pair of different components that shares a bucket and is still open is compared by its
-   signatures, block against block, and verified likewise.
+   signatures, one pair of blocks a group, and verified likewise; blocks whose set sizes are too far
+   apart do not meet.
 
 Members of the same component need no further link, so a group of many copies costs links in
 proportion to its size, and no link between components is left out. The bands find a pair at a
@@ -26,19 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kymo.llm.components import components
-from kymo.llm.frames import free, small
+from kymo.llm.frames import bounded, free, small
 from kymo.llm.words import WordHashes, mixed, shingle_set
 from kymo.session import materialized
 
 COORDINATES, BANDS, ROWS = 512, 32, 4
 #: Similarity in hundredths, and the estimate below which a pair cannot reach it.
 PERCENT, CUT = 75, 0.654
-#: Members of a bucket that one block holds; shingles hashed at once.
-BLOCK, CHUNK = 256, 32_768
+#: Members of a bucket that one block holds, and at most where thousands stay open; shingles hashed
+#: at once.
+BLOCK, WIDE, CHUNK = 256, 2_048, 32_768
+#: Members whose logarithms to this base differ by two or more have sizes too far apart to link.
+RANGE = 1.34
 
 
 def circulant_signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -128,22 +132,24 @@ def spanning_pairs(cid: np.ndarray, n: np.ndarray, sign: np.ndarray) -> list[tup
     return pairs
 
 
-def open_pairs(cid, n, sign, component, stray, first, earlier) -> list[tuple[int, int]]:
-    """All pairs of different components that may be linked. ``stray`` members are in every block
-    of the bucket; pairs among them count in the first. A pair that shares several buckets counts
-    in the first of these: ``earlier`` are the members' keys of the bands before this one."""
-    pairs = []
-    strays, all_ = np.flatnonzero(stray), np.arange(len(cid))
-    for at in range(0, len(strays), BLOCK):
-        rows = strays[at : at + BLOCK]
-        _, may = _may_link(sign, n, rows, all_)
-        may &= component[rows][:, None] != component[None, :]
-        may &= ~stray[None, :] | (first & (rows[:, None] < all_[None, :]))
+def open_pairs(cid, n, sign, component, stray, own, block, earlier) -> list[tuple[int, int]]:
+    """All pairs of different components that may be linked, between the two blocks of ``block`` or
+    within its one. A pair that shares several buckets counts in the first of these: ``earlier`` are
+    the members' keys of the bands before this one."""
+    pairs, low, high = [], block >> 32, block & 0xFFFFFFFF
+    left, right = (np.flatnonzero(stray), np.arange(len(cid))) if low == high else (np.flatnonzero(own == low), np.flatnonzero(own == high))
+    for at in range(0, len(left), BLOCK):
+        rows = left[at : at + BLOCK]
+        _, may = _may_link(sign, n, rows, right)
+        may &= component[rows][:, None] != component[right][None, :]
+        if low == high:
+            may &= ~stray[None, :] | (rows[:, None] < right[None, :])
         i, j = np.nonzero(may)
+        i, j = rows[i], right[j]
         here = np.ones(len(i), bool)
         for key in earlier.T:
-            here &= key[rows[i]] != key[j]
-        pairs += list(zip(cid[rows[i[here]]], cid[j[here]], strict=True))
+            here &= key[i] != key[j]
+        pairs += list(zip(cid[i[here]], cid[j[here]], strict=True))
     return pairs
 
 
@@ -187,7 +193,7 @@ def _forest(sign, rows):
 
 def _between(sign, rows):
     earlier = np.stack(rows["earlier"])
-    return open_pairs(rows["cid"], rows["n"], sign, rows["component"], rows["stray"], rows["block"][0] == 0, earlier)
+    return open_pairs(rows["cid"], rows["n"], sign, rows["component"], rows["stray"], rows["own"], rows["block"][0], earlier)
 
 
 def _proposed(rows: DataFrame, propose) -> DataFrame:
@@ -227,9 +233,33 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("hash"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("bytes")]
 
 
+def _visits(state: DataFrame) -> DataFrame:
+    """Members of open buckets, once for each pair of blocks they are compared in: ``block`` holds
+    both numbers, ``own`` the member's. Blocks hold members of one size range, strays or others;
+    they meet those of the same and the next ranges, unless neither has strays. So a task holds two
+    blocks, whatever the bucket. Small buckets are one block."""
+    width = F.least(F.lit(WIDE), F.greatest(F.lit(BLOCK), F.col("count") / 32))
+    groups = state.where(F.col("size") > BLOCK).groupBy("key", "range", "stray").count()
+    before = Window.partitionBy("key").orderBy("range", "stray").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("blocks", F.ceil(F.col("count") / width).cast("long"))
+    groups = groups.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0).cast("long")))
+    # Two groups a size range: the array is bounded by the logarithm of the largest set.
+    groups = groups.groupBy("key").agg(F.collect_list(F.struct("range", "stray", "first", "blocks")).alias("groups"))
+    rows = state.join(bounded(groups, "40 * size(groups)"), "key", "left")
+    mine = F.get(F.filter("groups", lambda g: (g["range"] == F.col("range")) & (g["stray"] == F.col("stray"))), F.lit(0))
+    met = F.filter("groups", lambda g: (F.abs(g["range"] - F.col("range")) <= 1) & (g["stray"] | F.col("stray")))
+    others = F.flatten(F.transform(met, lambda g: F.sequence(g["first"], g["first"] + g["blocks"] - 1)))
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumn("own", F.coalesce(mine["first"] + F.pmod(F.xxhash64("cid", "key"), mine["blocks"]), zero))
+    rows = rows.withColumn("other", F.explode(F.coalesce(others, F.array(zero))))
+    block = F.shiftleft(F.least("own", "other"), 32).bitwiseOR(F.greatest("own", "other"))
+    return rows.select("key", "band", "cid", "component", "stray", "own", block.alias("block"))
+
+
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Verified links between classes that keep all components: (u, v)."""
-    keys = classes.select("cid", F.posexplode("keys").alias("band", "key"))
+    size_range = F.floor(F.log(RANGE, F.col("n"))).cast("int").alias("range")
+    keys = classes.select("cid", size_range, F.posexplode("keys").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialized(keys.join(shared, "key"), "members")
     blocks = F.ceil(F.col("size") / BLOCK)
@@ -250,20 +280,15 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
     links = decided.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     parts = components(links).withColumnRenamed("node", "cid")
 
-    # buckets that hold more than one component: the largest stays in its blocks, the others
-    # visit every block
+    # buckets that hold more than one component: all but the members of the largest are strays
     state = members.join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     by = state.groupBy("key", "component").agg(F.count("*").alias("c"))
     by = by.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"))
     state = state.join(by.where("parts > 1").select("key", "main"), "key")
-    stray = F.col("component") != F.col("main")
-    own = F.pmod(F.xxhash64("cid", "key"), blocks)
-    state = state.select(
-        "key", "band", "cid", "component", stray.alias("stray"),
-        F.explode(F.when(stray, F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).otherwise(F.array(own.cast("long")))).alias("block"),
-    )
+    state = state.withColumn("stray", F.col("component") != F.col("main")).drop("main")
+    state = _visits(materialized(state, "open"))
     earlier = F.slice("keys", F.lit(1), F.col("band")).alias("earlier")
-    more = _proposed(state.join(signs, "cid").select("key", "block", "cid", "n", "sign", "component", "stray", earlier), _between)
+    more = _proposed(state.join(signs, "cid").select("key", "block", "own", "cid", "n", "sign", "component", "stray", earlier), _between)
     more = materialized(more.join(decided.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
     again = _verified(more, texts).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return links.unionByName(again)

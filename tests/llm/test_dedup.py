@@ -115,6 +115,25 @@ def test_open_pair_whose_low_bytes_agree_in_an_earlier_band():
     assert sorted(near_dedup._between(sign, rows | {"earlier": keys([], [])})[0]) == [5, 9]
 
 
+def test_open_members_of_a_hot_bucket_are_spread(spark, monkeypatch):
+    """A template whose texts do not link one another, but a few near copies in other blocks and
+    other size ranges: no group holds more than two blocks, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    largest, proposed = [], near_dedup._proposed
+
+    def seen(rows, propose):
+        largest.append(rows.groupBy("key", "block").count().agg({"count": "max"}).first()[0])
+        return proposed(rows, propose)
+
+    monkeypatch.setattr(near_dedup, "_proposed", seen)
+    common = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(common + [f"own{i}x{j}" for j in range(29 + i % 9)])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + "".join(f" more{i}x{j}" for j in range(i))) for i in range(1, 40, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert near(df) == brute_components(rows)
+    assert len(largest) == 2 and max(largest) <= 80, largest
+
+
 def test_near_drop(messy):
     left = near_dedup.drop_near_duplicates(messy)
     assert left.columns == messy.columns
