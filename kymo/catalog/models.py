@@ -325,11 +325,11 @@ def _(v):
     return detect.valid_divergences(detect.divergence_detect(days, v.condition_logs, _ridge(v, False))).select(*ON)
 
 
-_GBT = ["hrv_ln_rmssd", "resting_hr", "steps", "sleep_duration_min", "z_hrv", "hrv_delta", "dow_sin", "dow_cos"]
+_GBT = features.HRV_FEATURES
 
 
 def _boosted(v):
-    return boosting.gbt_fit(_training(v), _GBT, "target_hrv_zscore", maxIter=10)
+    return boosting.gbt_fit(_training(v), _GBT, "target_hrv_zscore")
 
 
 def _training(v):
@@ -360,7 +360,7 @@ def _(v):
 def _(v):
     """Errors of the best setting, per subject."""
     train = materialized(_training(v), "training")
-    best, _mae = boosting.param_search(train, _GBT, "target_hrv_zscore", {"maxDepth": [2, 3], "maxIter": [5]}, 2)[0]
+    best, _mae = boosting.param_search(train, _GBT, "target_hrv_zscore", boosting.drawn(20))[0]
     model = boosting.gbt_fit(train, _GBT, "target_hrv_zscore", staged=True, **best)
     out = boosting.gbt_predict(train, model, "yhat").withColumnRenamed("target_hrv_zscore", "y")
     return ev.regression_metrics(out, "y", "yhat", ["subject_id"]).withColumn("max_depth", F.lit(best["maxDepth"]))

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
+import random
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -19,6 +23,15 @@ from kymo.session import materialized
 
 # Default tree settings.
 DEFAULTS = {"maxDepth": 3, "maxIter": 60, "stepSize": 0.05, "subsamplingRate": 0.7, "minInstancesPerNode": 10, "seed": 42}
+#: Ranges of the search: lowest, highest, kind. MLlib has no L2 term, so the sixth range of the
+#: reference (reg_lambda) has no counterpart.
+RANGES = {
+    "maxDepth": (2, 4, "int"),
+    "minInstancesPerNode": (5, 20, "int"),
+    "stepSize": (0.01, 0.1, "log"),
+    "subsamplingRate": (0.5, 0.8, "float"),
+    "featureSubsetStrategy": (0.5, 0.8, "share"),
+}
 
 
 @dataclass
@@ -138,31 +151,55 @@ def blocked_folds(df: DataFrame, n_folds: int = 3, min_train: float = 0.4, gap:
     return out.withColumn("_in_gap", (F.col("_block") > 0) & (first <= gap))
 
 
+def drawn(trials: int, ranges: Mapping[str, tuple] = RANGES, seed: int = 42) -> list[dict]:
+    """``trials`` settings drawn at random from the whole of ``ranges``."""
+    rng = random.Random(seed)
+
+    def value(low, high, kind):
+        if kind == "int":
+            return rng.randint(low, high)
+        x = math.exp(rng.uniform(math.log(low), math.log(high))) if kind == "log" else rng.uniform(low, high)
+        return f"{x:.4f}" if kind == "share" else x
+
+    return [{n: value(*r) for n, r in ranges.items()} for _ in range(trials)]
+
+
 def param_search(
     df: DataFrame,
     cols: Sequence[str],
     y: str,
-    grid: Mapping[str, Iterable],
+    grid: Mapping[str, Iterable] | Sequence[Mapping],
     n_folds: int = 3,
     keys: Keys = SUBJECT,
+    parallelism: int = 8,
 ) -> list[tuple[dict, float]]:
     """Settings with their mean absolute error over expanding blocks, best first.
 
-    Every fit runs on the cluster; only one number per (setting, fold) reaches the driver.
+    ``grid`` holds the values of each parameter, all combinations of which are tried, or the
+    settings themselves. Every fit runs on the cluster, ``parallelism`` at a time; only one number
+    per (setting, fold) reaches the driver.
     """
-    names = list(grid)
+    if isinstance(grid, Mapping):
+        names = list(grid)
+        settings = [dict(zip(names, values)) for values in itertools.product(*[list(grid[n]) for n in names])]
+    else:
+        settings = [dict(s) for s in grid]
     source = df.where(F.col(y).isNotNull()).select(*keys, "date", *cols, y)
     blocks = materialized(blocked_folds(source, n_folds, keys=keys), "folds")
+
+    def error(task: tuple[dict, int]) -> float | None:
+        params, fold = task
+        train = blocks.where(F.col("_block") < fold)
+        model = gbt_fit(train, cols, y, keys, staged=True, **params)
+        test = gbt_predict(blocks.where((F.col("_block") == fold) & ~F.col("_in_gap")), model, "_p")
+        mae = test.agg(F.avg(F.abs(dbl(y) - F.col("_p"))).alias("m")).first()["m"]
+        return None if mae is None else float(mae)
+
+    folds = range(1, n_folds + 1)
+    with ThreadPool(parallelism) as pool:
+        errors = pool.map(inheritable_thread_target(df.sparkSession)(error), itertools.product(settings, folds), 1)
     results = []
-    for values in itertools.product(*[list(grid[n]) for n in names]):
-        params = dict(zip(names, values))
-        errors = []
-        for fold in range(1, n_folds + 1):
-            train = blocks.where(F.col("_block") < fold)
-            model = gbt_fit(train, cols, y, keys, staged=True, **params)
-            test = gbt_predict(blocks.where((F.col("_block") == fold) & ~F.col("_in_gap")), model, "_p")
-            mae = test.agg(F.avg(F.abs(dbl(y) - F.col("_p"))).alias("m")).first()["m"]
-            if mae is not None:
-                errors.append(float(mae))
-        results.append((params, sum(errors) / len(errors) if errors else float("inf")))
+    for at, params in enumerate(settings):
+        found = [e for e in errors[at * n_folds : (at + 1) * n_folds] if e is not None]
+        results.append((params, sum(found) / len(found) if found else float("inf")))
     return sorted(results, key=lambda r: r[1])
