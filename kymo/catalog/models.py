@@ -360,7 +360,7 @@ def _(v):
 def _(v):
     """Errors of the best setting, per subject."""
     train = materialized(_training(v), "training")
-    best, _mae = boosting.param_search(train, _GBT, "target_hrv_zscore", boosting.drawn(20))[0]
+    best, _mae = boosting.param_search(train, _GBT, "target_hrv_zscore", boosting.drawn(100))[0]
     model = boosting.gbt_fit(train, _GBT, "target_hrv_zscore", staged=True, **best)
     out = boosting.gbt_predict(train, model, "yhat").withColumnRenamed("target_hrv_zscore", "y")
     return ev.regression_metrics(out, "y", "yhat", ["subject_id"]).withColumn("max_depth", F.lit(best["maxDepth"]))

@@ -32,6 +32,7 @@ def test_registered_search_covers_the_ranges(spark, monkeypatch):
     ENTRIES["param_search"].build(Views(spark, DATA))
     [(cols, grid, rest, more)] = seen
     assert cols == HRV_FEATURES and rest == () and more == {}  # three folds, default rounds
+    assert len(grid) == 100
     for name, (low, high, _) in boosting.RANGES.items():
         values = [float(s[name]) for s in grid]
         assert low <= min(values) < low + 0.4 * (high - low) and high - 0.4 * (high - low) < max(values) <= high
