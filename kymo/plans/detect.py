@@ -13,7 +13,7 @@ from kymo.operators.frames import cusum
 from kymo.operators.joins import latest_log_per_day
 from kymo.operators.quantiles import attach
 from kymo.operators.ranking import sort_by_size, top_k_drivers
-from kymo.plans.boosting import BoostedModel, gbt_ablation, gbt_predict
+from kymo.plans.boosting import BoostedModel, gbt_predict, gbt_shapley
 from kymo.plans.features import DIVERGENCE_FEATURES
 from kymo.plans.forest import ForestModel, ablation_attribution
 from kymo.plans.linear import RidgeModel, linear_contributions, model_confidence, ridge_predict
@@ -160,7 +160,7 @@ def hrv_forecast(
     gate = count_valid_days(both, 7, keys, "_valid").where("_f").select(*on, (F.col("_valid") >= 3).alias("compliant"))
     missing = sum((F.col(c).isNull().cast("int") for c in model.cols), F.lit(0)) / float(len(model.cols))
     scored = gbt_predict(features, model).withColumn("confidence", forecast_confidence(F.lit(model.mae), missing))
-    scored = scored.select(*on, "predicted_zscore", "confidence").join(gate, on).join(gbt_ablation(features, model, on), on)
+    scored = scored.select(*on, "predicted_zscore", "confidence").join(gate, on).join(gbt_shapley(features, model, on), on)
     if second is not None:
         other = second.select(*on, F.col("zscore").alias("_z"), F.col("confidence").alias("_c"))
         mix = lambda a, b: F.coalesce(alpha * F.col(a) + (1 - alpha) * F.col(b), F.col(a))

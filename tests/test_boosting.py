@@ -1,39 +1,211 @@
-"""The registered boosted models are the full ones."""
+"""Boosted trees, the guided search and Shapley values."""
 
+import math
 import os
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 from kymo.catalog import models
 from kymo.catalog.registry import ENTRIES
 from kymo.fixtures import Views
-from kymo.plans import boosting
+from kymo.plans import boosting, shapley
 from kymo.plans.features import HRV_FEATURES
+from kymo.plans.histograms import best_split
+from kymo.plans.search import MedianPruner, ParzenSearch, drawn
 
 DATA = "/root/testdata/sf0.001"
+mounted = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables not mounted")
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables not mounted")
+@mounted
 def test_registered_boosting_uses_all_features_and_default_rounds(spark):
     model = models._boosted(Views(spark, DATA))
     assert model.cols == HRV_FEATURES and len(model.cols) == 29
-    assert model.params == boosting.DEFAULTS
+    assert model.params == boosting.DEFAULTS and model.params["rounds"] == 500 and model.params["patience"] == 20
+    assert 1 <= len(model.trees) <= 500
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables not mounted")
+@mounted
 def test_registered_search_covers_the_ranges(spark, monkeypatch):
     seen = []
 
-    def search(df, cols, y, grid, *rest, **more):
-        seen.append((list(cols), grid, rest, more))
-        return [({"maxDepth": 2, "maxIter": 1}, 0.0)]
+    def search(df, cols, y, *rest, **more):
+        seen.append((list(cols), rest, more))
+        return [({"max_depth": 2, "rounds": 1}, 0.0)]
 
     monkeypatch.setattr(boosting, "param_search", search)
     ENTRIES["param_search"].build(Views(spark, DATA))
-    [(cols, grid, rest, more)] = seen
-    assert cols == HRV_FEATURES and rest == () and more == {}  # three folds, default rounds
-    assert len(grid) == 100
+    assert seen == [(HRV_FEATURES, (), {})]  # 100 trials, three folds, all ranges, default rounds
     for name, (low, high, _) in boosting.RANGES.items():
-        values = [float(s[name]) for s in grid]
+        values = [s[name] for s in drawn(100, boosting.RANGES)]
         assert low <= min(values) < low + 0.4 * (high - low) and high - 0.4 * (high - low) < max(values) <= high
-    assert not any("maxIter" in s for s in grid)
+
+
+def made_up(spark, n=600, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    y = np.sin(2 * x[:, 0]) + 0.5 * (x[:, 1] > 0) + 0.1 * rng.normal(size=n)
+    rows = [(i % 6, i // 6, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "subject_id int, day int, a double, b double, c double, y double")
+    return df.selectExpr("subject_id", "date_add(DATE '2024-01-01', day) AS date", "a", "b", "c", "y")
+
+
+def test_all_rounds_without_evaluation_rows(spark):
+    model = boosting.gbt_fit(made_up(spark), ["a", "b", "c"], "y", validation=0.0, rounds=25, rate=0.2)
+    assert len(model.trees) == 25 and model.mae == 1.0
+
+
+def test_patience_keeps_the_best_round(spark, monkeypatch):
+    grown = []
+    grow = boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda *a: grown.extend(grow(*a)) or grown)
+    df = made_up(spark)
+    model = boosting.gbt_fit(df, ["a", "b", "c"], "y", rate=0.6, patience=3, rounds=40)
+    [booster] = grown
+    assert len(booster.trees) == booster.best + 3 or len(booster.trees) == 40
+    assert len(model.trees) == booster.best and booster.rmse[booster.best] == min(booster.rmse[1:])
+    out = boosting.gbt_predict(df, model, "p")
+    assert out.selectExpr("corr(y, p) AS c").first().c > 0.9
+    # a held-out error that the passes counted is the error of the model
+    held = boosting.time_split(df, 0.1).where("is_validation")
+    mae = boosting.gbt_predict(held, model, "p").selectExpr("avg(abs(y - p)) AS m").first().m
+    assert mae == pytest.approx(model.mae, abs=1e-5)
+
+
+def brute_tree(codes, g, depth, least, l2, rate):
+    """A tree by trying every split, as a function of rows."""
+    if depth == 0:
+        return lambda x, v=rate * g.sum() / (len(g) + l2): np.full(len(x), v)
+    found = (1e-9, None)
+    for f in range(codes.shape[1]):
+        for b in range(32):
+            left = codes[:, f] <= b
+            if min(left.sum(), (~left).sum()) < max(least, 1):
+                continue
+            gain = g[left].sum() ** 2 / (left.sum() + l2) + g[~left].sum() ** 2 / ((~left).sum() + l2) - g.sum() ** 2 / (len(g) + l2)
+            if gain > found[0] + 1e-12:
+                found = (gain, (f, b))
+    if found[1] is None:
+        return brute_tree(codes, g, 0, least, l2, rate)
+    f, b = found[1]
+    left = codes[:, f] <= b
+    low, high = (brute_tree(codes[s], g[s], depth - 1, least, l2, rate) for s in (left, ~left))
+    return lambda x: np.where(x[:, f] <= b, low(x), high(x))
+
+
+def test_trees_equal_brute_force(spark):
+    df = made_up(spark, 400)
+    model = boosting.gbt_fit(df, ["a", "b", "c"], "y", validation=0.0, rounds=3, rate=0.5, subsample=1.0, columns=1.0)
+    rows = [r for r in df.withColumn("p", boosting.F.array(*[model.scaled(c) for c in model.cols])).collect()]
+    codes = model.codes(np.array([r.p for r in rows]))
+    y = np.array([r.y for r in rows])
+    want = np.full(len(y), y.mean())
+    for tree in model.trees:
+        step = brute_tree(codes, y - want, 3, 10, 5.0, 0.5)(codes)
+        assert tree.predict(codes) == pytest.approx(step)
+        want += step
+
+
+def test_split_needs_gain_and_children():
+    assert best_split(np.zeros((2, 32)), np.ones((2, 32)), 1, 5.0) is None
+    g, h = np.zeros((1, 32)), np.zeros((1, 32))
+    g[0, 3], g[0, 9], h[0, 3], h[0, 9] = 8.0, -8.0, 4, 4
+    assert best_split(g, h, 5, 1.0) is None
+    gain, f, b, left_g, left_h = best_split(g, h, 4, 1.0)
+    assert (f, b, left_g, left_h) == (0, 3, 8.0, 4) and gain == pytest.approx(2 * 64 / 5)
+
+
+# ---- Shapley values -----------------------------------------------------------------------------
+
+
+def conditional(paths, x, known):
+    """Value of the ensemble with some features known."""
+    total = 0.0
+    for met, value in paths:
+        for f, (low, high, share) in met.items():
+            value *= (low < x[f] <= high) if f in known else share
+        total += value
+    return total
+
+
+def test_shapley_values_equal_the_sum_over_all_subsets():
+    rng = np.random.default_rng(5)
+
+    def random_tree(depth):
+        if depth == 0 or rng.random() < 0.15:
+            return float(rng.normal())
+        return (int(rng.integers(6)), float(rng.normal()), random_tree(depth - 1), random_tree(depth - 1), float(rng.uniform(0.1, 0.9)))
+
+    paths = [
+        p for _ in range(5)
+        for p in shapley.walk_paths(random_tree(6), lambda n: n if isinstance(n, tuple) else None, float)
+    ]
+    groups, expected = shapley.grouped(paths)
+    x = rng.normal(size=(4, 6))
+    got = shapley.shapley_values(groups, x)
+    for row, phi in zip(x, got, strict=True):
+        want = np.zeros(6)
+        for j in range(6):
+            others = [f for f in range(6) if f != j]
+            for k in range(6):
+                weight = math.factorial(k) * math.factorial(5 - k) / math.factorial(6)
+                for known in combinations(others, k):
+                    want[j] += weight * (conditional(paths, row, {*known, j}) - conditional(paths, row, set(known)))
+        assert phi == pytest.approx(want)
+        assert phi.sum() == pytest.approx(conditional(paths, row, set(range(6))) - expected)
+
+
+def test_boosted_contributions_add_up(spark):
+    df = made_up(spark, 200)
+    model = boosting.gbt_fit(df, ["a", "b", "c"], "y", validation=0.0, rounds=8, rate=0.5)
+    _, expected = model.paths()
+    on = ["subject_id", "date"]
+    both = boosting.gbt_shapley(df, model, on).join(boosting.gbt_predict(df, model, "p"), on).collect()
+    assert len(both) == 200
+    for r in both:
+        assert [c.feature for c in r.contributions] == ["a", "b", "c"]
+        assert sum(c.contribution for c in r.contributions) == pytest.approx(r.p - expected)
+
+
+# ---- search --------------------------------------------------------------------------------------
+
+
+def test_search_beats_random_draws():
+    ranges = {"depth": (1, 9, "int"), "rate": (1e-4, 1.0, "log"), "share": (0.0, 1.0, "float"), "l2": (0.0, 10.0, "float")}
+
+    def error(s):
+        return abs(s["depth"] - 6) / 4 + abs(math.log10(s["rate"]) + 2) + 3 * abs(s["share"] - 0.3) + abs(s["l2"] - 7) / 3
+
+    def searched(seed, together=5):
+        guide = ParzenSearch(ranges, seed)
+        for _ in range(100 // together):
+            asked = [guide.ask() for _ in range(together)]
+            for s in asked:
+                guide.tell(s, error(s))
+        assert all(low <= s[n] <= high for s, _ in guide.told for n, (low, high, _) in ranges.items())
+        return [s for s, _ in guide.told], min(e for _, e in guide.told)
+
+    best = [searched(seed)[1] for seed in range(12)]
+    random = [min(map(error, drawn(100, ranges, seed))) for seed in range(12)]
+    assert np.mean(best) < 0.7 * np.mean(random)
+    assert searched(3) == searched(3)
+
+
+def test_median_pruner():
+    pruner = MedianPruner(least_trials=3, every=10)
+    assert [pruner.prune(10, e) for e in (1.0, 2.0, 3.0, 2.5, 1.5)] == [False, False, False, True, False]
+    assert not pruner.prune(7, 99.0) and not pruner.prune(0, 99.0) and not pruner.prune(20, 99.0)
+
+
+def test_param_search_is_repeatable_and_sorted(spark, monkeypatch):
+    monkeypatch.setitem(boosting.DEFAULTS, "rounds", 8)
+    df = made_up(spark, 240)
+    ranges = {**boosting.RANGES, "rate": (0.2, 0.6, "log"), "max_depth": (1, 2, "int")}
+    found = [boosting.param_search(df, ["a", "b", "c"], "y", trials=4, in_flight=2, ranges=ranges, n_folds=2) for _ in range(2)]
+    assert found[0] == found[1] and len(found[0]) == 4
+    errors = [e for _, e in found[0]]
+    assert errors == sorted(errors) and all(math.isfinite(e) for e in errors)
+    grid = boosting.param_search(df, ["a", "b", "c"], "y", {"max_depth": [1, 2], "rate": [0.4]}, n_folds=2, prune=False)
+    assert {(s["max_depth"], s["rate"]) for s, _ in grid} == {(1, 0.4), (2, 0.4)}
