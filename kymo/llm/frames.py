@@ -1,7 +1,13 @@
-"""Small helpers on frames: sides that may be broadcast, names that do not clash."""
+"""Small helpers on frames: sides that may be broadcast, names that do not clash, workers' memory."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +33,23 @@ def free(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches; at the end of a partition the worker gives back the memory it has freed,
+    so that workers kept for later stages do not hold the peaks of earlier ones."""
+
+    def over(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return over
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kymo.llm.components import components
-from kymo.llm.frames import bounded, free, small
+from kymo.llm.frames import bounded, free, released, small
 from kymo.llm.words import WordHashes, mixed, shingle_set
 from kymo.session import materialized
 
@@ -199,7 +199,7 @@ def _between(sign, rows):
 def _proposed(rows: DataFrame, propose) -> DataFrame:
     """Distinct pairs proposed within each (key, block)."""
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(_by_bucket(propose), "a long, b long").distinct()
+    return dealt.mapInArrow(released(_by_bucket(propose)), "a long, b long").distinct()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     a = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
     return materialized(
-        pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long, linked boolean"),
+        pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(released(_linked), "a long, b long, linked boolean"),
         "verified",
     )
 
@@ -300,7 +300,7 @@ def _signed_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     return materialized(
         rows.mapInArrow(
-            _signed, f"id {kind}, hash long, bytes int, n long, low long, high long, keys array<long>, sign binary"
+            released(_signed), f"id {kind}, hash long, bytes int, n long, low long, high long, keys array<long>, sign binary"
         ),
         "signed",
     )

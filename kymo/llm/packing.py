@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kymo.llm.frames import released
 from kymo.session import materialized
 
 PASSED, FAN_IN = 64, 8
@@ -92,6 +94,12 @@ class WordIds:
         return [b"".join([known[c] for c in doc]) for doc in chunks]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The coder of this worker process: tokenizers and the memory of words serve all its tasks."""
+    return WordIds(path)
+
+
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Longest first, each into the fullest bin that has room: bin and offset of each item, fill of
     each bin. A set bit of ``open_`` says that a bin with that much room exists."""
@@ -136,7 +144,7 @@ def _local(path: str, size: int, end: int, id_type: pa.DataType):
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(path)
+        coder = word_ids(path)
         ids, rows = [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -207,7 +215,7 @@ def pack_documents(
     kind = rows.schema["id"].dataType.simpleString()
     local = materialized(
         rows.mapInArrow(
-            run,
+            released(run),
             f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, "
             "fill long, passed boolean",
         ),

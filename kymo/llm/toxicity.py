@@ -26,7 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from kymo.llm.frames import give_back, released
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS, FACTORS, MIN_DOCS, STEM = 18, 8, 4, 4
@@ -161,7 +162,7 @@ def train(
     sample = (
         text.join(F.broadcast(chosen), ["id", "hash"])
         .select("hash", "label", "text")
-        .mapInArrow(_featured, "hash long, label int, features array<int>")
+        .mapInArrow(released(_featured), "hash long, label int, features array<int>")
         .dropDuplicates(["hash", "label"])
         .orderBy("hash", "label")
         .toArrow()
@@ -172,16 +173,15 @@ def train(
 
 def score(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a column ``out``, which replaces one of that name: the probability of label 1. The
-    model is of a fixed size and goes to the executors once."""
-    docs = docs.drop(out)
+    model is of a fixed size and goes to the executors once; texts go to the workers, scores come back."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features, model = Features(), shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                scores = model.scores([features.of(t) for t in some.column(text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(scores)], [*some.schema.names, out])
+        for text in texts:
+            parts = [model.scores([features.of(t) for t in text.slice(at, 512).to_pylist()]) for at in range(0, len(text), 512)]
+            yield pa.array(np.concatenate([*parts, np.zeros(0)]))
+        give_back()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.drop(out).withColumn(out, scored(F.col(text_col)))
