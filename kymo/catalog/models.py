@@ -211,15 +211,11 @@ def _(v):
     )
 
 
-@query("isolation_forest_score", "SELECT subject_id, date, true AS unit_score, true AS flag_by_threshold FROM daily")
+# Scores of a random forest have no SQL; tests recompute depths from the stored trees.
+@query("isolation_forest_score")
 def _(v):
-    model = _forest(v)
-    out = forest.isolation_forest_score(features.anomaly_feature_matrix(v.daily), model, ON)
-    return out.select(
-        *ON,
-        F.col("normalized_score").between(0, 1).alias("unit_score"),
-        (F.col("is_anomaly") == (F.col("anomaly_score") < model.threshold)).alias("flag_by_threshold"),
-    )
+    out = forest.isolation_forest_score(features.anomaly_feature_matrix(v.daily), _forest(v), ON)
+    return out.select(*ON, "anomaly_score", "normalized_score", "is_anomaly")
 
 
 @query("ablation_attribution")
@@ -229,6 +225,16 @@ def _(v):
     return out.select(*ON, top["feature"].alias("top_feature"), top["contribution"].alias("top_contribution"))
 
 
+@query("shapley_attribution")
+def _(v):
+    """Largest contribution of each day and the sum of all, which is its path length less the
+    expected one."""
+    out = forest.shapley_attribution(features.anomaly_feature_matrix(v.daily), _forest(v), ON)
+    top = F.get(sort_by_size("contributions"), F.lit(0))
+    total = F.aggregate("contributions", F.lit(0.0), lambda t, c: t + c["contribution"])
+    return out.select(*ON, top["feature"].alias("top_feature"), top["contribution"].alias("top_contribution"), total.alias("above_expected"))
+
+
 @query("anomaly_detect")
 def _(v):
     f = features.anomaly_feature_matrix(v.daily)

@@ -16,6 +16,7 @@ from kymo.core import DAY_US, SUBJECT, Keys, bucket, epoch_us, seconds_after, sh
 from kymo.functions.clock import local_date
 from kymo.functions.vocab import SLEEP_STAGES
 from kymo.operators.scan import prefix_scan
+from kymo.session import materialized
 
 
 def flag_inside(
@@ -203,13 +204,15 @@ def gap_sessionize(
     end: str = "end",
     gap_seconds: int = 1800,
     keys: Keys = SUBJECT,
-    tie: Sequence[str] = (),
+    tie: Sequence[str] | None = None,
     out: str = "session_no",
 ) -> DataFrame:
     """Number sessions per key: a new one when start - previous row's end exceeds the gap.
 
-    The previous row is the one just before by start, not the running latest end.
+    The previous row is the one just before by start and ``tie``, not the running latest end. Without
+    ``tie`` equal starts are ordered by their end: two scans must see the same order.
     """
+    tie = [end] if tie is None else tie
     prev = prefix_scan(df, {"_prev": ("prev", epoch_us(end))}, keys, start, tie)
     opens = F.when(
         F.col("_prev").isNull() | (epoch_us(start) - F.col("_prev") > gap_seconds * 1_000_000), 1
@@ -278,29 +281,40 @@ def overlap_chain_dedup(
 ) -> DataFrame:
     """Greedy pass in start order: drop a row that starts before the last kept row ends.
 
-    A row starting at or after every earlier end is always kept, so the pass restarts there:
-    only rows of one overlap island are folded together, not the whole day or subject.
+    The row kept after a row is the first one that starts at or after its end, which a backward scan
+    finds for all rows at once. A row starting at or after every earlier end is always kept, so
+    chains begin at the first row of each island of overlapping rows; they are followed by pointer
+    doubling, in a number of rounds logarithmic in the longest island. No island is folded in a task.
+    Rows equal in start and ``tie`` come in any order.
     """
     islands = _islands(df, start, seconds, keys, tie, abutting=False)
-    row = F.struct(
-        epoch_us(start).alias("_a"),
-        *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)],
-        (epoch_us(start) + F.col(seconds).cast("long") * 1_000_000).alias("_b"),
-        *[F.col(c) for c in df.columns if c not in keys],
-    )
-    grouped = islands.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    first = F.slice("_rows", 1, 1)
-    rest = F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0)))
-    kept = F.aggregate(
-        rest,
-        first,
-        lambda acc, r: F.when(
-            r["_a"] >= F.element_at(acc, -1)["_b"], F.concat(acc, F.array(r))
-        ).otherwise(acc),
-    )
-    return grouped.select(*keys, F.explode(kept).alias("_r")).select(
-        *[F.col(c) if c in keys else F.col(f"_r.{c}") for c in df.columns]
-    )
+    rows = prefix_scan(islands, {"_pos": ("sum", F.lit(1).cast("long"))}, keys, start, tie)
+    opener = F.col("_reach").isNull() | (epoch_us(start) >= F.col("_reach"))
+    rows = materialized(rows.withColumn("_opens", opener).select(*df.columns, "_pos", "_opens"), "chain")
+    end = epoch_us(F.col(start)) + F.col(seconds).cast("long") * 1_000_000
+    before, none = F.timestamp_micros(-epoch_us(start)), F.lit(None).cast("long")
+    starts = rows.select(*keys, before.alias("_t"), F.lit(0).alias("_kind"), none.alias("_pos"), (-F.col("_pos")).alias("_v"))
+    ends = rows.select(*keys, F.timestamp_micros(-end).alias("_t"), F.lit(1).alias("_kind"), "_pos", none.alias("_v"))
+    found = prefix_scan(starts.unionByName(ends.where("_t IS NOT NULL")), {"_next": ("max", F.col("_v"))}, keys, "_t", ["_kind"])
+    onward = found.where("_kind = 1 AND _next IS NOT NULL").select(*keys, "_pos", (-F.col("_next")).alias("_next"))
+    inner = rows.where("NOT _opens").select(*keys, F.col("_pos").alias("_next"))
+    onward = onward.join(inner, [*keys, "_next"], "left_semi")  # openers are kept anyway
+    kept = _reached(rows.where("_opens").select(*keys, "_pos"), onward, keys, "_pos")
+    return rows.join(kept, [*keys, "_pos"], "left_semi").select(*df.columns)
+
+
+def _reached(seeds: DataFrame, onward: DataFrame, keys: Keys, node: str) -> DataFrame:
+    """All (keys, node) that ``onward`` (keys, node, _next) leads to from ``seeds``, by pointer
+    doubling: after round k, those fewer than 2^k steps away are marked, and pointers span 2^k steps.
+    Where a node has several successors, a pointer becomes as many rows as there are ends."""
+    marked, step = seeds.distinct(), materialized(onward.distinct(), "pointers")
+    while step.limit(1).count():
+        more = marked.join(step, [*keys, node]).select(*keys, F.col("_next").alias(node))
+        known = materialized(marked.unionByName(more).distinct(), "marked")
+        ahead = step.select(*keys, F.col(node).alias("_next"), F.col("_next").alias("_far"))
+        step = materialized(step.join(ahead, [*keys, "_next"]).select(*keys, node, F.col("_far").alias("_next")).distinct(), "pointers")
+        marked = known
+    return marked
 
 
 def chain_trace(
@@ -312,28 +326,15 @@ def chain_trace(
 ) -> DataFrame:
     """Rows reachable from the first row of each log by end = next start.
 
-    A chain cannot jump a gap, so only the log's first run of touching or overlapping rows
-    is folded; everything after the first gap is dropped before grouping.
+    A chain cannot jump a gap, so only the log's first run of touching or overlapping rows takes
+    part. Its times are nodes that rows lead on from start to end; they are followed by pointer
+    doubling, so no run is folded in a task.
     """
     group = [*keys, log_id]
     end = epoch_us(F.col(start)) + F.col(seconds).cast("long") * 1_000_000
     reach = prefix_scan(df, {"_reach": ("max_before", end)}, group, start, [seconds])
     gap = F.when(epoch_us(start) > F.col("_reach"), 1).otherwise(0)
     run = prefix_scan(reach, {"_gaps": ("sum", gap)}, group, start, [seconds]).where("_gaps = 0")
-    row = F.struct(
-        epoch_us(start).alias("_a"), end.alias("_b"), *[F.col(c) for c in df.columns if c not in group]
-    )
-    grouped = run.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    origin = F.get("_rows", F.lit(0))["_a"]
-    seed = F.filter("_rows", lambda r: r["_a"] == origin)
-    rest = F.filter("_rows", lambda r: r["_a"] > origin)
-    kept = F.aggregate(
-        rest,
-        seed,
-        lambda acc, r: F.when(
-            F.exists(acc, lambda k: k["_b"] == r["_a"]), F.concat(acc, F.array(r))
-        ).otherwise(acc),
-    )
-    return grouped.select(*group, F.explode(kept).alias("_r")).select(
-        *[F.col(c) if c in group else F.col(f"_r.{c}") for c in df.columns]
-    )
+    run = materialized(run.withColumns({"_at": epoch_us(start), "_next": end}).select(*df.columns, "_at", "_next"), "runs")
+    times = _reached(run.groupBy(*group).agg(F.min("_at").alias("_at")), run.where("_next > _at").select(*group, "_at", "_next"), group, "_at")
+    return run.join(times, [*group, "_at"], "left_semi").select(*df.columns)

@@ -15,7 +15,7 @@ from kymo.operators.quantiles import attach
 from kymo.operators.ranking import sort_by_size, top_k_drivers
 from kymo.plans.boosting import BoostedModel, gbt_predict, gbt_shapley
 from kymo.plans.features import DIVERGENCE_FEATURES
-from kymo.plans.forest import ForestModel, ablation_attribution
+from kymo.plans.forest import ForestModel, shapley_attribution
 from kymo.plans.linear import RidgeModel, linear_contributions, model_confidence, ridge_predict
 from kymo.plans.quality import anomaly_quality_gate
 from kymo.session import materialized
@@ -40,7 +40,7 @@ def anomaly_detect(
     on = [*keys, "date"]
     gated = anomaly_quality_gate(features, quality, completeness_scale, keys, min_wear)
     passed = gated.where(F.col("quality_gate") == "pass").select(*on, *model.cols)
-    scored = materialized(ablation_attribution(passed, model, on, scores=True), "scored")
+    scored = materialized(shapley_attribution(passed, model, on, scores=True), "scored")
     out = gated.select(*on, "quality_gate", "quality_confidence").join(scored, on, "left")
     zero = lambda c: F.coalesce(F.bround(c, 4), F.lit(0.0))
     ranked = sort_by_size("contributions")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from kymo.core import Keys, dbl, finite
 from kymo.operators.quantiles import quantiles_wide
+from kymo.plans import shapley
 from kymo.plans.evaluation import pot_threshold, score_normalise
 from kymo.session import materialized
 
@@ -38,30 +39,31 @@ NODE = T.StructType(
         T.StructField("left", T.IntegerType()),
         T.StructField("right", T.IntegerType()),
         T.StructField("path", T.DoubleType()),
+        T.StructField("cover", T.IntegerType()),
     ]
 )
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     """Random splits until a point is alone or the height limit; (feature, split, left,
-    right, path) per node, feature -1 marking a leaf with its path length."""
+    right, path, rows of the sample) per node, feature -1 marking a leaf with its path length."""
     nodes: list[tuple] = []
     work = [(x, 0, -1, 0)]
     while work:
         part, depth, parent, side = work.pop()
         at = len(nodes)
         if parent >= 0:
-            f, s, left, right, path = nodes[parent]
-            nodes[parent] = (f, s, at, right, path) if side == 0 else (f, s, left, at, path)
+            f, s, left, right, *rest = nodes[parent]
+            nodes[parent] = (f, s, at, right, *rest) if side == 0 else (f, s, left, at, *rest)
         low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (None, None)
         open_features = np.flatnonzero(high > low) if len(part) > 1 else np.array([], dtype=int)
         if depth >= limit or len(open_features) == 0:
-            nodes.append((-1, 0.0, -1, -1, depth + float(average_path(np.array(len(part))))))
+            nodes.append((-1, 0.0, -1, -1, depth + float(average_path(np.array(len(part)))), len(part)))
             continue
         f = int(rng.choice(open_features))
         split = float(rng.uniform(low[f], high[f]))
         mask = part[:, f] < split
-        nodes.append((f, split, -1, -1, 0.0))
+        nodes.append((f, split, -1, -1, 0.0, len(part)))
         work += [(part[~mask], depth + 1, at, 1), (part[mask], depth + 1, at, 0)]
     return nodes
 
@@ -95,6 +97,22 @@ class ForestModel:
             node = np.where(f < 0, node, down)
         return a["path"][trees, node].mean(axis=1)
 
+    def paths(self) -> tuple[list[shapley.Paths], float]:
+        """The trees' paths, for Shapley values of the mean path length, and its expectation."""
+        a, trees = self.arrays, len(self.arrays["feature"])
+
+        def of(t: int):
+            def split(n):
+                if a["feature"][t, n] < 0:
+                    return None
+                left, right = int(a["left"][t, n]), int(a["right"][t, n])
+                below = np.nextafter(a["split"][t, n], -np.inf)  # rows under the split go left
+                return int(a["feature"][t, n]), float(below), left, right, a["cover"][t, left] / a["cover"][t, n]
+
+            return shapley.walk_paths(0, split, lambda n: a["path"][t, n] / trees)
+
+        return shapley.grouped(path for t in range(trees) for path in of(t))
+
     def decision(self, x: np.ndarray) -> np.ndarray:
         """Higher is more normal; the offset puts the contamination share below 0."""
         score = -np.power(2.0, -self.depth(x) / max(float(average_path(np.array(self.psi))), 1e-12))
@@ -162,7 +180,7 @@ def isolation_forest_train(
         tree = int(pdf["tree"].iloc[0])
         x = pdf[cols].sort_values(cols).to_numpy(dtype=float)
         nodes = grow_tree(x, np.random.default_rng([seed, tree]), limit)
-        out = pd.DataFrame(nodes, columns=["feature", "split", "left", "right", "path"])
+        out = pd.DataFrame(nodes, columns=["feature", "split", "left", "right", "path", "cover"])
         out.insert(0, "node", np.arange(len(out), dtype=np.int32))
         out.insert(0, "tree", np.int32(tree))
         return out
@@ -171,7 +189,8 @@ def isolation_forest_train(
     width = int(grown["node"].max()) + 1
     arrays: dict = {"height": limit}
     for name, kind, empty in (
-        ("feature", np.int32, -1), ("split", float, 0.0), ("left", np.int32, 0), ("right", np.int32, 0), ("path", float, 0.0)
+        ("feature", np.int32, -1), ("split", float, 0.0), ("left", np.int32, 0), ("right", np.int32, 0), ("path", float, 0.0),
+        ("cover", np.int32, 0),
     ):
         a = np.full((trees, width), empty, dtype=kind)
         a[grown["tree"].to_numpy(), grown["node"].to_numpy()] = grown[name].to_numpy()
@@ -221,14 +240,36 @@ def _flagged(model: ForestModel) -> list[Column]:
 
 def ablation_attribution(df: DataFrame, model: ForestModel, keys: Keys, scores: bool = False) -> DataFrame:
     """Per-row contributions: score change when one feature is set to its median. ``scores`` adds
-    the columns of ``isolation_forest_score``, from the same pass.
+    the columns of ``isolation_forest_score``, from the same pass. Each feature is ablated alone;
+    ``shapley_attribution`` shares out what features do together."""
+    return _attributed(df, model, keys, scores, _ablations)
+
+
+def shapley_attribution(df: DataFrame, model: ForestModel, keys: Keys, scores: bool = False) -> DataFrame:
+    """Per-row Shapley values of the mean path length: they add up to the row's path length less the
+    expectation over the trees' samples. ``scores`` as above."""
+    groups, _ = model.paths()
+    return _attributed(df, model, keys, scores, lambda m, paths, x, full: shapley.shapley_values(paths, x), groups)
 
-    These are not Shapley values: each feature is ablated alone. Negative means the feature
-    pushes the row toward an anomaly. Rows stay in their Arrow batch, so nothing is shuffled;
-    only numbers cross to Python, the structs are built in the JVM.
+
+def _ablations(m: ForestModel, _, x: np.ndarray, full: np.ndarray) -> np.ndarray:
+    delta = np.zeros_like(x)
+    for j, c in enumerate(m.cols):
+        changed = np.flatnonzero(x[:, j] != m.medians[c])
+        if len(changed):
+            y = x[changed].copy()
+            y[:, j] = m.medians[c]
+            delta[changed, j] = full[changed] - m.decision(y)
+    return delta
+
+
+def _attributed(df: DataFrame, model: ForestModel, keys: Keys, scores: bool, values, more=None) -> DataFrame:
+    """keys, contributions by ``values`` of prepared rows and their scores. Negative means the
+    feature pushes the row toward an anomaly. Rows stay in their Arrow batch, so nothing is
+    shuffled; only numbers cross to Python, the structs are built in the JVM.
     """
     cols = model.cols
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast((model, more))
     raw_cols = [f"_raw{j}" for j in range(len(cols))]
     delta_cols = [f"_delta{j}" for j in range(len(cols))]
     schema = T.StructType(
@@ -239,18 +280,11 @@ def ablation_attribution(df: DataFrame, model: ForestModel, keys: Keys, scores:
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m, more = shared.value
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float)
             full = m.decision(x)
-            delta = np.zeros_like(x)
-            for j, c in enumerate(cols):
-                changed = np.flatnonzero(x[:, j] != m.medians[c])
-                if len(changed):
-                    y = x[changed].copy()
-                    y[:, j] = m.medians[c]
-                    delta[changed, j] = full[changed] - m.decision(y)
-            delta = pd.DataFrame(delta, columns=delta_cols, index=pdf.index)
+            delta = pd.DataFrame(values(m, more, x, full), columns=delta_cols, index=pdf.index)
             yield pd.concat([pdf[[*keys, "_missing", *raw_cols]], delta], axis=1).assign(anomaly_score=full)
 
     missing = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0)) / float(len(cols))
