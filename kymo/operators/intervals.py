@@ -296,7 +296,8 @@ def overlap_chain_dedup(
     starts = rows.select(*keys, before.alias("_t"), F.lit(0).alias("_kind"), none.alias("_pos"), (-F.col("_pos")).alias("_v"))
     ends = rows.select(*keys, F.timestamp_micros(-end).alias("_t"), F.lit(1).alias("_kind"), "_pos", none.alias("_v"))
     found = prefix_scan(starts.unionByName(ends.where("_t IS NOT NULL")), {"_next": ("max", F.col("_v"))}, keys, "_t", ["_kind"])
-    onward = found.where("_kind = 1 AND _next IS NOT NULL").select(*keys, "_pos", (-F.col("_next")).alias("_next"))
+    following = F.greatest(-F.col("_next"), F.col("_pos") + 1)  # a row without length is followed by the next row
+    onward = found.where("_kind = 1 AND _next IS NOT NULL").select(*keys, "_pos", following.alias("_next"))
     inner = rows.where("NOT _opens").select(*keys, F.col("_pos").alias("_next"))
     onward = onward.join(inner, [*keys, "_next"], "left_semi")  # openers are kept anyway
     kept = _reached(rows.where("_opens").select(*keys, "_pos"), onward, keys, "_pos")

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,13 @@ def test_logit_round_trip(spark):
 def test_humanize_feature(spark):
     assert one(spark, vocab.humanize_feature(F.lit("spo2_avg"))) == "SpO2"
     assert one(spark, vocab.humanize_feature(F.lit("night_sleep"))) == "Night Sleep"
+
+
+def test_fixed_rounds_the_binary_value(spark):
+    rng = np.random.default_rng(3)
+    values = [99.55, 86.35, 0.25, 0.75, 0.05, 0.0, -0.04, -2.25, -0.35, 1e6 + 0.05, 12345678.95, *np.round(rng.uniform(-300, 300, 4000), 2), *rng.uniform(-3, 3, 500)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    rows = df.select("v", text.fixed("v", 1).alias("one"), text.fixed("v", 2).alias("two"), text.fixed("v", 2, sign=True).alias("plus")).collect()
+    for r in rows:
+        assert (r.one, r.two, r.plus) == (f"{r.v:.1f}", f"{r.v:.2f}", f"{r.v:+.2f}")
+    assert df.limit(1).select(text.fixed(F.lit(None).cast("double"), 1).alias("x")).first().x is None

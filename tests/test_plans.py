@@ -220,6 +220,19 @@ def test_isolation_forest_finds_the_outliers(spark):
     assert all(0.0 <= r.normalized_score <= 1.0 for r in out.values())
     parts = forest.ablation_attribution(df, model, ["id"]).where("id = 100").first().contributions
     assert [p.feature for p in parts] == cols and min(p.contribution for p in parts) < 0
+    # depths recomputed from the stored trees, and Shapley values that add up to them
+    x = {r.id: np.array([r[c] for c in cols]) for r in df.collect()}
+    _, expected = model.paths()
+    for r in forest.shapley_attribution(df, model, ["id"], scores=True).where("id % 20 = 0").collect():
+        row = np.clip(x[r.id], [model.low[c] for c in cols], [model.high[c] for c in cols])
+        depths = []
+        for t in range(50):
+            node = 0
+            while (f := model.arrays["feature"][t, node]) >= 0:
+                node = model.arrays["left" if row[f] < model.arrays["split"][t, node] else "right"][t, node]
+            depths.append(model.arrays["path"][t, node])
+        assert r.anomaly_score == pytest.approx(-(2 ** (-np.mean(depths) / forest.average_path(np.array(64)))) - model.offset)
+        assert sum(c.contribution for c in r.contributions) == pytest.approx(np.mean(depths) - expected)
     again = forest.isolation_forest_train(df, cols, trees=50, psi=64, row_id=["id"])
     assert np.array_equal(again.arrays["split"], model.arrays["split"])
 

@@ -84,6 +84,49 @@ def test_overlap_chain_dedup_brute_force(stages):
     assert got == want
 
 
+def greedy(rows):
+    kept, reach = set(), None
+    for i, (t, seconds) in sorted(enumerate(rows), key=lambda r: (r[1][0], r[0])):
+        if reach is None or t >= reach:
+            kept.add(i)
+            reach = t + seconds
+    return kept
+
+
+def test_overlap_chain_of_one_long_island(spark):
+    """One island of 3,000 rows, with ties: a chain of about a thousand links."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(0, 30_000) // 10 * 10, rng.choice([0, 10, 25, 30, 40])) for _ in range(2999)] + [(0, 40_000)]
+    rows[-1] = (1, 20)
+    df = spark.createDataFrame([(1, at(t), s, i) for i, (t, s) in enumerate(rows)], "subject_id int, time timestamp, seconds int, event_id int")
+    got = {r.event_id for r in iv.overlap_chain_dedup(df, keys=["subject_id"], tie=["event_id"]).collect()}
+    assert got == greedy(rows) and len(got) > 700
+
+
+def test_chain_trace_of_a_long_run(spark):
+    rng = random.Random(9)
+    t, rows = 0, []
+    for _ in range(300):
+        step = rng.choice([20, 30])
+        rows += [(t, step), (t + 5, 35)] + ([(t, 50)] if rng.random() < 0.3 else [])
+        t += step
+    reach, want = {0}, []
+    for i, (a, s) in sorted(enumerate(rows), key=lambda r: (r[1][0], r[0])):
+        if a in reach:
+            want.append(i)
+            reach.add(a + s)
+    df = spark.createDataFrame([(7, at(a), s, i) for i, (a, s) in enumerate(rows)], "log_id int, time timestamp, seconds int, event_id int")
+    assert sorted(r.event_id for r in iv.chain_trace(df, keys=[]).collect()) == sorted(want)
+
+
+def test_gap_sessionize_with_equal_starts(spark):
+    """Equal starts are ordered by their end in both scans: the row before the last is the longer."""
+    rows = [(1, at(0), at(4000)), (1, at(0), at(10)), (1, at(5000), at(5100))]
+    df = spark.createDataFrame(rows, "subject_id int, start timestamp, end timestamp").repartition(3)
+    got = sorted((r.start, r.end, r.session_no) for r in iv.gap_sessionize(df).collect())
+    assert [n for _, _, n in got] == [1, 1, 1]
+
+
 def test_chain_trace(spark):
     rows = [(1, 9, at(0), 60), (1, 9, at(30), 600), (1, 9, at(60), 60), (1, 9, at(120), 30), (1, 9, at(160), 60), (1, 8, at(0), 60), (1, 8, at(61), 60)]
     df = spark.createDataFrame(rows, "subject_id int, log_id int, time timestamp, seconds int")
@@ -178,12 +221,18 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_raw_windows_are_split_by_time_chunk(stages):
+def test_raw_windows_are_split_by_time_chunk(stages, monkeypatch):
     """No window over raw rows may be partitioned by the subject alone."""
+    staged = []  # the steps of the chain are written out, so their plans count
+    monkeypatch.setattr(iv, "materialized", lambda df, name, write=iv.materialized: staged.append(df) or write(df, name))
+    iv.overlap_chain_dedup(stages, keys=["subject_id"])
+    assert any("Window [" in plan_of(df) for df in staged)
+    for df in staged:
+        assert "collect_list" not in plan_of(df)
     spans = stages.select("subject_id", F.col("time").alias("start"), F.expr("timestampadd(SECOND, seconds, time)").alias("end"))
-    for df in (iv.flag_inside(stages.select("subject_id", "time"), spans), iv.gap_sessionize(spans), iv.overlap_chain_dedup(stages, keys=["subject_id"])):
+    for df in (iv.flag_inside(stages.select("subject_id", "time"), spans), iv.gap_sessionize(spans), *staged):
         windows = [line for line in plan_of(df).splitlines() if "Window [" in line]
-        assert windows
+        assert windows or df in staged
         for line in windows:
             over_summary = "_s0#" in line  # one row per chunk
             assert over_summary or "_chunk" in line.rsplit("], [", 2)[-2], line
