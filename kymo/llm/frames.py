@@ -53,3 +53,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         return  # another C library
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read again, and let Spark remove the shuffle files of
+    jobs that are over: the cleaner waits for the driver to collect its garbage."""
+    spark = staged[0].sparkSession
+    for path in {file.rsplit("/", 1)[0] for df in staged for file in df.inputFiles()}:
+        if "/kymo-stage/" in path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._jvm.System.gc()

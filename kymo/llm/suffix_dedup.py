@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.frames import bounded, small
+from kymo.llm.frames import bounded, discard, small
 from kymo.session import materialized
 
 GRAM = 8
@@ -317,6 +317,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         ),
         "units",
     )
+    discard(marked)
     # of equal surroundings the earliest stays
     firsts = units.groupBy("one", "two").agg(
         F.min(F.struct("id", "hash", "start", "n")).alias("first"), F.min("row").alias("row"), F.count("*").alias("copies")
@@ -324,22 +325,28 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     firsts = materialized(firsts, "first-units")
     copied = firsts.where("copies > 1").select("one", "two", F.struct("first.id", "first.hash", "first.start").alias("first"))
     later = units.drop("row").join(copied, ["one", "two"]).where(F.struct("id", "hash", "start") != F.col("first"))
+    later = materialized(later.select("id", "hash", "start", "n"), "later-units")
+    discard(units)
     # intervals with more than one kind of surroundings: compare the strings of the earliest copies
     edges = firsts.groupBy("row").agg(F.count("*").alias("kinds")).where("kinds > 1")
     edge = firsts.select("row", "first").join(edges, "row", "left_semi").select("first.*")
     edge = materialized(edge.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n")).alias("units")), "edge-units")
+    discard(firsts)
     strings = rows.join(bounded(edge, "16 * size(units)"), ["id", "hash"]).mapInArrow(
         _strings(length), "id long, hash long, one long, two long, start int"
     )
     strings = materialized(strings, "edge-strings")  # repeated rows repeat strings, but start where the first does
+    discard(edge)
     known = strings.groupBy("one", "two").agg(F.min(F.struct("id", "hash", "start")).alias("first"), F.count("*").alias("copies"))
     again = strings.join(known.where("copies > 1").drop("copies"), ["one", "two"]).where(F.struct("id", "hash", "start") != F.col("first"))
-    runs = later.select("id", "hash", "start", "n").unionByName(again.select("id", "hash", "start", F.lit(1).alias("n")))
+    runs = later.unionByName(again.select("id", "hash", "start", F.lit(1).alias("n")))
     # a document's runs are bounded by its text
     by_doc = runs.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     spans = by_doc.mapInArrow(_covered(length), "id long, hash long, spans array<struct<start:long,end:long>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("bytes").cast("long").alias("end")))
-    return materialized(spans.unionByName(gone.select("id", "hash", whole.alias("spans"))), "spans")
+    out = materialized(spans.unionByName(gone.select("id", "hash", whole.alias("spans"))), "spans")
+    discard(gone, strings, later)
+    return out
 
 
 def _copies(rows: DataFrame, length: int) -> DataFrame:
@@ -350,7 +357,9 @@ def _copies(rows: DataFrame, length: int) -> DataFrame:
     first = named.groupBy("md5", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     first = first.where("copies > 1").select("md5", "bytes", "first")
     gone = named.join(first, ["md5", "bytes"]).where(F.col("id") > F.col("first"))
-    return materialized(gone.select("id", "hash", "bytes").distinct(), "copies")
+    out = materialized(gone.select("id", "hash", "bytes").distinct(), "copies")
+    discard(named)
+    return out
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
