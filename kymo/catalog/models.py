@@ -255,7 +255,53 @@ def _ridge(v, by_subject=True):
     return linear.ridge_fit(_pairs(v), _RIDGE, "target_score", keys=["subject_id"] if by_subject else [])
 
 
-@query("ridge_fit")
+def _ridge_sql(by: str) -> str:
+    """Ridge of six features as CTEs: ``fit`` holds, per ``by``, the medians, means, deviations and the
+    coefficients, which solve the normal equations by conjugate gradients (exact after six steps)."""
+    k = range(len(_RIDGE))
+    xs = ", ".join(f"coalesce({c}, m{i}) AS x{i}" for i, c in enumerate(_RIDGE))
+    medians = ", ".join(f"coalesce(quantile_cont({c}, 0.5), 0) AS m{i}" for i, c in enumerate(_RIDGE))
+    stats = ", ".join(f"avg(x{i}) AS a{i}, CASE WHEN stddev_pop(x{i}) < 1e-12 THEN 1 ELSE stddev_pop(x{i}) END AS s{i}" for i in k)
+    scaled = ", ".join(f"(x{i} - a{i}) / s{i} AS z{i}" for i in k)
+    rows = ", ".join("[" + ", ".join(f"sum(z{i} * z{j}) + {int(i == j)}" for j in k) + "]" for i in k)
+    right = ", ".join(f"sum(z{i} * (t - mt))" for i in k)
+    dot = "list_dot_product"
+    return f"""p AS (SELECT {by} AS g, * FROM ({_PAIRS})), md AS (SELECT g, {medians} FROM p GROUP BY g),
+x AS (SELECT p.g, y, ln(least(99.5e0, greatest(0.5e0, y)) / 100 / (1 - least(99.5e0, greatest(0.5e0, y)) / 100)) AS t, {xs} FROM p JOIN md USING (g)),
+st AS (SELECT g, count(*) AS n, avg(t) AS mt, {stats} FROM x GROUP BY g),
+z AS (SELECT g, y, t, mt, n, {scaled} FROM x JOIN st USING (g)),
+eq AS (SELECT g, [{rows}] AS a, [{right}] AS b FROM z GROUP BY g),
+cg AS (SELECT g, 0 AS k, a, list_transform(b, lambda v: 0e0) AS x, b AS r, b AS q FROM eq
+  UNION ALL SELECT g, k + 1, a, list_transform(range(1, 7), lambda i: x[i] + step * q[i]), rest,
+    list_transform(range(1, 7), lambda i: rest[i] + {dot}(rest, rest) / greatest({dot}(r, r), 1e-300) * q[i])
+  FROM (SELECT *, list_transform(range(1, 7), lambda i: r[i] - step * aq[i]) AS rest FROM (
+    SELECT *, {dot}(r, r) / greatest({dot}(q, aq), 1e-300) AS step FROM (SELECT *, list_transform(a, lambda v: {dot}(v, q)) AS aq FROM cg WHERE k < 14)))),
+fit AS (SELECT * FROM st JOIN md USING (g) JOIN (SELECT g, x AS coef FROM cg WHERE k = 14) USING (g))"""
+
+
+def _ridge_part(i: int, row: str = "d") -> str:
+    return f"coef[{i + 1}] * (coalesce({row}.{_RIDGE[i]}, m{i}) - a{i}) / s{i}"
+
+
+def _score(margin: str) -> str:
+    return f"100.0e0 / (1 + exp(-({margin})))"
+
+
+_DAYS = f"""days AS (SELECT subject_id, date, resting_hr, {ln('hrv_daily_rmssd')} AS hrv_ln_rmssd, steps, spo2_avg, skin_temp_variation,
+  CAST(dayofweek(date) AS DOUBLE) AS day_of_week FROM daily)"""
+_Z = " + ".join(f"coef[{i + 1}] * z{i}" for i in range(6))
+
+
+@query(
+    "ridge_fit",
+    f"""WITH RECURSIVE {_ridge_sql("subject_id")},
+e AS (SELECT g, y, y - {_score(f"fit.mt + {_Z}")} AS e FROM z JOIN fit USING (g)),
+v AS (SELECT g, CASE WHEN var_pop(y) > 0 THEN 1 - sum(e * e) / (var_pop(y) * count(*)) ELSE 0 END AS r2, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse,
+  avg(e) AS residual_mean, CASE WHEN stddev_pop(e) < 1e-8 THEN 1 ELSE stddev_pop(e) END AS residual_std FROM e GROUP BY g)
+SELECT g AS subject_id, CAST(n AS BIGINT) AS n, {", ".join(f"{r(f'coef[{i + 1}]', 4)} + 0e0 AS coef_{c}" for i, c in enumerate(_RIDGE))}, {r("mt", 4)} AS intercept,
+  {", ".join(f"{r(c, 4)} + 0e0 AS {c}" for c in ("r2", "mae", "rmse", "residual_mean", "residual_std"))} FROM fit JOIN v USING (g)""",
+    digits=4,
+)
 def _(v):
     t = _ridge(v).table
     coefs = [F.get("coef", F.lit(i)).alias(f"coef_{c}") for i, c in enumerate(_RIDGE)]
@@ -301,13 +347,27 @@ def _(v):
     return out.select(*ON, F.get("contributions", F.lit(0))["contribution"].alias("contribution"))
 
 
-@query("ridge_predict")
+@query(
+    "ridge_predict",
+    f"""WITH RECURSIVE {_ridge_sql("subject_id")}, {_DAYS}
+SELECT d.subject_id, d.date, {r(_score("mt + " + " + ".join(_ridge_part(i) for i in range(6))), 4)} AS predicted_score
+FROM days d LEFT JOIN fit ON fit.g = d.subject_id""",
+    digits=4,
+)
 def _(v):
     days = features.divergence_day_features(v.daily)
     return linear.ridge_predict(days, _ridge(v)).select(*ON, "predicted_score")
 
 
-@query("linear_contributions_top")
+@query(
+    "linear_contributions_top",
+    f"""WITH RECURSIVE {_ridge_sql("subject_id")}, {_DAYS},
+parts AS (SELECT d.subject_id, d.date, unnest([{", ".join(f"struct_pack(f := '{c}', c := {_ridge_part(i)})" for i, c in enumerate(_RIDGE))}]) AS p
+  FROM days d JOIN fit ON fit.g = d.subject_id),
+top AS (SELECT subject_id, date, arg_max(p.f, abs(p.c)) AS f, arg_max(p.c, abs(p.c)) AS c FROM parts GROUP BY subject_id, date)
+SELECT d.subject_id, d.date, f AS top_feature, {r("c", 4)} AS top_contribution FROM days d LEFT JOIN top USING (subject_id, date)""",
+    digits=4,
+)
 def _(v):
     days = features.divergence_day_features(v.daily)
     out = linear.linear_contributions(days, _ridge(v))
@@ -322,6 +382,23 @@ def _(v):
     return out.withColumn("top_drivers", F.to_json("top_drivers"))
 
 
+@query(
+    "divergence_residuals",
+    f"""WITH RECURSIVE {_ridge_sql("1")}, {_DAYS},
+c AS (SELECT subject_id, CAST(logged_at AS DATE) AS date, CAST(arg_max(overall_vas, logged_at) AS DOUBLE) AS y FROM condition_logs GROUP BY subject_id, CAST(logged_at AS DATE)),
+e AS (SELECT subject_id, date, d.date IS NOT NULL AS bio, y, {_score("mt + " + " + ".join(_ridge_part(i) for i in range(6)))} AS p
+  FROM days d FULL JOIN c USING (subject_id, date), fit)
+SELECT subject_id, date, CASE WHEN bio AND y IS NOT NULL THEN {r("y", 2)} ELSE 0 END AS actual_score, CASE WHEN bio AND y IS NOT NULL THEN {r("p", 2)} ELSE 0 END AS predicted_score,
+  CASE WHEN bio AND y IS NOT NULL THEN {r("y - p", 4)} + 0e0 ELSE 0 END AS residual, NOT bio AS no_biometrics FROM (SELECT * REPLACE (coalesce(bio, false) AS bio) FROM e)""",
+    digits=4,
+)
+def _(v):
+    """The part of ``divergence_detect`` that its chart and its text are made from."""
+    days = features.divergence_day_features(v.daily)
+    out = detect.divergence_detect(days, v.condition_logs, _ridge(v, False))
+    return out.select(*ON, "actual_score", "predicted_score", "residual", (F.col("divergence_type") == "no_biometric_data").alias("no_biometrics"))
+
+
 @query(
     "valid_divergences",
     "SELECT subject_id, date FROM daily d WHERE EXISTS (SELECT 1 FROM condition_logs c WHERE c.subject_id = d.subject_id AND CAST(c.logged_at AS DATE) = d.date)",
