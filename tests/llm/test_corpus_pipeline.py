@@ -62,3 +62,27 @@ def test_stage_names_and_modules():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
     names = [re.match(r"op(\d+)_", n) for n in catalog.queries() if n != "pipeline"]
     assert sorted(int(m[1]) for m in names) == list(range(1, 14))
+
+
+@pytest.mark.parametrize("rows", ["messy", "empty"])
+def test_all_stages_on_messy_and_empty_tables(spark, tmp_path, request, rows):
+    """NULLs in every column, blanks, a very long text, copies, repeated rows, no rows at all, and
+    columns with the names that stages use inside."""
+    docs = request.getfixturevalue(rows)
+    ids = [r.doc_id for r in docs.collect()]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in ids if i is not None][:20] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, " ")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, kept, str(tmp_path))
+        assert left.columns == docs.columns, name
+        left.write.parquet(f"{tmp_path}/{name}")
+        before, kept = {(r.doc_id, r.text) for r in kept.collect()}, spark.read.parquet(f"{tmp_path}/{name}")
+        assert {(r.doc_id, r.text) for r in kept.collect()} <= before
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in kept.select("doc_id").collect()}
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert whole.count() == len(packed)
