@@ -1,5 +1,12 @@
 """A training corpus from ``documents``: toxicity, exact copies, near copies, benchmark passages,
-packing. Each stage's result is written to the shared folder and read again by the next."""
+packing. Each stage's result is written to the shared folder and read again by the next.
+
+Defined cases: a NULL, empty or blank text scores as the model's bias, is one group of exact copies, links
+with nothing, holds no benchmark passage, and packs as its end token; rows with the same id and text stay
+or go together and leave the second stage as one; rows without an id take part like others and come last
+among copies; very long texts are read whole and cut into full sequences at the end; without labels, or with
+one class, every document has the share of toxic rows as its score; columns that clash with names used
+inside pass through unchanged; an empty table gives an empty result at every stage."""
 
 from __future__ import annotations
 
