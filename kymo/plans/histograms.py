@@ -279,7 +279,8 @@ def grow(rows: DataFrame, boosters: Iterator[Booster], slots: int, width: int, r
     spark = rows.sparkSession
     folds = range(len(rows.select("roles").first()[0])) if rows.limit(1).count() else []
     means = rows.agg(F.count("*"), *(F.avg(F.when(F.substring("roles", f + 1, 1) == bytes([TRAIN]), F.col("y"))) for f in folds)).first()
-    parts = max(min(spark.sparkContext.defaultParallelism, slots // 8), 1, -(-means[0] // PART_ROWS))
+    # a task for each PART_ROWS rows of data, or of rows times boosters as far as there are cores
+    parts = max(1, min(spark.sparkContext.defaultParallelism, means[0] * slots // PART_ROWS), -(-means[0] // PART_ROWS))
     rows = materialized(rows.repartition(parts, "rid"), "boost-rows")
     active: list[Booster] = []
     order: dict[int, int] = {}
