@@ -179,6 +179,29 @@ def _(v):
     return ev.pot_threshold(s, keys=["subject_id"])
 
 
+_A = "list_avg(list_transform(ex, lambda x: ln(1 + (exp({s}) - 1) * x / top)))"
+_B = "list_avg(list_transform(ex, lambda x: 1 / (1 + (exp({s}) - 1) * x / top)))"
+
+
+# The root of the slope by bisection, from the best cell of the same search range.
+@query(
+    "pot_threshold_likelihood",
+    f"""WITH RECURSIVE s AS (SELECT subject_id, ln(metric_a) AS x FROM long_daily), c AS (SELECT subject_id, quantile_cont(x, 0.05) AS t, quantile_cont(x, 0.02) AS q FROM s GROUP BY subject_id),
+e AS (SELECT s.subject_id, any_value(t) AS t, any_value(q) AS q, list(t - x) AS ex, max(t - x) AS top FROM s JOIN c USING (subject_id) WHERE x <= t GROUP BY s.subject_id),
+g AS (SELECT subject_id, ex, top, 0.5e0 + i AS s FROM e, range(-14, 14) r(i)),
+p AS (SELECT subject_id, s, top, {_A.format(s='s')} AS a FROM g),
+b AS (SELECT subject_id, arg_max(s, -ln(a / ((exp(s) - 1) / top)) - a) AS s FROM p WHERE a >= -1 GROUP BY subject_id),
+h AS (SELECT subject_id, s - 1 AS lo, s + 1 AS hi, 0 AS k FROM b
+  UNION ALL SELECT subject_id, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END, k + 1
+  FROM (SELECT h.*, CASE WHEN abs(lo + hi) < 2e-6 THEN list_avg(list_transform(ex, lambda x: x * x)) > 2 * pow(list_avg(ex), 2) ELSE (1 + {_A.format(s='((lo + hi) / 2)')}) * {_B.format(s='((lo + hi) / 2)')} > 1 END AS up FROM h JOIN e USING (subject_id) WHERE k < 44) y),
+f AS (SELECT subject_id, t, ex, CASE WHEN a < -1 THEN -1 / top ELSE (exp(lo) - 1) / top END AS theta, greatest(a, -1) AS a FROM (SELECT e.*, lo, {_A.format(s='lo')} AS a FROM e JOIN h USING (subject_id) WHERE k = 44) z)
+SELECT subject_id, {r('t')} AS tail_threshold, CAST(len(ex) AS BIGINT) AS n_tail, {r('a')} AS shape, {r('a / theta')} AS scale, {r('t - (pow(0.02e0, -a) - 1) / theta')} AS threshold FROM f""",
+)
+def _(v):
+    s = v.long_daily.select("subject_id", F.log("metric_a").alias("score"))
+    return ev.pot_threshold(s, keys=["subject_id"], method="likelihood")
+
+
 # ---- models --------------------------------------------------------------------------
 
 

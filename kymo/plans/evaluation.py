@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kymo.core import SUBJECT, ColumnOrName, Keys, day_number, dbl
+from kymo.operators.prefix_ranks import prefix_medians
 from kymo.operators.quantiles import attach, quantiles_wide
+from kymo.session import materialized
 
 
 def walk_forward_folds(df: DataFrame, min_train: int = 90, gap: int = 1, keys: Keys = SUBJECT) -> DataFrame:
@@ -35,14 +37,24 @@ def walk_forward_folds(df: DataFrame, min_train: int = 90, gap: int = 1, keys: K
 def fold_normalise(
     df: DataFrame, cols: Sequence[str], min_train: int = 90, gap: int = 1, keys: Keys = SUBJECT
 ) -> DataFrame:
-    """Each test row scaled by the median and deviation of its own fold's training rows."""
+    """Each test row scaled by the median and deviation of its own fold's training rows.
+
+    Medians of the growing training windows come from ``prefix_medians``: a series of n days costs
+    n log n, where a percentile over a growing frame costs n squared. A column without any training
+    value is NULL.
+    """
+    cols = list(cols)
     w = Window.partitionBy(*keys).orderBy(day_number("date"))
     train = w.rowsBetween(Window.unboundedPreceding, -(gap + 1))
     made: dict[str, Column] = {"_i": F.row_number().over(w) - 1}
-    for c in cols:
-        made[f"_m_{c}"] = F.percentile(dbl(c), F.lit(0.5)).over(train)
-        made[f"_s_{c}"] = F.stddev_pop(dbl(c)).over(train)
-    out = df.withColumns(made).where(F.col("_i") >= min_train + gap)
+    made |= {f"_s_{c}": F.stddev_pop(dbl(c)).over(train) for c in cols}
+    first = min_train + gap
+    placed = df.select(*keys, "date", *cols).withColumns(made)
+    medians = prefix_medians(placed, cols, "_i", gap + 1, first, keys)
+    wide = medians.groupBy(*keys, "_i").agg(
+        *[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"_m_{c}") for c in cols]
+    )
+    out = placed.where(F.col("_i") >= first).join(wide, [*keys, "_i"], "left")
     scaled = [
         (
             (F.coalesce(dbl(c), F.col(f"_m_{c}")) - F.col(f"_m_{c}"))
@@ -50,7 +62,7 @@ def fold_normalise(
         ).alias(c)
         for c in cols
     ]
-    return out.select(*keys, "date", (F.col("_i") - (min_train + gap)).cast("long").alias("fold_idx"), *scaled)
+    return out.select(*keys, "date", (F.col("_i") - first).cast("long").alias("fold_idx"), *scaled)
 
 
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat", by: Keys = ()) -> DataFrame:
@@ -141,29 +153,118 @@ def score_normalise(
     return clipped * (1.0 - 0.5 * dbl(missing_ratio)), s < dbl(threshold)
 
 
+REACH = 14.0  # log(1 + theta * largest excess) is searched within +- REACH
+STEP = 1.0
+ROUNDS = 6
+CELLS = 8
+WHOLE = "_whole"  # key of a table without keys
+
+
+def _by_moments(excesses: DataFrame, keys: Keys) -> DataFrame:
+    """Closed form over two sums."""
+    x = F.col("_x")
+    ratio = F.try_divide(F.avg(x) * F.avg(x), F.var_pop(x))
+    return excesses.groupBy(*keys).agg(
+        F.count(x).alias("n_tail"), F.var_pop(x).alias("_v"),
+        (0.5 * (1.0 - ratio)).alias("shape"), (0.5 * F.avg(x) * (ratio + 1.0)).alias("scale"),
+    )
+
+
+def _by_likelihood(excesses: DataFrame, keys: Keys) -> DataFrame:
+    """Profile likelihood in one unknown, theta = shape / scale.
+
+    With A = mean log(1 + theta x) and B = mean 1 / (1 + theta x) the best shape at theta is A, and the
+    slope of the profile has the sign of (1 + A) B - 1. A grid over s = log(1 + theta max x) finds the
+    best cell, each round keeps the eighth in which the slope turns negative, and a secant ends the
+    search. A round is one map-side aggregate of sums per key. Shapes below -1 have no bounded
+    likelihood; where none above is better, the tail is uniform up to its largest excess.
+    """
+    whole = list(keys) == [WHOLE]
+    join = lambda stats: excesses.join(F.broadcast(stats) if whole else stats, list(keys))
+    x, top = F.col("_x"), F.col("_top")
+    fits = excesses.groupBy(*keys).agg(F.count(x).alias("n_tail"), F.var_pop(x).alias("_v"), F.max(x).alias("_top"))
+    theta = lambda s: F.expm1(s) / top
+    log_mean = lambda s: F.avg(F.log1p(theta(s) * x))
+
+    slope = lambda s: (1.0 + log_mean(s)) * F.avg(1.0 / (1.0 + theta(s) * x)) - 1.0
+    steep = lambda s: F.try_divide(slope(s), F.max(theta(s)) * log_mean(s))
+    heavy = F.avg(x * x) > 2.0 * F.avg(x) * F.avg(x)  # (1 + A) B - 1 has a double zero at theta = 0
+
+    grid = [STEP * (i + 0.5) - REACH for i in range(int(2 * REACH / STEP))]  # never 0
+    first = join(fits).where("_v > 0").groupBy(*keys).agg(
+        F.max("_top").alias("_top"), *[log_mean(F.lit(s)).alias(f"_a{i}") for i, s in enumerate(grid)]
+    )
+    profile = [
+        F.struct(
+            F.when(F.col(f"_a{i}") >= -1, -F.log(F.col(f"_a{i}") / theta(F.lit(s))) - F.col(f"_a{i}")).alias("g"),
+            F.lit(s).alias("s"),
+        )
+        for i, s in enumerate(grid)
+    ]
+    best = F.array_max(F.filter(F.array(*profile), lambda p: p.g.isNotNull())).s
+    cell = first.select(*keys, "_top", (best - STEP).alias("_lo"), F.lit(2 * STEP).alias("_w"))
+    for _ in range(ROUNDS):
+        marks = [F.col("_lo") + F.col("_w") * (j / CELLS) for j in range(1, CELLS)]
+        rising = [F.when(F.abs(F.max(m)) < 1e-6, heavy).otherwise(slope(m) > 0) for m in marks]
+        counted = join(cell).groupBy(*keys).agg(
+            F.max("_top").alias("_top"), F.max("_lo").alias("_lo"), F.max("_w").alias("_w"), F.array(*rising).alias("_up")
+        )
+        last = F.coalesce(F.array_max(F.transform("_up", lambda up, i: F.when(up, i + 1))), F.lit(0))
+        cell = counted.select(
+            *keys, "_top", (F.col("_lo") + F.col("_w") * last / CELLS).alias("_lo"), (F.col("_w") / CELLS).alias("_w")
+        )
+    sides = join(cell).groupBy(*keys).agg(
+        F.max("_top").alias("_top"), F.max("_lo").alias("_lo"), F.max("_w").alias("_w"),
+        steep(F.col("_lo")).alias("_l"), steep(F.col("_lo") + F.col("_w")).alias("_r"),
+    )
+    share = F.when((F.col("_l") > 0) & (F.col("_r") < 0), F.try_divide("_l", F.col("_l") - F.col("_r"))).otherwise(0.5)
+    root = sides.select(*keys, "_top", (F.col("_lo") + F.col("_w") * share).alias("_s"))
+    s = F.col("_s")
+    ends = join(root).groupBy(*keys).agg(
+        F.max("_top").alias("_top"), F.max(theta(s)).alias("_theta"), log_mean(s).alias("_a"), F.avg(x).alias("_m")
+    )
+    uniform, flat = F.col("_a") < -1, F.abs("_a") < 1e-9
+    solved = ends.select(
+        *keys,
+        F.when(uniform, -1.0).when(flat, 0.0).otherwise(F.col("_a")).alias("shape"),
+        F.when(uniform, F.col("_top")).when(flat, F.col("_m")).otherwise(F.try_divide("_a", "_theta")).alias("scale"),
+    )
+    return fits.drop("_top").join(solved, list(keys), "left")
+
+
 def pot_threshold(
-    df: DataFrame, score: str = "score", contamination: float = 0.02, tail: float = 0.05, keys: Keys = ()
+    df: DataFrame, score: str = "score", contamination: float = 0.02, tail: float = 0.05, keys: Keys = (),
+    method: str = "moments",
 ) -> DataFrame:
-    """Peaks-over-threshold cut of the low tail.
+    """Peaks-over-threshold cut of the low tail under a generalised Pareto law.
 
-    The generalised Pareto tail is fitted by the method of moments (a closed form over two
-    sums), so its numbers differ from a maximum-likelihood fit. Fewer than five excesses, or
-    excesses without variance, fall back to the plain percentile.
+    ``method="moments"`` fits by a closed form over two sums, ``"likelihood"`` by maximum likelihood;
+    the latter also returns ``shape`` and ``scale`` and stages the excesses (the ``tail`` share of the
+    rows) in the shared folder. Fewer than five excesses, or excesses without variance, fall back to
+    the plain percentile (shape and scale NULL). NULL and NaN scores do not count; equal scores do.
     """
-    cut = quantiles_wide(df, [score], {"_tail": tail, "_plain": contamination}, keys)
-    t, plain = F.col(f"{score}__tail"), F.col(f"{score}__plain")
-    excess = F.when(dbl(score) <= t, t - dbl(score))
-    stats = attach(df.select(*keys, score), cut, keys).groupBy(*keys).agg(
-        F.max(t).alias("tail_threshold"), F.max(plain).alias("plain_threshold"), F.count(excess).alias("n_tail"),
-        F.avg(excess).alias("_m"), F.var_pop(excess).alias("_v"),
+    if method not in ("moments", "likelihood"):
+        raise ValueError(f"method must be 'moments' or 'likelihood', got {method!r}")
+    wanted, keys = keys, list(keys) or [WHOLE]
+    s = (df if wanted else df.withColumn(WHOLE, F.lit(0))).select(*keys, F.nanvl(dbl(score), F.lit(None)).alias(score))
+    cut = quantiles_wide(s, [score], {"_tail": tail, "_plain": contamination}, wanted).withColumnsRenamed(
+        {f"{score}__tail": "tail_threshold", f"{score}__plain": "_plain"}
     )
-    ratio = F.try_divide(F.col("_m") * F.col("_m"), F.col("_v"))
-    shape, scale = 0.5 * (1.0 - ratio), 0.5 * F.col("_m") * (ratio + 1.0)
-    q = F.when(F.abs(shape) < 1e-9, -scale * F.log(F.lit(contamination))).otherwise(
-        scale / F.when(F.abs(shape) >= 1e-9, shape) * (F.pow(F.lit(contamination), -shape) - 1.0)
+    low = attach(s, cut, wanted).where(F.col(score) <= F.col("tail_threshold"))
+    excesses = low.select(*keys, (F.col("tail_threshold") - F.col(score)).alias("_x"))
+    if method == "moments":
+        fit = _by_moments(excesses, keys)
+    else:
+        fit = _by_likelihood(materialized(excesses, "excesses"), keys)
+    shape, scale = F.col("shape"), F.col("scale")
+    rare = F.lit(float(contamination))
+    q = F.when(F.abs(shape) < 1e-9, -scale * F.log(rare)).otherwise(
+        scale / F.when(F.abs(shape) >= 1e-9, shape) * (F.pow(rare, -shape) - 1.0)
     )
     usable = (F.col("n_tail") >= 5) & (F.col("_v") > 0)
-    return stats.select(
-        *keys, "tail_threshold", "n_tail",
-        F.when(usable, F.col("tail_threshold") - q).otherwise(F.col("plain_threshold")).alias("threshold"),
+    extra = [F.when(usable, c).alias(n) for n, c in (("shape", shape), ("scale", scale))] if method == "likelihood" else []
+    out = (cut if wanted else cut.withColumn(WHOLE, F.lit(0))).join(fit, keys, "left")
+    return out.select(
+        *wanted, "tail_threshold", F.coalesce("n_tail", F.lit(0)).cast("long").alias("n_tail"), *extra,
+        F.when(usable, F.col("tail_threshold") - q).otherwise(F.col("_plain")).alias("threshold"),
     )
