@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from kymo.catalog.composites import ON, ln
-from kymo.catalog.registry import DAYNO, cal, query, r
+from kymo.catalog.composites import ON, _circadian as circadian, ln
+from kymo.catalog.registry import DAYNO, ENTRIES, cal, query, r
 from kymo.core import calendar_frame
+from kymo.operators import aggregates as agg, joins
 from kymo.operators.ranking import sort_by_size
 from kymo.session import materialized
-from kymo.plans import boosting, detect, evaluation as ev, features, forest, linear, prepare
+from kymo.plans import baselines, boosting, detect, evaluation as ev, features, forest, linear, prepare, rhythm
 
 PREP = ["resting_hr", "hrv_daily_rmssd", "steps", "spo2_avg"]
 
@@ -493,3 +494,42 @@ def _(v):
     model = boosting.gbt_fit(train, _GBT, "target_hrv_zscore", staged=True, **best)
     out = boosting.gbt_predict(train, model, "yhat").withColumnRenamed("target_hrv_zscore", "y")
     return ev.regression_metrics(out, "y", "yhat", ["subject_id"]).withColumn("max_depth", F.lit(best["max_depth"]))
+
+
+def _checked(name: str) -> str:
+    return f"({ENTRIES[name].check})"
+
+
+@query(
+    "daily_context_scores",
+    f"""SELECT d.subject_id, d.date, d.resting_hr, d.steps, {r('q.completeness_pct', 4)} AS completeness_pct, c.overall_vas, {r('b.median_steps', 4)} AS median_steps,
+  {r('w.avg_steps', 4)} AS avg_steps, {r('v.vri_score', 4)} AS vri_score, {r('v.vri_confidence', 4)} AS vri_confidence, {r('h.chs_score', 4)} AS chs_score,
+  {r('h.chs_confidence', 4)} AS chs_confidence, p.predicted_score AS predicted_condition, x.actual_score, x.residual
+FROM daily d LEFT JOIN quality q USING (subject_id, date)
+LEFT JOIN (SELECT subject_id, CAST(logged_at AS DATE) AS date, arg_max(overall_vas, logged_at) AS overall_vas
+  FROM condition_logs GROUP BY subject_id, CAST(logged_at AS DATE)) c USING (subject_id, date)
+LEFT JOIN (SELECT subject_id, date, quantile_cont(steps, 0.5) {cal(60, True)} AS median_steps FROM daily) b USING (subject_id, date)
+LEFT JOIN (SELECT subject_id, date, avg(steps) {cal(6, True)} AS avg_steps FROM daily) w USING (subject_id, date)
+LEFT JOIN {_checked("vri")} v USING (subject_id, date) LEFT JOIN {_checked("chs")} h USING (subject_id, date)
+LEFT JOIN {_checked("ridge_predict")} p USING (subject_id, date) LEFT JOIN {_checked("divergence_residuals")} x USING (subject_id, date)""",
+    digits=4,
+)
+def _(v):
+    """The day with its quality, condition log, baselines, week, both scores, the condition predicted from
+    the day and the divergence of what was logged from it."""
+    days = features.divergence_day_features(v.daily)
+    tables = {
+        "quality": v.quality,
+        "condition": joins.latest_log_per_day(v.condition_logs).select(*ON, "overall_vas", "tags"),
+        "baselines": agg.baseline_medians(v.daily, ["steps"]).select(*ON, "median_steps"),
+        "week": agg.weekly_avg(v.daily, ["steps"], digits=None).select(*ON, "avg_steps"),
+        "vri": baselines.vri(v.daily, v.sleep_stages, v.quality).select(*ON, "vri_score", "vri_confidence"),
+        "circadian": rhythm.chs(circadian(v)).select(*ON, "chs_score", "chs_confidence"),
+        "prediction": linear.ridge_predict(days, _ridge(v)).select(*ON, "predicted_score"),
+        "divergence": detect.divergence_detect(days, v.condition_logs, _ridge(v, False)).select(*ON, "divergence_type", "actual_score", "residual"),
+    }
+    return joins.daily_context(v.daily, tables).select(
+        *ON, "biometrics.resting_hr", "biometrics.steps", "quality.completeness_pct", "condition.overall_vas", "baselines.median_steps",
+        "week.avg_steps", "vri.vri_score", "vri.vri_confidence", "circadian.chs_score", "circadian.chs_confidence",
+        F.col("prediction.predicted_score").alias("predicted_condition"), "divergence.actual_score", "divergence.residual",
+    )

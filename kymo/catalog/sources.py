@@ -82,6 +82,57 @@ def _(v):
     return _shown(records)
 
 
+_WORKOUT_END = "o_orderdate + to_minutes(CAST(o_orderkey % 90 AS BIGINT))"
+
+
+@query(
+    "read_xml_workouts",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS device, replace(o_orderpriority, ' ', '') AS activity_type, o_orderstatus AS source_name,
+  {sql_stamp('o_orderdate')} AS start_at, {sql_stamp(_WORKOUT_END)} AS end_at,
+  {r('CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN o_orderkey % 90 * 60 ELSE o_totalprice * 60 END')} AS duration_sec,
+  CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey AS DOUBLE) END AS distance_km, {r('o_totalprice')} AS energy_kcal FROM orders WHERE o_orderkey % 11 <> 0""",
+)
+def _(v):
+    """Orders as workouts: no duration (read as 0), an unreadable one (end less start), an unreadable
+    start (no row), a distance that is listed twice (the last readable sum counts)."""
+    path = landing(v, "xml-workouts")
+    key = F.col("o_orderkey")
+    text = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000"))
+    part = lambda kind, total: F.struct(F.lit(f"HKQuantityTypeIdentifier{kind}").alias("_type"), total.cast("string").alias("_sum"))
+    known = F.when(key % 3 != 0, F.col("o_custkey").cast("string")).otherwise("unknown")
+    v.orders.select(
+        F.concat(F.lit("HKWorkoutActivityType"), F.replace("o_orderpriority", F.lit(" "), F.lit(""))).alias("_workoutActivityType"),
+        F.col("o_orderstatus").alias("_sourceName"),
+        key.cast("string").alias("_device"),
+        F.when(key % 11 == 0, "not a time").otherwise(text(F.col("o_orderdate"))).alias("_startDate"),
+        text(F.expr("timestampadd(MINUTE, CAST(o_orderkey % 90 AS INT), o_orderdate)")).alias("_endDate"),
+        F.when(key % 5 == 0, None).when(key % 7 == 0, "long").otherwise(F.col("o_totalprice").cast("string")).alias("_duration"),
+        F.array(
+            part("DistanceWalkingRunning", F.when(key % 3 != 0, F.lit("1.5")).otherwise("none")), part("ActiveEnergyBurned", F.col("o_totalprice")),
+            part("DistanceWalkingRunning", known),
+        ).alias("WorkoutStatistics"),
+    ).write.format("xml").option("rootTag", "HealthData").option("rowTag", "Workout").save(path)
+    _records, workouts, _profile = tall.read_xml_export(v.spark, path)
+    return workouts.select(
+        "device", "activity_type", "source_name", stamp("start").alias("start_at"), stamp("end").alias("end_at"), "duration_sec", "distance_km",
+        "energy_kcal",
+    )
+
+
+@query(
+    "read_xml_profile",
+    """SELECT CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) END AS birth_date, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL""",
+)
+def _(v):
+    path = landing(v, "xml-profile")
+    born = F.when(F.col("o_orderkey") % 4 == 0, "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    v.orders.select(born.alias("_HKCharacteristicTypeIdentifierDateOfBirth")).write.format("xml").option("rootTag", "HealthData").option(
+        "rowTag", "Me"
+    ).save(path)
+    _records, _workouts, profile = tall.read_xml_export(v.spark, path)
+    return profile.groupBy("birth_date").agg(F.count("*").alias("n"))
+
+
 def _raw(v, body):
     return v.daily.select("subject_id", "date", F.to_json(body, {"ignoreNullFields": "true"}).alias("body"))
 
@@ -230,3 +281,29 @@ def _(v):
     sinks.append_run_log(runs, path)
     log = v.spark.read.schema(runs.schema).parquet(path)
     return log.groupBy("subject_id", "model", "status").agg(F.sum("training_rows").alias("training_rows"))
+
+
+@query(
+    "parse_provider_sleep",
+    f"""SELECT subject_id, date, CAST(coalesce(steps, 0) AS BIGINT) + 1 AS log_id, {sql_stamp('sleep_start')} AS start_at, {sql_stamp('sleep_end')} AS end_at,
+  sleep_duration_min, sleep_minutes_asleep, resting_hr AS sleep_minutes_awake, CASE WHEN steps > 5000 THEN 'stages' ELSE 'classic' END AS sleep_type,
+  coalesce(sleep_deep_min, 0) AS sleep_deep_min, 0 AS sleep_light_min, coalesce(sleep_rem_min, 0) AS sleep_rem_min, 0 AS sleep_wake_min
+FROM daily WHERE sleep_deep_min IS NULL OR sleep_deep_min % 5 <> 0""",
+)
+def _(v):
+    """The daily row of the main sleep; days whose records are all naps give none."""
+    local = lambda c: F.date_format(F.col(c) + F.expr("INTERVAL '9' HOUR"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    nap = F.coalesce(F.col("sleep_deep_min") % 5 == 0, F.lit(False))
+    minutes = lambda c: _struct(minutes=F.col(c))
+
+    def record(number, is_main):
+        return _struct(
+            logId=(F.coalesce("steps", F.lit(0)).cast("long") + number), isMainSleep=is_main, startTime=local("sleep_start"), endTime=local("sleep_end"),
+            duration=F.col("sleep_duration_min").cast("long") * 60000 + 59999, minutesAsleep=F.col("sleep_minutes_asleep"),
+            minutesAwake=F.col("resting_hr"), type=F.when(F.col("steps") > 5000, "stages").otherwise("auto"),
+            levels=_struct(summary=_struct(deep=minutes("sleep_deep_min"), rem=minutes("sleep_rem_min"))),
+        )
+
+    raw = _raw(v, _struct(sleep=F.array(record(0, F.lit(False)), record(1, ~nap), record(2, ~nap))))
+    out = provider.parse_provider_json(raw, "sleep")
+    return out.withColumns({"start_at": stamp("sleep_start"), "end_at": stamp("sleep_end")}).drop("sleep_start", "sleep_end")

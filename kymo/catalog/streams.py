@@ -10,7 +10,7 @@ from kymo.catalog.show import stamp
 from kymo.catalog.sources import landing
 from kymo.operators import frames
 from kymo.sources.sinks import overwrite_partitions
-from kymo.streaming import runs, streams
+from kymo.streaming import continuous, runs, streams
 
 
 def _events(v):
@@ -134,3 +134,17 @@ def _(v):
 )
 def _(v):
     return runs.backfill_range(_score, v.daily, "2024-01-12", "2024-01-20", landing(v, "backfill"), warmup=7)
+
+
+@query(
+    "continuous_daily_avg",
+    f"SELECT subject_id, CAST(time AS DATE) AS bucket, CAST(count(*) AS BIGINT) AS n, {r('avg(bpm)')} AS bpm_avg FROM heart_rate GROUP BY ALL",
+)
+def _(v):
+    """All rows but errors land first and are refreshed; the errors come late and make days stale."""
+    hr = v.heart_rate.select("subject_id", "time", "bpm", "source")
+    of = continuous.DailyAggregate(landing(v, "continuous"), hr.schema, ("bpm",))
+    for batch, part in enumerate((hr.where("source <> 'error'"), hr.where("source = 'error'"))):
+        continuous.land(part, of, batch)
+        continuous.refresh(v.spark, of)
+    return continuous.daily_means(v.spark, of)
