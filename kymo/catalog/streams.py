@@ -10,7 +10,7 @@ from kymo.catalog.show import stamp
 from kymo.catalog.sources import landing
 from kymo.operators import frames
 from kymo.sources.sinks import overwrite_partitions
-from kymo.streaming import continuous, runs, streams
+from kymo.streaming import continuous, runs, sessions, streams
 
 
 def _events(v):
@@ -78,6 +78,23 @@ def _(v):
     return out.withColumns({"start": stamp("start"), "end": stamp("end")})
 
 
+@query(
+    "stream_ordered_sessions",
+    f"""WITH s AS (SELECT subject_id, time, seconds, event_id, time + to_seconds(seconds) AS stop FROM sleep_stages),
+f AS (SELECT *, CASE WHEN time - lag(stop) OVER w <= INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS opens FROM s WINDOW w AS (PARTITION BY subject_id ORDER BY time, event_id)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY subject_id ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM f),
+g AS (SELECT subject_id, k, min(time) AS a, arg_max(stop, struct_pack(t := time, e := event_id)) AS b, count(*) AS n, sum(seconds) AS seconds FROM n GROUP BY ALL)
+SELECT subject_id, {sql_stamp('a')} AS start, {sql_stamp('b')} AS "end", CAST(n AS BIGINT) AS n_stages, CAST(seconds AS BIGINT) AS seconds FROM g
+WHERE b + INTERVAL '30' MINUTE <= (SELECT max(time) - INTERVAL '1' HOUR FROM sleep_stages)""",
+)
+def _(v):
+    """Append mode: sessions of the previous-row rule that the watermark has closed."""
+    stages = _events(v).withColumn("seconds", F.floor(F.col("value") * 120).cast("int") + 30)
+    with sessions.rocksdb(v.spark):
+        out = _append(v, sessions.stream_ordered_sessions(stages))
+    return out.withColumns({"start": stamp("start"), "end": stamp("end")})
+
+
 @query(
     "stream_dedup_upsert",
     "SELECT subject_id, CAST(time AS DATE) AS date, max(event_id) AS event_id, arg_max(bpm, event_id) AS bpm FROM heart_rate GROUP BY subject_id, CAST(time AS DATE)",
