@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from kymo.catalog.registry import query, r, stamp as sql_stamp
 from kymo.catalog.show import stamp
+from kymo.catalog.sources import landing
 from kymo.functions.vocab import source_priority
 from kymo.operators import reconcile as op
-from kymo.sources import sinks
+from kymo.sources import filetable, sinks
 
 DAY = ("subject_id", "date")
 
@@ -187,6 +188,30 @@ def _(v):
     return out.select("subject_id", "event_id", "stage")
 
 
+@query("upsert_files", _merge_sql(resting_hr=_over("resting_hr"), steps=_over("steps"), spo2_avg=r(_over("spo2_avg"))))
+def _(v):
+    """The overwriting upsert into a table of files cut by day, in two batches."""
+    old, new = _old_new(v)
+    table = filetable.create_table(old, landing(v, "files"), ["date", "subject_id"])
+    for part in ("date > DATE '2024-01-21'", "date <= DATE '2024-01-21'"):
+        filetable.upsert_files(v.spark, table, new.where(part), DAY, lambda o, n: sinks.upsert_overwrite(o, n, DAY))
+    return filetable.read_table(v.spark, table)
+
+
+@query(
+    "replace_range_files",
+    """WITH s AS (SELECT subject_id, sleep_start AS a, sleep_end AS b FROM daily WHERE sleep_start IS NOT NULL)
+SELECT subject_id, event_id, stage FROM sleep_stages o WHERE log_id = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.subject_id = o.subject_id AND o.time BETWEEN s.a AND s.b)
+UNION ALL SELECT subject_id, event_id, stage FROM sleep_stages WHERE log_id > 0""",
+)
+def _(v):
+    spans = v.daily.where("sleep_start IS NOT NULL").select("subject_id", F.col("sleep_start").alias("start"), F.col("sleep_end").alias("end"))
+    s = v.sleep_stages.select("subject_id", "time", "event_id", "stage", "log_id")
+    table = filetable.create_table(s.where("log_id = 0"), landing(v, "range-files"), ["time", "subject_id"])
+    filetable.replace_range_files(v.spark, table, s.where("log_id > 0"), "time", spans)
+    return filetable.read_table(v.spark, table).select("subject_id", "event_id", "stage")
+
+
 @query("retention_filter", "SELECT event_id, subject_id, bpm FROM heart_rate WHERE time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '20' DAY")
 def _(v):
     return sinks.retention_filter(v.heart_rate, "time", 20, "2024-01-31 00:00:00").select("event_id", "subject_id", "bpm")

@@ -1,7 +1,9 @@
-"""Sinks: merge rules as joins, then partition overwrite.
+"""Sinks: merge rules as joins, and partition overwrite.
 
-Plain parquet has no MERGE, so an upsert is a full outer join on the key whose result
-replaces only the partitions it touches.
+Plain parquet has no MERGE, so an upsert is a full outer join on the key. The rules here give the
+merged rows of the frames they are given; ``filetable.upsert_files`` gives them only the old rows of
+files that hold a touched key. Keys that repeat in the new rows are folded first, in ``order`` (of all
+columns where none is given), as if the rows had come one after the other.
 """
 
 from __future__ import annotations
@@ -27,18 +29,44 @@ def _merge(
     )
 
 
-def upsert_overwrite(old: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
+def _folded(
+    old: DataFrame, new: DataFrame, on: Sequence[str], order: Sequence[str], value: Callable[[str, Column], Column]
+) -> DataFrame:
+    """One row a key; ``value`` is a column's aggregate, given the rows' place. Grouped as the merge
+    joins, so it moves no row a second time."""
+    rest = [c for c in old.columns if c not in on]
+    place = F.struct(*(order or rest))
+    return new.groupBy(*on).agg(*[value(c, place).alias(c) for c in rest]).select(*old.columns)
+
+
+def _last(c: str, place: Column) -> Column:
+    return F.max_by(F.struct(c), place)[c]
+
+
+def upsert_overwrite(old: DataFrame, new: DataFrame, on: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """A new row replaces every non-key column, NULLs included."""
+    new = _folded(old, new, on, order, _last)
     return _merge(old, new, on, lambda c, o, n, arrived: F.when(arrived, n).otherwise(o))
 
 
-def upsert_keep_nonnull(old: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
+def upsert_keep_nonnull(old: DataFrame, new: DataFrame, on: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """A NULL in the new row keeps the old value."""
+    new = _folded(old, new, on, order, lambda c, place: F.max_by(c, F.when(F.col(c).isNotNull(), place)))
     return _merge(old, new, on, lambda c, o, n, arrived: F.coalesce(n, o))
 
 
-def upsert_zero_as_null(old: DataFrame, new: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def upsert_zero_as_null(
+    old: DataFrame, new: DataFrame, on: Sequence[str], cols: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
     """For ``cols`` a NULL or 0 keeps the old value of an existing row; the rest overwrite."""
+
+    def last(c: str, place: Column) -> Column:
+        if c not in cols:
+            return _last(c, place)
+        known = F.max_by(c, F.when(F.col(c) != 0, place))
+        return F.coalesce(known, F.min_by(F.struct(c), place)[c])
+
+    new = _folded(old, new, on, order, last)
     existing = "_old"
     marked = old.withColumn(existing, F.lit(True))
 
