@@ -10,7 +10,7 @@ from kymo.catalog.show import stamp
 from kymo.catalog.sources import landing
 from kymo.operators import frames
 from kymo.sources.sinks import overwrite_partitions
-from kymo.streaming import continuous, runs, sessions, streams
+from kymo.streaming import continuous, runs, sessions, streams, tiers
 
 
 def _events(v):
@@ -104,6 +104,22 @@ def _(v):
     return runs.stream_dedup_upsert(sdf, landing(v, "upserts"), landing(v, "state"), ["subject_id", "date"], ["event_id"])
 
 
+@query(
+    "stream_upsert_tiered",
+    """SELECT subject_id, CAST(time AS DATE) AS date, arg_max(event_id, struct_pack(b := event_id % 6, e := event_id)) AS event_id,
+  arg_max(bpm, struct_pack(b := event_id % 6, e := event_id)) AS bpm FROM heart_rate GROUP BY subject_id, CAST(time AS DATE)""",
+)
+def _(v):
+    """Six batches that land one after the other; the stream stops and goes on after each."""
+    rows = v.heart_rate.select("subject_id", F.to_date("time").alias("date"), "event_id", "bpm")
+    path, table, state = landing(v, "six"), landing(v, "tiers"), landing(v, "state")
+    for batch in range(6):
+        rows.where(F.col("event_id") % 6 == batch).write.mode("append").parquet(path)
+        sdf = v.spark.readStream.schema(rows.schema).parquet(path)
+        out = tiers.stream_upsert_tiered(sdf, table, state, ["subject_id", "date"], ["event_id"])
+    return out
+
+
 _RUN = "OVER (PARTITION BY subject_id ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
