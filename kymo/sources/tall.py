@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kymo.core import require
 from kymo.functions.vocab import RECORD_TYPES, source_priority
 from kymo.schemas import TALL_RECORDS
+from kymo.session import stage_path
 
 STAMP = "yyyy-MM-dd HH:mm:ss Z"
 
@@ -58,16 +59,64 @@ WORKOUT_XML = T.StructType(
 PROFILE_XML = _attributes("HKCharacteristicTypeIdentifierDateOfBirth")
 
 
-def _xml(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
-    """Split by row tag, so one large export file is read by many tasks."""
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+ELEMENTS = {"Record": RECORD_XML, "Workout": WORKOUT_XML, "WorkoutStatistics": _attributes("type", "sum"), "Me": PROFILE_XML}
+_TAG = r"""^(\w+)((?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))*)\s*/?>"""
+
+
+def xml_elements(spark: SparkSession, path: str) -> DataFrame:
+    """The opening tags of ``ELEMENTS`` in one scan: kind, attrs, file, block, row.
+
+    A tag starts at ``<``, which XML allows nowhere else in tags and texts, so the file is read as
+    text cut at that sign: Spark deals byte ranges of one large file to many tasks and no element is
+    read twice. ``block`` (where the byte range begins) and ``row`` order the tags of a file. Elements
+    within comments and CDATA sections count as elements.
+    """
+    tags = spark.read.option("lineSep", "<").text(path).select(
+        F.regexp_extract("value", _TAG, 1).alias("kind"),
+        F.regexp_extract("value", _TAG, 2).alias("attrs"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return tags.where(F.col("kind").isin(*ELEMENTS))
+
+
+def _of_kind(elements: DataFrame, kind: str, *extra: str) -> DataFrame:
+    """The attributes of one kind, as columns; a parser reads them, so entities are resolved."""
+    names = [f.name for f in ELEMENTS[kind] if isinstance(f.dataType, T.StringType)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    tag = F.concat(F.lit(f"<{kind}"), "attrs", F.lit("/>"))
+    rows = elements.where(F.col("kind") == kind).select(*extra, F.from_xml(tag, schema.simpleString()).alias("x"))
+    return rows.select(*extra, *[F.col("x")[n].alias(n) for n in names])
+
+
+def _with_statistics(elements: DataFrame) -> DataFrame:
+    """Workouts with the statistics between their tag and the next workout's, in order. Only these
+    two kinds are ordered, per byte range; the workout open at the end of a range is carried on."""
+    place = F.struct("block", "row")
+    some = elements.where(F.col("kind").isin("Workout", "WorkoutStatistics"))
+    opens = F.when(F.col("kind") == "Workout", place)
+    within = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = some.groupBy("file", "block").agg(F.max(opens).alias("m")).select("file", "block", F.max("m").over(before).alias("carried"))
+    owned = some.withColumn("owner", F.max(opens).over(within)).join(carried, ["file", "block"])
+    owned = owned.withColumn("owner", F.coalesce("owner", "carried"))
+    parts = _of_kind(owned, "WorkoutStatistics", "file", "owner", "block", "row").groupBy("file", "owner")
+    listed = F.array_sort(F.collect_list(F.struct("block", "row", "_type", "_sum")))  # the few of one workout
+    parts = parts.agg(F.transform(listed, lambda s: F.struct(s["_type"].alias("_type"), s["_sum"].alias("_sum"))).alias("WorkoutStatistics"))
+    return _of_kind(owned, "Workout", "file", "owner").join(parts, ["file", "owner"], "left").drop("file", "owner")
 
 
 def read_xml_export(
     spark: SparkSession, path: str, types: Sequence[str] = RECORD_TYPES
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, workouts, profile) of an XML export."""
-    raw = _xml(spark, path, "Record", RECORD_XML).select(
+    """(records, workouts, profile) of an XML export, which is read once: its tags are staged in the
+    shared folder by kind, and each frame reads its own."""
+    staged = stage_path(spark, "xml")
+    found = xml_elements(spark, path)
+    found.write.partitionBy("kind").parquet(staged)
+    elements = spark.read.schema(found.schema).parquet(staged)
+    raw = _of_kind(elements, "Record").select(
         F.col("_type").alias("type"),
         F.col("_sourceName").alias("source_name"),
         F.col("_device").alias("device"),
@@ -78,7 +127,7 @@ def read_xml_export(
     )
     records = _parsed(raw, types)
 
-    w = _xml(spark, path, "Workout", WORKOUT_XML)
+    w = _with_statistics(elements)
     start = F.try_to_timestamp("_startDate", F.lit(STAMP))
     end = F.try_to_timestamp("_endDate", F.lit(STAMP))
     minutes = F.coalesce(F.col("_duration"), F.lit("0")).try_cast("double")
@@ -100,7 +149,7 @@ def read_xml_export(
         last_sum("ActiveEnergyBurned").alias("energy_kcal"),
     ).where(F.col("start").isNotNull() & F.col("end").isNotNull())
 
-    profile = _xml(spark, path, "Me", PROFILE_XML).select(
+    profile = _of_kind(elements, "Me").select(
         F.col("_HKCharacteristicTypeIdentifierDateOfBirth").try_cast("date").alias("birth_date")
     )
     return records, workouts, profile
