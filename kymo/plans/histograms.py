@@ -9,10 +9,15 @@ is ``rate * residuals / (count + l2)``.
 Predictions are carried along: after ``RESTAGE`` trees the rows are written again with the boosters'
 predictions so far, so a pass evaluates a bounded number of trees, and a lost executor repeats one
 pass. The driver holds trees and one row a node, never rows of data.
+
+Tables of at most ``PART_ROWS`` rows fit one task, whose sums need no shuffle: there a pass brings each
+booster ``ROUNDS`` trees further instead of one level, and the boosters are dealt over tasks that each
+read all rows. Trees are the same either way.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -26,6 +31,8 @@ from kymo.session import materialized
 BINS = 32
 #: Trees that a pass evaluates at most, and rows of a partition.
 RESTAGE, PART_ROWS = 16, 200_000
+#: Rounds of a pass over a table that fits one task.
+ROUNDS = 10
 NO_SPLIT = 255
 TRAIN, EVALUATE, TEST = 1, 2, 3
 
@@ -151,6 +158,34 @@ def _drawn(rid: np.ndarray, job: dict) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) < share * 2.0**53
 
 
+def _job_sums(job: dict, rid: np.ndarray, role: np.ndarray, codes: np.ndarray, error: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, sums) of some rows for a booster's next level."""
+    if job["level"] == 0:
+        for node, kind in ((-1, EVALUATE), (-2, TEST)):
+            e = error[role == kind]
+            yield node, np.array([len(e), (e * e).sum(), np.abs(e).sum()])
+    rows = np.flatnonzero((role == TRAIN) & _drawn(rid, job))
+    if job["tree"] is None or not len(rows):
+        return
+    columns, n = job["columns"], 2 ** job["level"]
+    node = job["tree"].nodes(codes[rows], job["level"])
+    k = len(columns)
+    at = ((node[:, None] * k + np.arange(k)) * BINS + codes[np.ix_(rows, columns)]).ravel()
+    g = np.bincount(at, np.repeat(error[rows], k), n * k * BINS).reshape(n, -1)
+    h = np.bincount(at, minlength=n * k * BINS).reshape(n, -1)
+    for i in np.unique(node):
+        yield int(i), np.concatenate([g[i], h[i]])
+
+
+def _decided(job: dict, node: int, x: np.ndarray) -> list[float]:
+    """What the whole sums of a node say: its errors, or its totals and best split."""
+    if node < 0:
+        return x.tolist()
+    g, h = x.reshape(2, len(job["columns"]), BINS)
+    found = best_split(g, h, job["settings"]["min_child"], job["settings"]["l2"])
+    return [float(g[0].sum()), float(h[0].sum()), *(found or [])]
+
+
 def _summed(jobs, order: dict[int, int], width: int):
     """Sums of one task: (booster, node, sums): node -1 and -2 are the errors on evaluation and test
     rows, others the residuals and counts by (feature, bin)."""
@@ -168,21 +203,8 @@ def _summed(jobs, order: dict[int, int], width: int):
             for job in jobs.value:
                 role = roles[:, job["fold"]]
                 error = y - _predictions(job, codes, so_far, order)
-                if job["level"] == 0:
-                    for node, kind in ((-1, EVALUATE), (-2, TEST)):
-                        e = error[role == kind]
-                        add((job["number"], node), np.array([len(e), (e * e).sum(), np.abs(e).sum()]))
-                rows = np.flatnonzero((role == TRAIN) & _drawn(rid, job))
-                if job["tree"] is None or not len(rows):
-                    continue
-                columns, n = job["columns"], 2 ** job["level"]
-                node = job["tree"].nodes(codes[rows], job["level"])
-                k = len(columns)
-                at = ((node[:, None] * k + np.arange(k)) * BINS + codes[np.ix_(rows, columns)]).ravel()
-                g = np.bincount(at, np.repeat(error[rows], k), n * k * BINS).reshape(n, -1)
-                h = np.bincount(at, minlength=n * k * BINS).reshape(n, -1)
-                for i in np.unique(node):
-                    add((job["number"], int(i)), np.concatenate([g[i], h[i]]))
+                for node, x in _job_sums(job, rid, role, codes, error):
+                    add((job["number"], node), x)
         keys = list(total)
         for at in range(0, len(keys), 256):
             some = keys[at : at + 256]
@@ -220,14 +242,7 @@ def _split(jobs):
         by_number = {job["number"]: job for job in jobs.value}
         rows = []
         for (number, node), x in total.items():
-            if node < 0:
-                rows.append((number, node, x.tolist()))
-                continue
-            job = by_number[number]
-            g, h = x.reshape(2, len(job["columns"]), BINS)
-            found = best_split(g, h, job["settings"]["min_child"], job["settings"]["l2"])
-            whole = [float(g[0].sum()), float(h[0].sum())]
-            rows.append((number, node, whole + (list(found) if found else [])))
+            rows.append((number, node, _decided(by_number[number], node, x)))
         if rows:
             kinds = (pa.int32(), pa.int32(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["booster", "node", "found"])
@@ -273,6 +288,45 @@ def _advance(booster: Booster, found: dict[int, list[float]], width: int, rounds
         booster.start_round(width)
 
 
+def _grown_alone(boosters, order: dict[int, int], width: int, rounds: int, patience: int, lanes: int):
+    """The boosters of this task's lane, ``ROUNDS`` trees further; the task holds all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        lane = table.column("lane")[0].as_py()
+        rid, y = table.column("rid").to_numpy(), table.column("y").to_numpy()
+        roles, codes = _matrix(table.column("roles"), np.uint8), _matrix(table.column("codes"), np.uint8)
+        so_far = _matrix(table.column("so_far"), np.float32)
+        for booster in boosters.value[lane::lanes]:
+            job = booster.job()
+            role, now = roles[:, job["fold"]], _predictions(job, codes, so_far, order)
+            stop = (len(booster.trees) // ROUNDS + 1) * ROUNDS
+            # ends where the errors after ``stop`` trees are known
+            while not booster.done and (len(booster.trees), booster.level) < (stop, 1):
+                job, known = booster.job(), len(booster.trees)
+                found = {node: _decided(job, node, x) for node, x in _job_sums(job, rid, role, codes, y - now)}
+                _advance(booster, found, width, booster.settings.get("rounds", rounds), patience)
+                for tree in booster.trees[known:]:
+                    now = now + tree.predict(codes)
+            yield pa.RecordBatch.from_arrays([pa.array([booster.number]), pa.array([pickle.dumps(booster)])], ["booster", "state"])
+
+    return run
+
+
+def _pass_alone(rows: DataFrame, active: list[Booster], order: dict[int, int], width: int, rounds: int, patience: int) -> None:
+    """One pass over a table of at most ``PART_ROWS`` rows, which each lane reads whole."""
+    context = rows.sparkSession.sparkContext
+    lanes = max(1, min(context.defaultParallelism, len(active)))
+    lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    dealt = rows.select("*", lane).repartitionById(lanes, "lane")
+    sent = context.broadcast(active)
+    grown = dealt.mapInArrow(_grown_alone(sent, order, width, rounds, patience, lanes), "booster long, state binary")
+    states = {r["booster"]: r["state"] for r in grown.toArrow().to_pylist()}  # one row a booster
+    sent.destroy()
+    for b in active:
+        vars(b).update(vars(pickle.loads(states[b.number])))
+
+
 def grow(rows: DataFrame, boosters: Iterator[Booster], slots: int, width: int, rounds: int, patience: int, report=None) -> list[Booster]:
     """Train the boosters that ``boosters`` yields, ``slots`` at a time, on binned ``rows``; as one
     ends, the next takes its place. ``report(active)`` sees each pass and may mark some as done."""
@@ -281,6 +335,8 @@ def grow(rows: DataFrame, boosters: Iterator[Booster], slots: int, width: int, r
     means = rows.agg(F.count("*"), *(F.avg(F.when(F.substring("roles", f + 1, 1) == bytes([TRAIN]), F.col("y"))) for f in folds)).first()
     # a task for each PART_ROWS rows of data, or of rows times boosters as far as there are cores
     parts = max(1, min(spark.sparkContext.defaultParallelism, means[0] * slots // PART_ROWS), -(-means[0] // PART_ROWS))
+    alone = 0 < means[0] <= PART_ROWS
+    parts = 1 if alone else parts
     rows = materialized(rows.repartition(parts, "rid"), "boost-rows")
     active: list[Booster] = []
     order: dict[int, int] = {}
@@ -300,22 +356,30 @@ def grow(rows: DataFrame, boosters: Iterator[Booster], slots: int, width: int, r
             rows, order = materialized(_restaged(rows, active, order), "boost-rows"), {b.number: i for i, b in enumerate(active)}
             for b in active:
                 b.staged = len(b.trees)
-        jobs = spark.sparkContext.broadcast([b.job() for b in active])
-        sums = rows.mapInArrow(_summed(jobs, order, width), "booster int, node int, sums binary")
-        sums = sums.repartition("booster", "node") if parts > 1 else sums  # one task has all sums of its rows
-        best = sums.mapInArrow(_split(jobs), "booster int, node int, found array<double>")
-        found: dict[int, dict[int, list[float]]] = {b.number: {} for b in active}
-        for r in best.toArrow().to_pylist():  # one row a node that is being split
-            found[r["booster"]][r["node"]] = r["found"]
-        jobs.destroy()
-        for b in active:
-            _advance(b, found[b.number], width, b.settings.get("rounds", rounds), patience)
+        if alone:
+            _pass_alone(rows, active, order, width, rounds, patience)
+        else:
+            _pass_by_level(rows, active, order, width, rounds, patience, parts)
         if report:
             report(active)
         done += [b for b in active if b.done]
         active = [b for b in active if not b.done]
 
 
+def _pass_by_level(rows: DataFrame, active: list[Booster], order: dict[int, int], width: int, rounds: int, patience: int, parts: int) -> None:
+    """One pass over any table: every booster a level further."""
+    jobs = rows.sparkSession.sparkContext.broadcast([b.job() for b in active])
+    sums = rows.mapInArrow(_summed(jobs, order, width), "booster int, node int, sums binary")
+    sums = sums.repartition("booster", "node") if parts > 1 else sums  # one task has all sums of its rows
+    best = sums.mapInArrow(_split(jobs), "booster int, node int, found array<double>")
+    found: dict[int, dict[int, list[float]]] = {b.number: {} for b in active}
+    for r in best.toArrow().to_pylist():  # one row a node that is being split
+        found[r["booster"]][r["node"]] = r["found"]
+    jobs.destroy()
+    for b in active:
+        _advance(b, found[b.number], width, b.settings.get("rounds", rounds), patience)
+
+
 def _restaged(rows: DataFrame, active: list[Booster], order: dict[int, int]) -> DataFrame:
     """``rows`` with the predictions of the active boosters, in their order."""
     jobs = rows.sparkSession.sparkContext.broadcast([b.job() for b in active])

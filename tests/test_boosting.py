@@ -10,7 +10,7 @@ import pytest
 from kymo.catalog import models
 from kymo.catalog.registry import ENTRIES
 from kymo.fixtures import Views
-from kymo.plans import boosting, shapley
+from kymo.plans import boosting, histograms, shapley
 from kymo.plans.features import HRV_FEATURES
 from kymo.plans.histograms import best_split
 from kymo.plans.search import MedianPruner, ParzenSearch, drawn
@@ -57,6 +57,18 @@ def test_all_rounds_without_evaluation_rows(spark):
     assert len(model.trees) == 25 and model.mae == 1.0
 
 
+@pytest.mark.parametrize("depth", [1, 3])
+def test_passes_by_level_and_by_ten_rounds_grow_the_same_trees(spark, monkeypatch, depth):
+    fit = lambda: boosting.gbt_fit(made_up(spark), ["a", "b", "c"], "y", rounds=13, rate=0.3, patience=5, max_depth=depth)
+    alone = fit()
+    monkeypatch.setattr(histograms, "PART_ROWS", 150)  # several tasks, a shuffle of the sums
+    by_level = fit()
+    assert len(alone.trees) == len(by_level.trees) > 2 and alone.mae == pytest.approx(by_level.mae)
+    for a, b in zip(alone.trees, by_level.trees, strict=True):
+        assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
+        assert a.value == pytest.approx(b.value) and a.cover == pytest.approx(b.cover)
+
+
 def test_patience_keeps_the_best_round(spark, monkeypatch):
     grown = []
     grow = boosting.grow
