@@ -132,3 +132,11 @@ def test_replaced_ranges_leave_other_files_alone(spark, tmp_path):
     assert got == sorted([(at(h), 0) for h in range(100) if not 2 <= h <= 4] + [(at(3), 7)])
     assert ft.replace_range_files(spark, table, spark.createDataFrame([(3, at(3), 7)], kind), "time", none) == []
     assert ft.read_table(spark, table).count() == 99
+
+
+def test_the_key_scan_reads_keys_and_pushes_their_range_down(spark, table, monkeypatch, capsys):
+    monkeypatch.setattr(ft, "_names_of", lambda rows: rows.explain("formatted") or [])
+    ft.holding_keys(spark, table, ft.files(spark, table), frame(spark, [day(15), day(16)]), ON)
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(date,2024-01-16)" in plan and "LessThanOrEqual(date,2024-01-17)" in plan
+    assert "ReadSchema: struct<subject_id:int,date:date>" in plan
