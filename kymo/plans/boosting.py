@@ -155,6 +155,7 @@ def gbt_fit(
         source = materialized(source, "boost")
     rows = source.where(target_range(source, y))
     marked = time_split(rows, validation, keys) if validation else rows.withColumn("is_validation", F.lit(False))
+    marked = materialized(marked, "boost-marked")  # its windows once, not in each pass of the statistics
     roles = _role((~F.col("is_validation"), TRAIN), (F.col("is_validation"), EVALUATE))
     model, codes = _prepared(marked, cols, y, keys, settings, roles)
     [booster] = grow(codes, iter([Booster(0, settings)]), 1, len(cols), settings["rounds"], settings["patience"])
@@ -271,7 +272,7 @@ def param_search(
     cols = list(cols)
     source = df.where(F.col(y).isNotNull()).select(*keys, "date", *cols, y)
     blocks = materialized(blocked_folds(source, n_folds, keys=keys), "folds")
-    marked = _fold_roles(blocks.where(target_range(blocks, y)), n_folds, validation, keys)
+    marked = materialized(_fold_roles(blocks.where(target_range(blocks, y)), n_folds, validation, keys), "folds-marked")
     _, codes = _prepared(marked, cols, y, keys, DEFAULTS, F.col("_roles"))
 
     guide, pruner = ParzenSearch(ranges, seed), MedianPruner()

@@ -3,12 +3,12 @@
 Rows are cut to bin codes once and stored. A pass over them brings every booster one level further,
 whatever its round, settings or fold: each task sums the residuals by (booster, node, feature, bin),
 the sums meet in a shuffle by (booster, node), and one row with the best split of each node comes
-back. Squared error has a second derivative of one, so a node's weight is its row count, and its value
+back; sums of few boosters (at most ``DRIVER_SUMS`` bytes over all tasks) meet in the driver instead. Squared error has a second derivative of one, so a node's weight is its row count, and its value
 is ``rate * residuals / (count + l2)``.
 
 Predictions are carried along: after ``RESTAGE`` trees the rows are written again with the boosters'
 predictions so far, so a pass evaluates a bounded number of trees, and a lost executor repeats one
-pass. The driver holds trees and one row a node, never rows of data.
+pass. The driver holds trees, one row a node and those sums, never rows of data.
 
 Tables of at most ``PART_ROWS`` rows fit one task, whose sums need no shuffle: there a pass brings each
 booster ``ROUNDS`` trees further instead of one level, and the boosters are dealt over tasks that each
@@ -33,6 +33,8 @@ BINS = 32
 RESTAGE, PART_ROWS = 16, 200_000
 #: Rounds of a pass over a table that fits one task.
 ROUNDS = 10
+#: Rows times boosters that are worth a task, and bytes of sums that a pass adds up in the driver.
+TASK_ROWS, DRIVER_SUMS = 50_000, 4_000_000
 NO_SPLIT = 255
 TRAIN, EVALUATE, TEST = 1, 2, 3
 
@@ -131,12 +133,41 @@ def binned(df: DataFrame, cols: Sequence[str], edges: list[np.ndarray]) -> DataF
 
 
 def _bytes(rows: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+    ends = np.arange(len(rows) + 1, dtype=np.int64) * (rows.shape[1] * rows.itemsize)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
-def _matrix(column: pa.Array, kind) -> np.ndarray:
-    rows = len(column)
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows, -1)
+def _matrix(column: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
+    """Rows of equal length as one matrix, a view of the Arrow buffer."""
+    if isinstance(column, pa.ChunkedArray):
+        return np.concatenate([_matrix(c, kind) for c in column.chunks if len(c)])
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, wide)[column.offset : column.offset + len(column) + 1]
+    found = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return found.view(kind).reshape(len(column), -1)
+
+
+BLOCK_COLUMNS = ["rid", "y", "roles", "codes", "so_far"]
+BLOCK_SCHEMA = ", ".join(f"{c} binary" for c in BLOCK_COLUMNS)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of rows -> one row that holds its columns as bytes, so that a pass reads few rows."""
+    for batch in batches:
+        if batch.num_rows:
+            rows = [batch.column("rid").to_numpy(), batch.column("y").to_numpy(), *(_matrix(batch.column(c), np.uint8) for c in BLOCK_COLUMNS[2:])]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in rows], BLOCK_COLUMNS)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rid, y, roles, codes, so_far) of each packed row."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            rid, y, *rest = (memoryview(batch.column(c)[at].as_buffer()) for c in BLOCK_COLUMNS)
+            n = len(rid) // 8
+            kinds = (np.uint8, np.uint8, np.float32)
+            yield np.frombuffer(rid, np.int64), np.frombuffer(y), *(np.frombuffer(x, k).reshape(n, -1) for x, k in zip(rest, kinds, strict=True))
 
 
 def _predictions(job: dict, codes: np.ndarray, so_far: np.ndarray, order: dict[int, int]) -> np.ndarray:
@@ -169,12 +200,14 @@ def _job_sums(job: dict, rid: np.ndarray, role: np.ndarray, codes: np.ndarray, e
         return
     columns, n = job["columns"], 2 ** job["level"]
     node = job["tree"].nodes(codes[rows], job["level"])
-    k = len(columns)
-    at = ((node[:, None] * k + np.arange(k)) * BINS + codes[np.ix_(rows, columns)]).ravel()
-    g = np.bincount(at, np.repeat(error[rows], k), n * k * BINS).reshape(n, -1)
-    h = np.bincount(at, minlength=n * k * BINS).reshape(n, -1)
+    first, e = node * BINS, error[rows]
+    g, h = np.empty((n, len(columns), BINS)), np.empty((n, len(columns), BINS))
+    for j, c in enumerate(columns):
+        at = first + codes[rows, c]
+        g[:, j] = np.bincount(at, e, n * BINS).reshape(n, BINS)
+        h[:, j] = np.bincount(at, minlength=n * BINS).reshape(n, BINS)
     for i in np.unique(node):
-        yield int(i), np.concatenate([g[i], h[i]])
+        yield int(i), np.concatenate([g[i].ravel(), h[i].ravel()])
 
 
 def _decided(job: dict, node: int, x: np.ndarray) -> list[float]:
@@ -196,10 +229,7 @@ def _summed(jobs, order: dict[int, int], width: int):
         def add(key, x):
             total[key] = total[key] + x if key in total else x
 
-        for batch in batches:
-            rid, y = batch.column("rid").to_numpy(), batch.column("y").to_numpy()
-            roles, codes = _matrix(batch.column("roles"), np.uint8), _matrix(batch.column("codes"), np.uint8)
-            so_far = _matrix(batch.column("so_far"), np.float32)
+        for rid, y, roles, codes, so_far in _blocks(batches):
             for job in jobs.value:
                 role = roles[:, job["fold"]]
                 error = y - _predictions(job, codes, so_far, order)
@@ -230,19 +260,22 @@ def best_split(g: np.ndarray, h: np.ndarray, least: float, l2: float) -> tuple |
     return float(gain[f, b]), int(f), int(b), float(left_g[f, b]), float(left_h[f, b])
 
 
+def _merged(jobs: list[dict], batches: Iterator[pa.RecordBatch]) -> list[tuple[int, int, list[float]]]:
+    """(booster, node, decision) from the sums of all tasks."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for b, n, s in zip(*(batch.column(c).to_pylist() for c in ("booster", "node", "sums")), strict=True):
+            x = np.frombuffer(s)
+            total[b, n] = total[b, n] + x if (b, n) in total else x
+    by_number = {job["number"]: job for job in jobs}
+    return [(number, node, _decided(by_number[number], node, x)) for (number, node), x in total.items()]
+
+
 def _split(jobs):
     """Sums of one (booster, node) from all tasks -> its best split, or its errors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for b, n, s in zip(*(batch.column(c).to_pylist() for c in ("booster", "node", "sums")), strict=True):
-                x = np.frombuffer(s)
-                total[b, n] = total[b, n] + x if (b, n) in total else x
-        by_number = {job["number"]: job for job in jobs.value}
-        rows = []
-        for (number, node), x in total.items():
-            rows.append((number, node, _decided(by_number[number], node, x)))
+        rows = _merged(jobs.value, batches)
         if rows:
             kinds = (pa.int32(), pa.int32(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["booster", "node", "found"])
@@ -292,11 +325,9 @@ def _grown_alone(boosters, order: dict[int, int], width: int, rounds: int, patie
     """The boosters of this task's lane, ``ROUNDS`` trees further; the task holds all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        lane = table.column("lane")[0].as_py()
-        rid, y = table.column("rid").to_numpy(), table.column("y").to_numpy()
-        roles, codes = _matrix(table.column("roles"), np.uint8), _matrix(table.column("codes"), np.uint8)
-        so_far = _matrix(table.column("so_far"), np.float32)
+        batches = list(batches)
+        lane = batches[0].column("lane")[0].as_py()
+        rid, y, roles, codes, so_far = map(np.concatenate, zip(*_blocks(batches), strict=True))
         for booster in boosters.value[lane::lanes]:
             job = booster.job()
             role, now = roles[:, job["fold"]], _predictions(job, codes, so_far, order)
@@ -314,7 +345,7 @@ def _grown_alone(boosters, order: dict[int, int], width: int, rounds: int, patie
 
 
 def _pass_alone(rows: DataFrame, active: list[Booster], order: dict[int, int], width: int, rounds: int, patience: int) -> None:
-    """One pass over a table of at most ``PART_ROWS`` rows, which each lane reads whole."""
+    """One pass over packed rows, at most ``PART_ROWS``, which each lane reads whole."""
     context = rows.sparkSession.sparkContext
     lanes = max(1, min(context.defaultParallelism, len(active)))
     lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
@@ -331,13 +362,14 @@ def grow(rows: DataFrame, boosters: Iterator[Booster], slots: int, width: int, r
     """Train the boosters that ``boosters`` yields, ``slots`` at a time, on binned ``rows``; as one
     ends, the next takes its place. ``report(active)`` sees each pass and may mark some as done."""
     spark = rows.sparkSession
+    rows = materialized(rows, "boost-binned")
     folds = range(len(rows.select("roles").first()[0])) if rows.limit(1).count() else []
     means = rows.agg(F.count("*"), *(F.avg(F.when(F.substring("roles", f + 1, 1) == bytes([TRAIN]), F.col("y"))) for f in folds)).first()
-    # a task for each PART_ROWS rows of data, or of rows times boosters as far as there are cores
-    parts = max(1, min(spark.sparkContext.defaultParallelism, means[0] * slots // PART_ROWS), -(-means[0] // PART_ROWS))
+    # a task for each PART_ROWS rows of data, or TASK_ROWS rows times boosters as far as there are cores
+    parts = max(1, min(spark.sparkContext.defaultParallelism, means[0] * slots // TASK_ROWS), -(-means[0] // PART_ROWS))
     alone = 0 < means[0] <= PART_ROWS
     parts = 1 if alone else parts
-    rows = materialized(rows.repartition(parts, "rid"), "boost-rows")
+    rows = materialized(rows.repartition(parts, "rid").mapInArrow(_packed, BLOCK_SCHEMA), "boost-rows")
     active: list[Booster] = []
     order: dict[int, int] = {}
     done: list[Booster] = []
@@ -367,14 +399,19 @@ def grow(rows: DataFrame, boosters: Iterator[Booster], slots: int, width: int, r
 
 
 def _pass_by_level(rows: DataFrame, active: list[Booster], order: dict[int, int], width: int, rounds: int, patience: int, parts: int) -> None:
-    """One pass over any table: every booster a level further."""
-    jobs = rows.sparkSession.sparkContext.broadcast([b.job() for b in active])
+    """One pass over the packed rows of any table: every booster a level further."""
+    todo = [b.job() for b in active]
+    jobs = rows.sparkSession.sparkContext.broadcast(todo)
     sums = rows.mapInArrow(_summed(jobs, order, width), "booster int, node int, sums binary")
-    sums = sums.repartition("booster", "node") if parts > 1 else sums  # one task has all sums of its rows
-    best = sums.mapInArrow(_split(jobs), "booster int, node int, found array<double>")
     found: dict[int, dict[int, list[float]]] = {b.number: {} for b in active}
-    for r in best.toArrow().to_pylist():  # one row a node that is being split
-        found[r["booster"]][r["node"]] = r["found"]
+    if parts * sum(2 ** job["level"] * len(job["columns"]) * BINS * 16 for job in todo) <= DRIVER_SUMS:
+        decided = _merged(todo, sums.toArrow().to_batches())
+    else:
+        sums = sums.repartition("booster", "node") if parts > 1 else sums  # one task has all sums of its rows
+        best = sums.mapInArrow(_split(jobs), "booster int, node int, found array<double>")
+        decided = [(r["booster"], r["node"], r["found"]) for r in best.toArrow().to_pylist()]  # one row a node that is being split
+    for number, node, x in decided:
+        found[number][node] = x
     jobs.destroy()
     for b in active:
         _advance(b, found[b.number], width, b.settings.get("rounds", rounds), patience)
@@ -385,9 +422,8 @@ def _restaged(rows: DataFrame, active: list[Booster], order: dict[int, int]) ->
     jobs = rows.sparkSession.sparkContext.broadcast([b.job() for b in active])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, so_far = _matrix(batch.column("codes"), np.uint8), _matrix(batch.column("so_far"), np.float32)
+        for rid, y, roles, codes, so_far in _blocks(batches):
             now = np.stack([_predictions(job, codes, so_far, order) for job in jobs.value], axis=1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _bytes(now)], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (rid, y, roles, codes, now)], BLOCK_COLUMNS)
 
     return rows.mapInArrow(run, rows.schema)

@@ -221,3 +221,24 @@ def test_param_search_is_repeatable_and_sorted(spark, monkeypatch):
     assert errors == sorted(errors) and all(math.isfinite(e) for e in errors)
     grid = boosting.param_search(df, ["a", "b", "c"], "y", {"max_depth": [1, 2], "rate": [0.4]}, n_folds=2, prune=False)
     assert {(s["max_depth"], s["rate"]) for s, _ in grid} == {(1, 0.4), (2, 0.4)}
+
+
+@pytest.mark.parametrize("driver_sums", [0, 4_000_000])
+def test_level_passes_read_packed_rows_with_and_without_a_shuffle(spark, monkeypatch, driver_sums):
+    """A pass reads a row a batch; sums that meet in a shuffle or in the driver give the same trees."""
+    fit = lambda: boosting.gbt_fit(made_up(spark), ["a", "b", "c"], "y", rounds=18, rate=0.3, patience=18)
+    alone = fit()
+    staged = []
+
+    def kept(df, name, stage=histograms.materialized):
+        out = stage(df, name)
+        staged.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(histograms, "PART_ROWS", 150)
+    monkeypatch.setattr(histograms, "DRIVER_SUMS", driver_sums)
+    monkeypatch.setattr(histograms, "materialized", kept)
+    by_level = fit()
+    packed = [n for name, n in staged if name == "boost-rows"]
+    assert len(packed) == 2 and max(packed) <= 16  # 18 rounds write the rows twice, predictions as floats
+    assert [t.value.tolist() for t in by_level.trees] == [pytest.approx(t.value.tolist(), abs=1e-5) for t in alone.trees]
