@@ -20,6 +20,8 @@ from kymo.session import materialized
 
 # Draws are hashes below this bound.
 HASHES = 1 << 62
+#: Rows that walk the trees together.
+BLOCK_ROWS = 256
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -85,17 +87,41 @@ class ForestModel:
     version: str = ""
     extra: dict = field(default_factory=dict)
 
-    def depth(self, x: np.ndarray) -> np.ndarray:
+    def flat(self) -> dict[str, np.ndarray]:
+        """All nodes in one row: feature, split, the two places that follow a node (a leaf's are its
+        own), path length, and the bit of the feature that a node looks at."""
         a = self.arrays
-        trees = np.arange(a["feature"].shape[0])[None, :]
-        node = np.zeros((len(x), trees.shape[1]), dtype=np.int32)
-        rows = np.arange(len(x))[:, None]
-        for _ in range(a["height"]):
-            f = a["feature"][trees, node]
-            value = x[rows, np.maximum(f, 0)]
-            down = np.where(value < a["split"][trees, node], a["left"][trees, node], a["right"][trees, node])
-            node = np.where(f < 0, node, down)
-        return a["path"][trees, node].mean(axis=1)
+        trees, width = a["feature"].shape
+        first = (np.arange(trees) * width)[:, None]
+        inner, own = a["feature"] >= 0, first + np.arange(width)
+        follow = np.stack([np.where(inner, first + a["left"], own), np.where(inner, first + a["right"], own)], axis=2)
+        f = np.maximum(a["feature"], 0).astype(np.int64)
+        bit = np.where(inner, np.int64(1) << (f % 63), 0)
+        return {"feature": f.ravel(), "split": a["split"].ravel(), "follow": follow.ravel(), "path": a["path"].ravel(), "bit": bit.ravel(), "roots": first.ravel()}
+
+    def leaves(self, flat: dict, x: np.ndarray, rows: np.ndarray, node: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+        """The leaves below the nodes ``node`` of rows ``rows`` of ``x``; ``seen`` collects features."""
+        x, at = np.ascontiguousarray(x).ravel(), rows * x.shape[1]
+        for _ in range(self.arrays["height"]):
+            if seen is not None:
+                seen |= flat["bit"].take(node)
+            left = x.take(at + flat["feature"].take(node)) < flat["split"].take(node)
+            node = flat["follow"].take(2 * node + ~left)
+        return node
+
+    def blocks(self, x: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(rows, their numbers, roots) of blocks small enough for a processor's cache."""
+        roots = np.arange(len(self.arrays["feature"])) * self.arrays["feature"].shape[1]
+        for at in range(0, len(x), BLOCK_ROWS):
+            n = min(BLOCK_ROWS, len(x) - at)
+            yield slice(at, at + n), np.repeat(np.arange(n), len(roots)), np.tile(roots, n)
+
+    def depth(self, x: np.ndarray) -> np.ndarray:
+        flat, out = self.flat(), np.zeros(len(x))
+        for part, rows, node in self.blocks(x):
+            found = self.leaves(flat, x[part], rows, node)
+            out[part] = flat["path"].take(found).reshape(-1, len(self.arrays["feature"])).mean(axis=1)
+        return out
 
     def paths(self) -> tuple[list[shapley.Paths], float]:
         """The trees' paths, for Shapley values of the mean path length, and its expectation."""
@@ -115,8 +141,10 @@ class ForestModel:
 
     def decision(self, x: np.ndarray) -> np.ndarray:
         """Higher is more normal; the offset puts the contamination share below 0."""
-        score = -np.power(2.0, -self.depth(x) / max(float(average_path(np.array(self.psi))), 1e-12))
-        return score - self.offset
+        return self.scored(self.depth(x))
+
+    def scored(self, depth: np.ndarray) -> np.ndarray:
+        return -np.power(2.0, -depth / max(float(average_path(np.array(self.psi))), 1e-12)) - self.offset
 
 
 def prepared(df: DataFrame, model: ForestModel) -> list:
@@ -253,13 +281,23 @@ def shapley_attribution(df: DataFrame, model: ForestModel, keys: Keys, scores: b
 
 
 def _ablations(m: ForestModel, _, x: np.ndarray, full: np.ndarray) -> np.ndarray:
-    delta = np.zeros_like(x)
-    for j, c in enumerate(m.cols):
-        changed = np.flatnonzero(x[:, j] != m.medians[c])
-        if len(changed):
-            y = x[changed].copy()
-            y[:, j] = m.medians[c]
-            delta[changed, j] = full[changed] - m.decision(y)
+    """A tree is walked again for the features that the row meets in it, others cannot change its leaf."""
+    delta, flat = np.zeros_like(x), m.flat()
+    trees = len(m.arrays["feature"])
+    for part, rows, node in m.blocks(x):
+        y, seen = x[part].copy(), np.zeros(len(rows), np.int64)
+        paths = flat["path"].take(m.leaves(flat, y, rows, node, seen))
+        for j, c in enumerate(m.cols):
+            kept, typical = y[:, j].copy(), m.medians[c]
+            again = np.flatnonzero((seen >> (j % 63) & 1).astype(bool) & (kept != typical)[rows])
+            if len(again):
+                y[:, j] = typical
+                now = paths.copy()
+                now[again] = flat["path"].take(m.leaves(flat, y, rows[again], node[again]))
+                changed = np.unique(rows[again])
+                depth = now.reshape(-1, trees)[changed].mean(axis=1)
+                delta[part.start + changed, j] = full[part][changed] - m.scored(depth)
+                y[:, j] = kept
     return delta
 
 
