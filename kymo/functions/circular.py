@@ -14,6 +14,8 @@ from kymo.core import ColumnOrName, dbl
 
 MINUTES = 1440.0
 TURN = 2 * math.pi / MINUTES
+#: Minutes that rounding of the sums can put a mean off.
+NOISE = 1e-9
 
 
 def angle(minutes: ColumnOrName) -> Column:
@@ -21,7 +23,9 @@ def angle(minutes: ColumnOrName) -> Column:
 
 
 def mean_from_parts(sin_mean: Column, cos_mean: Column) -> Column:
-    return F.pmod(F.atan2(sin_mean, cos_mean) / F.lit(TURN), F.lit(MINUTES))
+    """Minutes in [0, 1440). A mean of midnight is 0 whichever side the rounding of the sums puts it."""
+    m = F.pmod(F.atan2(sin_mean, cos_mean) / F.lit(TURN), F.lit(MINUTES))
+    return F.when(m >= F.lit(MINUTES - NOISE), F.lit(0.0)).otherwise(m)
 
 
 def std_from_parts(sin_mean: Column, cos_mean: Column, n: Column) -> Column:

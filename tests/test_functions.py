@@ -130,3 +130,10 @@ def test_fixed_rounds_the_binary_value(spark):
     for r in rows:
         assert (r.one, r.two, r.plus) == (f"{r.v:.1f}", f"{r.v:.2f}", f"{r.v:+.2f}")
     assert df.limit(1).select(text.fixed(F.lit(None).cast("double"), 1).alias("x")).first().x is None
+
+
+@pytest.mark.parametrize("minutes", [[1439.99, 0.01], [0.01, 1439.99], [1352.35, 87.65], [87.65, 1352.35], [1430.0, 10.0, 0.0], [0.0, 10.0, 1430.0]])
+def test_circular_mean_of_midnight_lies_in_the_day(spark, minutes):
+    one_task = spark.createDataFrame([(m,) for m in minutes], "m double").coalesce(1)
+    got = one_task.agg(circular.circular_mean("m").alias("x")).first()["x"]
+    assert 0.0 <= got < 1e-6
