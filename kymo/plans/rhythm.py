@@ -35,24 +35,21 @@ def cosinor(
 ) -> DataFrame:
     """Least-squares fit of M + A cos(wt - phi) per noon-to-noon day.
 
-    Only the sums of the normal equations are shuffled; they are solved in closed form.
+    Only the moments of the normal equations are shuffled; they are solved in closed form. They are
+    centred, because differences of raw sums lose the fit of a day whose samples lie within minutes.
+    Samples without a value do not count.
     ``convention="reference"`` keeps the mirrored acrophase atan2(-b2, b1); "peak" gives the
     hour at which the fitted curve peaks.
     """
     h = hours_since_noon(t, tz_offset) * F.lit(2 * math.pi / 24.0)
-    y, c, s = F.col(v).cast("double"), F.cos(h), F.sin(h)
+    y = F.col(v).cast("double")
+    c, s = F.when(y.isNotNull(), F.cos(h)), F.when(y.isNotNull(), F.sin(h))
     x = hr.select(*keys, noon_day(t, tz_offset).alias("date"), y.alias("y"), c.alias("c"), s.alias("s"))
-    names = {"y": "y", "c": "c", "s": "s", "cc": "c*c", "ss": "s*s", "cs": "c*s", "yc": "y*c", "ys": "y*s"}
     m = x.groupBy(*keys, "date").agg(
-        F.count("y").alias("n_samples"), *[F.avg(F.expr(e)).alias(f"_{n}") for n, e in names.items()]
-    )
-    cov = lambda a, b, ab: F.col(f"_{ab}") - F.col(f"_{a}") * F.col(f"_{b}")
-    m = m.withColumns(
-        {
-            "_vc": cov("c", "c", "cc"), "_vs": cov("s", "s", "ss"), "_vcs": cov("c", "s", "cs"),
-            "_kc": cov("y", "c", "yc"), "_ks": cov("y", "s", "ys"),
-        }
-    )
+        F.count("y").alias("n_samples"), *[F.avg(n).alias(f"_{n}") for n in ("y", "c", "s")],
+        F.var_pop("c").alias("_vc"), F.var_pop("s").alias("_vs"), F.covar_pop("c", "s").alias("_vcs"),
+        F.covar_pop("y", "c").alias("_kc"), F.covar_pop("y", "s").alias("_ks"),
+    )
     det = F.col("_vc") * F.col("_vs") - F.col("_vcs") * F.col("_vcs")
     det = F.when((F.col("n_samples") >= min_samples) & (det > 1e-12), det)
     m = m.withColumns(

@@ -264,3 +264,60 @@ def test_pot_threshold_falls_back(spark):
     df = spark.createDataFrame([(float(i),) for i in range(20)], "score double")
     r = evaluation.pot_threshold(df).first()
     assert r.n_tail == 1 and r.threshold == pytest.approx(np.quantile(np.arange(20), 0.02))
+
+
+def test_cosinor_of_samples_within_minutes_and_without_values(spark):
+    """Samples of a curve fix it however close they are; those without a value say nothing."""
+    rows = []
+    for i, m in enumerate((0, 2, 5, 9, 14)):
+        t = T0 + dt.timedelta(hours=14, minutes=m)
+        hours = t.hour + t.minute / 60
+        rows.append((1, t, 70 + 12 * math.cos((hours - 16) * 2 * math.pi / 24)))
+    rows += [(1, T0 + dt.timedelta(hours=20, minutes=m), None) for m in range(3)]
+    df = spark.createDataFrame(rows, "subject_id int, time timestamp, bpm double").coalesce(1)
+    r = rhythm.cosinor(df, min_samples=5, convention="peak", digits=None).first()
+    assert r.n_samples == 5
+    assert (r.mesor, r.amplitude, r.acrophase_hour) == pytest.approx((70.0, 12.0, 16.0), abs=1e-4)
+
+
+def made_up_forest(trees=12, psi=64, features=5):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, features))
+    grown = [forest.grow_tree(x[rng.choice(len(x), psi, replace=False)], rng, 6) for _ in range(trees)]
+    width = max(map(len, grown))
+    arrays = {"height": 6}
+    names = (("feature", np.int32, -1), ("split", float, 0.0), ("left", np.int32, 0), ("right", np.int32, 0), ("path", float, 0.0), ("cover", np.int32, 0))
+    for i, (name, kind, empty) in enumerate(names):
+        arrays[name] = np.full((trees, width), empty, dtype=kind)
+        for t, nodes in enumerate(grown):
+            arrays[name][t, : len(nodes)] = [n[i] for n in nodes]
+    cols = [f"c{i}" for i in range(features)]
+    return forest.ForestModel(cols, dict.fromkeys(cols, 0.0), {}, {}, psi, arrays), x
+
+
+def test_ablation_walks_only_trees_in_which_a_row_meets_the_feature(monkeypatch):
+    model, x = made_up_forest()
+    x[::7, 2] = 0.0
+    want = np.zeros_like(x)
+    for j in range(x.shape[1]):
+        y = x.copy()
+        y[:, j] = 0.0
+        want[:, j] = model.decision(x) - model.decision(y)
+    walked, leaves = [], forest.ForestModel.leaves
+    monkeypatch.setattr(forest.ForestModel, "leaves", lambda m, flat, x, rows, *more: (walked.append(len(rows)), leaves(m, flat, x, rows, *more))[1])
+    got = forest._ablations(model, None, x, model.decision(x))
+    assert np.array_equal(got, want) and np.abs(got).max() > 0
+    every = len(x) * len(model.arrays["feature"])
+    assert sum(walked) < every * (2 + 0.85 * x.shape[1])
+
+
+def test_shapley_values_look_up_sets_of_met_conditions(monkeypatch):
+    from kymo.plans import shapley
+
+    model, x = made_up_forest()
+    groups, expected = model.paths()
+    got = shapley.shapley_values(groups, x)
+    assert all(g.table is not None and len(g.table) == len(g.feature) * 2 ** g.feature.shape[1] for g in groups)
+    assert got.sum(axis=1) + expected == pytest.approx(model.depth(x))
+    monkeypatch.setattr(shapley, "TABLE", 0)
+    assert shapley.shapley_values(groups, x) == pytest.approx(got, abs=1e-12)
