@@ -12,6 +12,9 @@ Keys = Sequence[str]
 ColumnOrName = Column | str
 SUBJECT: tuple[str, ...] = ("subject_id",)
 
+#: A control chart's sums are within this of exact ones; a sum that equals its limit is no alert.
+CUSUM_NOISE = 1e-9
+
 MINUTE_US = 60 * 1_000_000
 DAY_US = 86_400 * 1_000_000
 
@@ -117,6 +120,11 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def cusum_alert(h: float) -> Column:
+    limit = F.lit(h + CUSUM_NOISE)
+    return (F.col("cusum_positive") > limit) | (F.col("cusum_negative") > limit)
+
+
 def flags_array(*named: tuple[str, Column]) -> Column:
     """Array of the names whose condition holds (NULL counts as not holding), in order."""
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named]))

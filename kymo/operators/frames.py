@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kymo.core import (
+    CUSUM_NOISE,
     SUBJECT,
     Keys,
     array_mad,
     array_median,
     calendar_frame,
+    cusum_alert,
+    day_number,
     dbl,
     frame_of,
     row_frame,
@@ -104,7 +107,10 @@ def delta_vs_mean(
     keys: Keys = SUBJECT,
     out: str | None = None,
 ) -> DataFrame:
-    mean = F.avg(dbl(v)).over(frame_of(frame, keys, n))
+    w = frame_of(frame, keys, n)
+    if frame == "rows":  # a row without a date comes before no day
+        w = Window.partitionBy(*keys).orderBy(day_number("date").asc_nulls_last()).rowsBetween(-n, -1)
+    mean = F.avg(dbl(v)).over(w)
     delta = safe_ln(v) - safe_ln(mean) if log else dbl(v) - mean
     return df.withColumn(out or f"{v}_delta", delta)
 
@@ -189,8 +195,8 @@ def cusum(
     out = held.withColumns({"cusum_positive": up, "cusum_negative": down})
     return out.withColumns(
         {
-            "cusum_alert": (F.col("cusum_positive") > h) | (F.col("cusum_negative") > h),
-            "divergence_type": cusum_type(F.col("cusum_positive"), F.col("cusum_negative"), h),
+            "cusum_alert": cusum_alert(h),
+            "divergence_type": cusum_type(F.col("cusum_positive"), F.col("cusum_negative"), h + CUSUM_NOISE),
         }
     ).drop("_r", "_z", "_mu", "_sigma")
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kymo.core import DAY_US, Keys, bucket, epoch_us
+from kymo.core import DAY_US, Keys, bucket, cusum_alert, epoch_us
 
 
 def prefix_scan(
@@ -111,4 +111,4 @@ def running_cusum(
         (F.col("_xu") + F.greatest(up0, F.col("_mu"))).alias("cusum_positive"),
         (F.col("_xd") + F.greatest(down0, F.col("_md"))).alias("cusum_negative"),
     )
-    return out.withColumn("cusum_alert", (F.col("cusum_positive") > h) | (F.col("cusum_negative") > h))
+    return out.withColumn("cusum_alert", cusum_alert(h))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kymo.core import SUBJECT, Keys, dbl, epoch_us
+from kymo.core import CUSUM_NOISE, SUBJECT, Keys, dbl, epoch_us
 
 
 def stream_minute_hr(
@@ -123,7 +123,7 @@ def stream_cusum_stateful(
         out = pd.DataFrame({row_id: rows[row_id].to_numpy(), "cusum_positive": ups, "cusum_negative": downs})
         for c, value in zip(keys, key):
             out[c] = value
-        out["cusum_alert"] = (out["cusum_positive"] > h) | (out["cusum_negative"] > h)
+        out["cusum_alert"] = (out["cusum_positive"] > h + CUSUM_NOISE) | (out["cusum_negative"] > h + CUSUM_NOISE)
         yield out[out_schema.fieldNames()]
 
     source = sdf.select(*keys, row_id, F.col(t).alias("_t"), dbl(residual).alias("_r")).where(F.col("_r").isNotNull())

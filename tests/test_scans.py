@@ -243,3 +243,18 @@ def test_no_pair_joins(stages):
     for df in (iv.flag_inside(stages.select("subject_id", "time"), spans), iv.proximity_anti_join(stages, stages.where("event_id < 9"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_delta_vs_mean_of_rows_ignores_a_row_without_date(spark):
+    rows = [(1, dt.date(2024, 1, 1), 50.0), (1, dt.date(2024, 1, 2), 60.0), (1, None, 9.0)]
+    df = spark.createDataFrame(rows, "subject_id int, date date, x double")
+    got = {r.date: r.x_delta for r in frames.delta_vs_mean(df, "x", frame="rows").collect()}
+    assert got == {dt.date(2024, 1, 1): None, dt.date(2024, 1, 2): 10.0, None: 9.0 - 55.0}
+
+
+def test_cusum_alert_needs_more_than_the_rounding_of_its_sums(spark):
+    """Forty steps of 0.1 add up to the limit of 4, which is no alert in any order of adding."""
+    rows = [(1, at(i * 60), i, 0.6) for i in range(41)]
+    df = spark.createDataFrame(rows, "subject_id int, time timestamp, event_id int, r double")
+    out = scan.running_cusum(df, "r", 0.0, 1.0, ["subject_id"], "time", ["event_id"])
+    assert [r.event_id for r in out.where("cusum_alert").collect()] == [40]
