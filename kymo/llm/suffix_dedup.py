@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.frames import bounded, discard, small
+from kymo.llm.frames import bounded, discard, give_back, released, small
 from kymo.session import materialized
 
 GRAM = 8
@@ -204,7 +204,10 @@ def _merged(table: pa.Table) -> pa.Table:
         cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
         ids.append(np.frombuffer(names, np.int64)[owner[cut]])
         anchors += [x.tobytes() for x in np.split(ordinal, cut[1:])] if len(owner) else []
-    return pa.table([pa.array(np.concatenate(ids)), pa.array(anchors, pa.binary())], names=["id", "anchors"])
+    found = pa.table([pa.array(np.concatenate(ids)), pa.array(anchors, pa.binary())], names=["id", "anchors"])
+    del slices, repeated, ids, anchors
+    give_back()
+    return found
 
 
 def _hash(raw: bytes, starts, ends) -> tuple[np.ndarray, np.ndarray]:
@@ -306,14 +309,14 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(0, (total // RANGE_BYTES).bit_length()), FIRST)
     slices = rows.select("id", "text").mapInArrow(
-        _transforms(length, bits), "range int, rows binary, ids binary, owners binary, anchors binary"
+        released(_transforms(length, bits)), "range int, rows binary, ids binary, owners binary, anchors binary"
     )
     marked = slices.groupBy("range").applyInArrow(_merged, "id long, anchors binary")
     marked = materialized(marked.groupBy("id").agg(F.collect_list("anchors").alias("anchors")), "repeated-anchors")
     marks = bounded(marked, "aggregate(anchors, 0L, (a, x) -> a + octet_length(x))")
     units = materialized(
         rows.join(marks, "id").mapInArrow(
-            _units(length), "id long, hash long, one long, two long, row long, start int, n int"
+            released(_units(length)), "id long, hash long, one long, two long, row long, start int, n int"
         ),
         "units",
     )
@@ -333,7 +336,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     edge = materialized(edge.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n")).alias("units")), "edge-units")
     discard(firsts)
     strings = rows.join(bounded(edge, "16 * size(units)"), ["id", "hash"]).mapInArrow(
-        _strings(length), "id long, hash long, one long, two long, start int"
+        released(_strings(length)), "id long, hash long, one long, two long, start int"
     )
     strings = materialized(strings, "edge-strings")  # repeated rows repeat strings, but start where the first does
     discard(edge)
@@ -342,7 +345,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     runs = later.unionByName(again.select("id", "hash", "start", F.lit(1).alias("n")))
     # a document's runs are bounded by its text
     by_doc = runs.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    spans = by_doc.mapInArrow(_covered(length), "id long, hash long, spans array<struct<start:long,end:long>>")
+    spans = by_doc.mapInArrow(released(_covered(length)), "id long, hash long, spans array<struct<start:long,end:long>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("bytes").cast("long").alias("end")))
     out = materialized(spans.unionByName(gone.select("id", "hash", whole.alias("spans"))), "spans")
     discard(gone, strings, later)
@@ -386,6 +389,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         joined.select("given", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "spans")
-        .mapInArrow(_kept, f"given {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+        .mapInArrow(released(_kept), f"given {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
         .withColumnRenamed("given", id_col)
     )

@@ -229,3 +229,20 @@ def test_interleave_finds_repeated_intervals_and_prefixes():
     rows = np.concatenate(slices)
     assert set(rows[repeated]) == {shared}
     assert (prefix[rows == prefix_only] == 2).all()
+
+
+def test_merge_gives_back_its_memory(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from kymo.llm import suffix_dedup
+
+    given = []
+    monkeypatch.setattr(suffix_dedup, "give_back", lambda: given.append(1))
+    rng = random.Random(4)
+    common, own = ("".join(rng.choices("abcdefgh", k=n)) for n in (400, 300))
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "text": [common, own + common, own[::-1]]})
+    slices = pa.Table.from_batches(list(suffix_dedup._transforms(100, 0)(iter([batch]))))
+    assert set(suffix_dedup._merged(slices).column("id").to_pylist()) == {1, 2}
+    assert given == [1]
