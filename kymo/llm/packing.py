@@ -13,6 +13,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +30,12 @@ from kymo.llm.frames import released
 from kymo.session import materialized
 
 PASSED, FAN_IN = 64, 8
-#: Words that a worker remembers; beyond that it forgets all and starts anew.
+#: Words that a worker remembers; beyond half of that it forgets those not met since the last time.
 WORDS = 250_000
-BREAK = re.compile("[ \n]")
+#: Bytes of text that are encoded at a time.
+SLICE = 2 << 20
+#: A letter and the mark behind it; not "|", which ends the names of added tokens.
+MARKED = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,;:!?%$&*#])"
 SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%$&*#|]*)")
 
 
@@ -56,42 +61,72 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        known = self.known
+        known, older = self.known, self.older
         simple, hard, words = [], [], set()
         for chunk in chunks:
             if m := SIMPLE.fullmatch(chunk):
                 word, marks = m.groups()
                 word = word.lower()
-                simple.append((chunk, word, marks))
                 if word not in known:
-                    words.add(word)
-                if marks not in known:
-                    hard.append(marks)
+                    if (code := older.get(word)) is None:
+                        words.add(word)
+                    else:
+                        known[word] = code
+                if word != chunk:
+                    simple.append((chunk, word, marks))
+                    if marks not in known:
+                        hard.append(marks)
             else:
                 hard.append(chunk)
         for chunk, code in zip(hard, self.whole.encode_batch_fast(hard, add_special_tokens=False), strict=True):
             known[chunk] = np.array(code.ids, dtype="<u4").tobytes()
         fresh = list(words)
-        for at in range(0, len(fresh), 1000):
-            some = fresh[at : at + 1000]
+        for at in range(0, len(fresh), 250):
+            some = fresh[at : at + 250]
             ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             code = ids.tobytes()
-            for word, lo, hi in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            lo = 0
+            for word, hi in zip(some, ends.tolist(), strict=True):
                 known[word] = code[lo:hi]
+                lo = hi
         for chunk, word, marks in simple:
             known[chunk] = known[word] + known[marks]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [BREAK.split(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > WORDS:
-            known.clear()
-            known[""] = b""
-        self._learn(list({c for doc in chunks for c in doc} - known.keys()))
-        return [b"".join([known[c] for c in doc]) for doc in chunks]
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        # marks behind a letter are chunks of their own, with the same tokens; Arrow finds the distinct chunks
+        spaced = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), MARKED, r"\1 \2")
+        lists = pc.split_pattern(spaced, " ")
+        coded = lists.flatten().dictionary_encode()
+        codes = self._codes(coded.dictionary.to_pylist())
+        # the ids of all occurrences, gathered from those of the distinct chunks
+        sizes = np.array([len(c) for c in codes], np.int64) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(codes), "<u4")[np.arange(n.sum()) + np.repeat(starts[at] - ends + n, n)].tobytes()
+        bounds = np.concatenate([[0], 4 * ends])[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])]
+        return [ids[lo:hi] for lo, hi in itertools.pairwise(bounds.tolist())]
+
+    def _codes(self, chunks: list[str]) -> list[bytes]:
+        if len(self.known) > WORDS // 2:
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        unknown = []
+        for chunk in chunks:
+            if chunk not in known:
+                if (code := older.get(chunk)) is None:
+                    unknown.append(chunk)
+                else:
+                    known[chunk] = code
+        self._learn(unknown)
+        return [known[c] for c in chunks]
 
 
 @lru_cache(maxsize=1)
@@ -133,6 +168,16 @@ def _passed(fills: np.ndarray, size: int) -> np.ndarray:
     return emptiest[fills[emptiest] < size - size // 128]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``SLICE`` bytes of text, a longer text with others before it."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    place = (np.cumsum(sizes) - sizes) // SLICE
+    bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+    for lo, hi in itertools.pairwise(bounds):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def _local(path: str, size: int, end: int, id_type: pa.DataType):
     schema = pa.schema(
         [
@@ -147,10 +192,9 @@ def _local(path: str, size: int, end: int, id_type: pa.DataType):
         coder = word_ids(path)
         ids, rows = [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in _slices(batch):
                 owners = []
-                for j, code in enumerate(coder.encode(some.column(1).to_pylist())):
+                for j, code in enumerate(coder.encode(some.column(1))):
                     code += tail
                     for k, cut in enumerate(range(0, len(code), 4 * size)):
                         piece = code[cut : cut + 4 * size]

@@ -126,6 +126,27 @@ def test_words_give_the_tokenizers_ids():
         assert np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == code, text
 
 
+def test_words_that_return_are_not_encoded_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "WORDS", 20)
+    path = P.path("word_bpe_49k.json")
+    whole, coder = Tokenizer.from_file(path), packing.WordIds(path)
+    learned, learn = [], coder._learn
+
+    def counted(chunks):
+        learned.extend(chunks)
+        learn(chunks)
+
+    monkeypatch.setattr(coder, "_learn", counted)
+    for k in range(12):
+        texts = [f"often OFTEN, {chr(97 + k)}one\n{chr(97 + k)}two, {k} rare{chr(97 + k)}. <{k}>", None, ""]
+        for text, code in zip(texts, coder.encode(texts), strict=True):
+            assert np.frombuffer(code, "<u4").tolist() == (whole.encode(text, add_special_tokens=False).ids if text else [])
+        assert len(coder.known) + len(coder.older) <= 45
+    assert learned.count("often") == learned.count("OFTEN") == learned.count(",") == 1
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, offsets, fills = packing.best_fit(np.array([6, 7, 3, 4]), 10)
     assert bins.tolist() == [1, 0, 0, 1] and fills == [10, 10] and offsets.tolist() == [0, 0, 7, 6]
