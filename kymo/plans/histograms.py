@@ -56,12 +56,30 @@ class Tree:
         return Tree(depth, np.zeros(inner, np.int16), np.full(inner, NO_SPLIT, np.uint8), np.zeros(2**depth), np.zeros(2 * inner + 1))
 
     def nodes(self, codes: np.ndarray, level: int) -> np.ndarray:
-        """Place, within its level, of each row's node."""
-        at = np.zeros(len(codes), np.int64)
-        rows = np.arange(len(codes))
-        for _ in range(level):
-            at = 2 * at + 1 + (codes[rows, self.feature[at]] > self.cut[at])
-        return at - (2**level - 1)
+        """Place, within its level, of each row's node. Every split of these few levels is asked of
+        every row, column by column, which takes a tenth of the time of each row's own way down."""
+
+        def below(at: int, level: int) -> np.ndarray | None:
+            """Place of each row in the last of ``level`` levels under node ``at``; None: all in the first."""
+            if not level:
+                return None
+            left, right = below(2 * at + 1, level - 1), below(2 * at + 2, level - 1)
+            if self.cut[at] == NO_SPLIT:  # no code is above it
+                return left
+            goes = codes[:, self.feature[at]] > self.cut[at]
+            half = 1 << (level - 1)
+            if left is None and right is None:
+                return goes.view(np.uint8) * np.uint8(half)
+            none = np.uint8(0)
+            return np.where(goes, (none if right is None else right) + np.uint8(half), none if left is None else left)
+
+        if level > 8:  # more nodes than a byte can tell apart, and too many splits to ask of all rows
+            at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+            for _ in range(level):
+                at = 2 * at + 1 + (codes[rows, self.feature[at]] > self.cut[at])
+            return at - (2**level - 1)
+        place = below(0, level)
+        return np.zeros(len(codes), np.uint8) if place is None else place
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
         return self.value[self.nodes(codes, self.depth)]
@@ -167,7 +185,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
             rid, y, *rest = (memoryview(batch.column(c)[at].as_buffer()) for c in BLOCK_COLUMNS)
             n = len(rid) // 8
             kinds = (np.uint8, np.uint8, np.float32)
-            yield np.frombuffer(rid, np.int64), np.frombuffer(y), *(np.frombuffer(x, k).reshape(n, -1) for x, k in zip(rest, kinds, strict=True))
+            roles, codes, so_far = (np.frombuffer(x, k).reshape(n, -1) for x, k in zip(rest, kinds, strict=True))
+            yield np.frombuffer(rid, np.int64), np.frombuffer(y), roles, np.asfortranarray(codes), so_far  # a column's codes together
 
 
 def _predictions(job: dict, codes: np.ndarray, so_far: np.ndarray, order: dict[int, int]) -> np.ndarray:
@@ -199,8 +218,8 @@ def _job_sums(job: dict, rid: np.ndarray, role: np.ndarray, codes: np.ndarray, e
     if job["tree"] is None or not len(rows):
         return
     columns, n = job["columns"], 2 ** job["level"]
-    node = job["tree"].nodes(codes[rows], job["level"])
-    first, e = node * BINS, error[rows]
+    node = job["tree"].nodes(codes, job["level"])[rows]
+    first, e = node.astype(np.int64) * BINS, error[rows]
     g, h = np.empty((n, len(columns), BINS)), np.empty((n, len(columns), BINS))
     for j, c in enumerate(columns):
         at = first + codes[rows, c]

@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 from itertools import combinations
 
 import numpy as np
@@ -242,3 +243,33 @@ def test_level_passes_read_packed_rows_with_and_without_a_shuffle(spark, monkeyp
     packed = [n for name, n in staged if name == "boost-rows"]
     assert len(packed) == 2 and max(packed) <= 16  # 18 rounds write the rows twice, predictions as floats
     assert [t.value.tolist() for t in by_level.trees] == [pytest.approx(t.value.tolist(), abs=1e-5) for t in alone.trees]
+
+
+def _own_way_down(tree, codes, level):
+    at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+    for _ in range(level):
+        at = 2 * at + 1 + (codes[rows, tree.feature[at]] > tree.cut[at])
+    return at - (2**level - 1)
+
+
+def test_nodes_are_found_column_by_column():
+    rng = np.random.default_rng(3)
+    codes = np.asfortranarray(rng.integers(0, histograms.BINS, (100_000, 21)).astype(np.uint8))
+    for depth in (1, 2, 3, 4, 9):
+        tree = histograms.Tree.empty(depth)
+        tree.feature[:] = rng.integers(0, 21, len(tree.feature))
+        tree.cut[:] = np.where(rng.random(len(tree.cut)) < 0.8, rng.integers(0, 31, len(tree.cut)), histograms.NO_SPLIT)
+        for level in range(depth + 1):
+            assert (tree.nodes(codes[:2000], level) == _own_way_down(tree, codes[:2000], level)).all()
+    tree = histograms.Tree.empty(3)
+    tree.feature[:], tree.cut[:] = np.arange(7), 15
+
+    def seconds(run):
+        taken = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            taken.append(time.process_time() - began)
+        return min(taken)
+
+    assert seconds(lambda: tree.nodes(codes, 3)) < 0.5 * seconds(lambda: _own_way_down(tree, codes, 3))
