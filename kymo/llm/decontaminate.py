@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.frames import free, small
+from kymo.llm.frames import free, settle, small
 from kymo.session import materialized
 
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.75, 23, 64
@@ -104,7 +104,7 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Where windows begin: distinct (key, size, k, start). ``docs``: key, w."""
     out = []
     for k in sorted(r.k for r in items.select("k").distinct().collect()):  # at most five values
-        seeds = items.where(F.col("k") == k).select("size", F.explode("shingles").alias("h")).distinct()
+        seeds = materialized(items.where(F.col("k") == k).select("size", F.explode("shingles").alias("h")).distinct(), "seeds")
         found = (
             docs.select("key", F.size("w").alias("n"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "h"))
             .join(small(seeds), "h")
@@ -118,6 +118,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     """Contaminated texts: key (hash of the text), iid (hash of the item's words), similarity of
     the best window, start (its first word)."""
     spark = docs.sparkSession
+    settle(spark)  # its plans are the largest of the library
     items = _items(benchmark, item_text)
     text = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     starts = _windows(text.select("key", words(F.col("text")).alias("w")), items)
@@ -135,11 +136,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
         "placed",
     )
     distinct = materialized(placed.groupBy("wid", "size").agg(F.min("shingles").alias("shingles")), "distinct-windows")
-    candidates = within_radius(simhash(distinct, ["wid", "size"], "shingles"), simhash(items, ["iid", "size"], "shingles"))
+    prints = materialized(simhash(items, ["iid", "size"], "shingles"), "item-prints")
+    candidates = materialized(within_radius(simhash(distinct, ["wid", "size"], "shingles"), prints), "candidates")
+    settle(spark)
 
     # weighted Jaccard: sum of the smaller counts over sum of the larger
     counted = distinct.select("wid", F.size("shingles").alias("m"), F.explode("shingles").alias("h")).groupBy("wid", "m", "h").agg(F.count("*").alias("c"))
-    wanted = items.select("iid", F.size("shingles").alias("mi"), F.explode("shingles").alias("h")).groupBy("iid", "mi", "h").agg(F.count("*").alias("ci"))
+    wanted = materialized(
+        items.select("iid", F.size("shingles").alias("mi"), F.explode("shingles").alias("h")).groupBy("iid", "mi", "h").agg(F.count("*").alias("ci")),
+        "item-counts",
+    )
     shared = F.sum(F.least("c", "ci"))
     verified = (
         counted.join(candidates, "wid")

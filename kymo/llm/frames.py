@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of a broadcast side; above them the join shuffles.
@@ -55,6 +55,13 @@ def give_back() -> None:
         return  # another C library
 
 
+def settle(spark: SparkSession) -> None:
+    """Give back what finished jobs hold in the driver: Python's freed memory, the plans that its dead
+    frames keep in the JVM, and heap that the JVM no longer needs."""
+    give_back()
+    spark._jvm.System.gc()
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete staged tables that nothing will read again, and let Spark remove the shuffle files of
     jobs that are over: the cleaner waits for the driver to collect its garbage."""

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.frames import give_back, released
+from kymo.llm.frames import give_back, released, settle
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS, FACTORS, MIN_DOCS, STEM = 18, 8, 4, 4
@@ -138,6 +138,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _lists(rows: pa.Array) -> list[np.ndarray]:
+    """The rows of a list array without nulls, as views."""
+    ends, items = rows.offsets.to_numpy(), rows.values.to_numpy()
+    return [items[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -167,8 +173,12 @@ def train(
         .orderBy("hash", "label")
         .toArrow()
     )
-    rows = [np.asarray(d, dtype=np.int32) for d in sample.column("features").to_pylist()]
-    return fit(rows, np.asarray(sample.column("label").to_pylist(), dtype=np.float64))
+    # views of the Arrow buffers: lists of Python numbers would take ten times their bytes
+    rows = [d for part in sample.column("features").chunks for d in _lists(part)]
+    machine = fit(rows, sample.column("label").to_numpy().astype(np.float64))
+    del rows, sample
+    settle(docs.sparkSession)
+    return machine
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text", out: str = "score") -> DataFrame:

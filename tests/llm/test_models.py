@@ -72,3 +72,13 @@ def test_language_held_out(spark, messy, empty):
 def test_kernel_is_the_blended_spectrum():
     a, b = language.normalised(language.presence(["abc abd", "abc"]))
     assert abs(a @ a - 3) < 1e-5 and 0 < a @ b < 3
+
+
+def test_training_rows_are_views_of_the_arrow_buffers():
+    import pyarrow as pa
+
+    part = pa.array([[9], [1, 2, 3], [], [4]], pa.list_(pa.int32())).slice(1)
+    rows = toxicity._lists(part)
+    assert [r.tolist() for r in rows] == [[1, 2, 3], [], [4]]
+    assert np.shares_memory(rows[0], part.values.to_numpy())
+    assert toxicity._lists(part.slice(0, 0)) == []
