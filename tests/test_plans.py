@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,39 @@ def test_shapley_values_look_up_sets_of_met_conditions(monkeypatch):
     assert got.sum(axis=1) + expected == pytest.approx(model.depth(x))
     monkeypatch.setattr(shapley, "TABLE", 0)
     assert shapley.shapley_values(groups, x) == pytest.approx(got, abs=1e-12)
+
+
+def test_week_sums_by_brute_force_and_by_any_batch(monkeypatch):
+    rng = np.random.default_rng(3)
+    weeks, days = [], list(range(50, 90))
+    for day in days:
+        have = [d for d in range(day - 6, day + 1) if d == day or rng.random() < 0.6]
+        weeks.append([{"d": d, "x": [float(v) if rng.random() < 0.8 else None for v in rng.normal(60, 9, 24)]} for d in have])
+    weeks.append([{"d": None, "x": [1.0] * 24}, {"d": None, "x": [2.0] * 24}])
+    held = pa.array([[], *weeks], pa.list_(pa.struct({"d": pa.int32(), "x": pa.list_(pa.float64())})))[1:]  # a slice
+    call = rhythm.week_moments(7, 15, 3).func
+    got = call(held, pa.array([*days, None], pa.int32())).to_pylist()
+    monkeypatch.setattr(rhythm, "_CHUNK", 500)
+    assert call(held, pa.array([*days, None], pa.int32())).to_pylist() == got
+    some = 0
+    for day, week, out in zip(days, weeks, got):
+        x = [next((w["x"] for w in week if w["d"] == d), [None] * 24) for d in range(day - 6, day + 1)]
+        hours = [[r[h] for r in x if r[h] is not None] for h in range(24)]
+        if sum(sum(v is not None for v in r) >= 15 for r in x) < 3 or not all(hours):
+            assert out is None or out["all"] is None
+            continue
+        some, mean = some + 1, [sum(v) / len(v) for v in hours]
+        full = [mean[h] if v is None else v for r in x for h, v in enumerate(r)]
+        avg = sum(full) / 168
+        assert out["between"] == pytest.approx(sum((m - avg) ** 2 for m in mean))
+        assert out["all"] == pytest.approx(sum((v - avg) ** 2 for v in full))
+        assert out["steps"] == pytest.approx(sum((b - a) ** 2 for a, b in zip(full, full[1:])))
+        assert out["last"] == pytest.approx(full[-24:])
+    assert some > 10 and got[-1]["all"] is None
+
+
+def test_npar_takes_samples_without_a_time(spark):
+    rows = [(1, None, 60), (1, None, 61), *[(1, T0 + dt.timedelta(hours=h), 60 + h % 24) for h in range(24 * 8)]]
+    out = rhythm.npar(spark.createDataFrame(rows, "subject_id int, time timestamp, bpm int"), min_per_cell=1)
+    got = {r.date: r.npar_is for r in out.collect()}
+    assert got[None] is None and got[day(7)] == pytest.approx(1.0)
