@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,12 +14,20 @@ from kymo.schemas import TALL_RECORDS
 from kymo.session import stage_path
 
 STAMP = "yyyy-MM-dd HH:mm:ss Z"
+_WRITTEN = r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}\z"
+
+
+def _stamp(text: str) -> Column:
+    """``STAMP`` read by a cast, which costs a tenth of a pattern; texts of another shape go by the pattern."""
+    c = F.col(text)
+    zoned = F.concat(F.substring(c, 1, 19), F.substring(c, 21, 3), F.lit(":"), F.substring(c, 24, 2))
+    return F.when(c.rlike(_WRITTEN), zoned.try_cast("timestamp")).otherwise(F.try_to_timestamp(c, F.lit(STAMP)))
 
 
 def _parsed(df: DataFrame, types: Sequence[str]) -> DataFrame:
     """Whitelisted types with both timestamps readable. The local date is the one written
     in the record, in the record's own zone."""
-    start, end = F.try_to_timestamp("start", F.lit(STAMP)), F.try_to_timestamp("end", F.lit(STAMP))
+    start, end = _stamp("start"), _stamp("end")
     return (
         df.where(F.col("type").isin(*types))
         .withColumns({"local_date": F.substring("start", 1, 10).try_cast("date"), "start": start, "end": end})
@@ -86,25 +94,31 @@ def _of_kind(elements: DataFrame, kind: str, *extra: str) -> DataFrame:
     names = [f.name for f in ELEMENTS[kind] if isinstance(f.dataType, T.StringType)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     tag = F.concat(F.lit(f"<{kind}"), "attrs", F.lit("/>"))
-    rows = elements.where(F.col("kind") == kind).select(*extra, F.from_xml(tag, schema.simpleString()).alias("x"))
-    return rows.select(*extra, *[F.col("x")[n].alias(n) for n in names])
+    # As a generator, the parser runs once a tag: later filters are not pushed below it, each with a parser of its own.
+    parsed = F.inline(F.array(F.from_xml(tag, schema.simpleString())))
+    return elements.where(F.col("kind") == kind).select(*extra, parsed.alias(*names))
 
 
-def _with_statistics(elements: DataFrame) -> DataFrame:
+def _with_statistics(elements: DataFrame, prepared: Callable[[DataFrame], DataFrame] = lambda w: w) -> DataFrame:
     """Workouts with the statistics between their tag and the next workout's, in order. Only these
-    two kinds are ordered, per byte range; the workout open at the end of a range is carried on."""
-    place = F.struct("block", "row")
-    some = elements.where(F.col("kind").isin("Workout", "WorkoutStatistics"))
-    opens = F.when(F.col("kind") == "Workout", place)
+    two kinds are ordered, per byte range; the workout open at the end of a range is carried on.
+    ``prepared`` works on the workouts before they are joined."""
+    place = ["file", "block", "row"]
+    stats = _of_kind(elements, "WorkoutStatistics", *place).withColumn("opens", F.lit(None).cast("long"))
+    begun = elements.where(F.col("kind") == "Workout").select(*place, F.col("row").alias("opens"))
     within = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = some.groupBy("file", "block").agg(F.max(opens).alias("m")).select("file", "block", F.max("m").over(before).alias("carried"))
-    owned = some.withColumn("owner", F.max(opens).over(within)).join(carried, ["file", "block"])
-    owned = owned.withColumn("owner", F.coalesce("owner", "carried"))
-    parts = _of_kind(owned, "WorkoutStatistics", "file", "owner", "block", "row").groupBy("file", "owner")
+    last = F.when(F.col("m").isNotNull(), F.struct("block", F.col("m").alias("row")))
+    ranges = elements.where(F.col("kind").isin("Workout", "WorkoutStatistics")).groupBy("file", "block")
+    ranges = ranges.agg(F.max(F.when(F.col("kind") == "Workout", F.col("row"))).alias("m"))
+    carried = ranges.select("file", "block", F.max(last).over(before).alias("carried"))
+    owned = stats.unionByName(begun, allowMissingColumns=True).withColumn("m", F.max("opens").over(within))
+    owned = owned.where(F.col("opens").isNull()).join(carried, ["file", "block"])
+    parts = owned.withColumn("owner", F.coalesce(last, "carried")).groupBy("file", "owner")
     listed = F.array_sort(F.collect_list(F.struct("block", "row", "_type", "_sum")))  # the few of one workout
     parts = parts.agg(F.transform(listed, lambda s: F.struct(s["_type"].alias("_type"), s["_sum"].alias("_sum"))).alias("WorkoutStatistics"))
-    return _of_kind(owned, "Workout", "file", "owner").join(parts, ["file", "owner"], "left").drop("file", "owner")
+    owners = elements.withColumn("owner", F.struct("block", "row"))
+    return prepared(_of_kind(owners, "Workout", "file", "owner")).join(parts, ["file", "owner"], "left").drop("file", "owner")
 
 
 def read_xml_export(
@@ -127,9 +141,12 @@ def read_xml_export(
     )
     records = _parsed(raw, types)
 
-    w = _with_statistics(elements)
-    start = F.try_to_timestamp("_startDate", F.lit(STAMP))
-    end = F.try_to_timestamp("_endDate", F.lit(STAMP))
+    def dated(workouts: DataFrame) -> DataFrame:
+        stamps = {"start": _stamp("_startDate"), "end": _stamp("_endDate")}
+        return workouts.withColumns(stamps).drop("_startDate", "_endDate").where(F.col("start").isNotNull() & F.col("end").isNotNull())
+
+    w = _with_statistics(elements, dated)
+    start, end = F.col("start"), F.col("end")
     minutes = F.coalesce(F.col("_duration"), F.lit("0")).try_cast("double")
 
     def last_sum(part: str) -> Column:
@@ -142,12 +159,12 @@ def read_xml_export(
         F.replace(F.coalesce("_workoutActivityType", F.lit("")), F.lit("HKWorkoutActivityType"), F.lit("")).alias("activity_type"),
         F.col("_sourceName").alias("source_name"),
         F.col("_device").alias("device"),
-        start.alias("start"),
-        end.alias("end"),
+        start,
+        end,
         F.coalesce(minutes * 60.0, (F.unix_timestamp(end) - F.unix_timestamp(start)).cast("double")).alias("duration_sec"),
         last_sum("DistanceWalkingRunning").alias("distance_km"),
         last_sum("ActiveEnergyBurned").alias("energy_kcal"),
-    ).where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    )
 
     profile = _of_kind(elements, "Me").select(
         F.col("_HKCharacteristicTypeIdentifierDateOfBirth").try_cast("date").alias("birth_date")

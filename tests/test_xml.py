@@ -1,6 +1,7 @@
 """One scan of an XML export: byte ranges, entities, order of a workout's parts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from kymo.sources import tall
 
@@ -72,3 +73,21 @@ def test_equal_to_a_reader_by_row_tag(spark, tmp_path):
 def test_files_without_elements(spark, tmp_path):
     (tmp_path / "empty.xml").write_text("<HealthData></HealthData>")
     assert [f.count() for f in tall.read_xml_export(spark, str(tmp_path))] == [0, 0, 0]
+
+
+def test_a_tag_is_parsed_once_for_all_filters(spark, tmp_path):
+    write(tmp_path / "export.xml", 5)
+    _records, workouts, _profile = tall.read_xml_export(spark, str(tmp_path / "export.xml"))
+    plan = workouts._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("from_xml(") == 2  # workouts and statistics
+
+
+def test_stamps_are_those_of_the_pattern(spark):
+    texts = [
+        "2024-02-29 23:59:59 +0900", "2023-02-29 00:00:00 +0000", "1582-10-10 12:00:00 -0330", "2024-01-01 24:00:00 +0000", "2024-01-01 00:00:60 +0000",
+        "2024-01-01 00:00:00 +1800", "2024-01-01 00:00:00 +1801", "2024-01-01 00:00:00 -0000", "0000-01-01 00:00:00 +0000", "not a time", "", None,
+        "2024-01-01 00:00:00 Z", "2024-01-01T00:00:00 +0000", "2024-1-1 0:0:0 +0000", "2024-01-01 00:00:00 +0000\n", " 2024-01-01 00:00:00 +0000",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    both = df.select("x", tall._stamp("x").alias("a"), F.try_to_timestamp("x", F.lit(tall.STAMP)).alias("b"))
+    assert both.where("NOT (a <=> b)").count() == 0 and both.where("a IS NOT NULL").count() == 5
