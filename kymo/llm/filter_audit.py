@@ -65,6 +65,12 @@ class _Relations:
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets, self.names = spark, buckets, []
 
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` dealt out by bucket, not by key: a bucket is written by one task, into one file (one
+        a value of ``by``), whatever the number of partitions. Tasks by key would each have rows of all
+        buckets and leave partitions times buckets files, which every later join opens."""
+        return df.repartitionByRange(self.buckets, F.pmod(F.hash(key), F.lit(self.buckets)))
+
     def store(self, df: DataFrame, name: str, key: str, by: list[str] | None = None) -> DataFrame:
         table = f"audit_{name}_{uuid.uuid4().hex}"
         self.names.append(table)
@@ -142,8 +148,8 @@ def set_counts(
         everyone = rows.select("key", "part", "good", "toxic", F.lit("").alias("prefix"), F.lit(True).alias("alive"))
         ids = F.array_compact(F.array(*(F.when(F.col(f"fails_{f}"), F.lit(f)) for f in FILTERS)))
         ids = rows.select(F.col("key").alias("failed"), F.explode(ids).alias("filter"))
-        failing = tables.store(ids.repartition(tables.buckets, "failed"), "failing", "failed", by=["filter"])
-        state = tables.store(everyone.repartition(tables.buckets, "key"), "documents", "key")
+        failing = tables.store(tables.dealt(ids, "failed"), "failing", "failed", by=["filter"])
+        state = tables.store(tables.dealt(everyone, "key"), "documents", "key")
         whole = _by_part(state.withColumns({"kind": F.lit("kept"), "next": F.lit("")}))
         found.append(materialized(whole, "audit-counts"))
         for size in range(len(FILTERS)):

@@ -284,3 +284,23 @@ def test_audit_joins_without_shuffling_ids(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         tables.close()
+
+
+def test_audit_writes_a_bucket_once(spark, monkeypatch):
+    """Where a cluster deals rows out to more partitions than there are buckets, files do not multiply."""
+    rows = [(i, f"text {i % 70} {'#' * (i % 2)} {'LOUD' * (i % 3)}", "s") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    known = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    files, store = {}, filter_audit._Relations.store
+
+    def counted(self, df, name, *rest, **more):
+        out = store(self, df, name, *rest, **more)
+        files[name] = len(out.inputFiles()), self.buckets
+        return out
+
+    monkeypatch.setattr(filter_audit._Relations, "store", counted)
+    for name in ("repartition", "repartitionByRange"):
+        deal = getattr(type(df), name)
+        monkeypatch.setattr(type(df), name, lambda self, n, *cols, deal=deal: deal(self, max(60, n) if cols else n, *cols))
+    assert sorted(tuple(r) for r in filter_audit.audit(df, known).collect()) == brute_audit(rows, [(1, 1, 0)])
+    assert files["documents"][0] <= files["documents"][1] and files["failing"][0] <= 5 * files["failing"][1], files
