@@ -21,12 +21,13 @@ kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.frames import free, settle, small
+from kymo.llm.frames import bounded, free, settle, small
 from kymo.session import materialized
 
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.75, 23, 64
@@ -44,6 +45,24 @@ def shingle_hashes(w: Column, k: int) -> Column:
     )
 
 
+def numbered(shingles: Column) -> Column:
+    """The hashes without order, the second and later of equal ones mixed with their number, so that
+    the intersection of two such sets counts the smaller number of each hash."""
+
+    def let(x: Column, f: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def of(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(first, lambda at: F.flatten(F.transform(at, lambda i, n: run(s, i, F.coalesce(F.get(at, n + 1), F.size(s)) - i))))
+
+    def run(s: Column, i: Column, count: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.when(j == 0, F.get(s, i)).otherwise(F.xxhash64(F.get(s, i), j)))
+
+    repeats = F.size(F.array_distinct(shingles)) < F.size(shingles)
+    return F.when(repeats, let(F.array_sort(shingles), of)).otherwise(shingles)
+
+
 def simhash(rows: DataFrame, keys: list[str], shingles: str) -> DataFrame:
     """Fingerprint of each row's shingles: bit b is set if more than half of the hashes have it.
     Sixteen sums hold the 64 counts, four to a sum (of items above 65,535 shingles the counts are
@@ -141,17 +160,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     settle(spark)
 
     # weighted Jaccard: sum of the smaller counts over sum of the larger
-    counted = distinct.select("wid", F.size("shingles").alias("m"), F.explode("shingles").alias("h")).groupBy("wid", "m", "h").agg(F.count("*").alias("c"))
-    wanted = materialized(
-        items.select("iid", F.size("shingles").alias("mi"), F.explode("shingles").alias("h")).groupBy("iid", "mi", "h").agg(F.count("*").alias("ci")),
-        "item-counts",
-    )
-    shared = F.sum(F.least("c", "ci"))
+    wanted = items.select("iid", F.size("shingles").alias("mi"), numbered(F.col("shingles")).alias("wanted"))
+    wanted = bounded(materialized(wanted, "item-sets"), "8 * mi")
+    both = F.size(F.array_intersect("had", "wanted"))
     verified = (
-        counted.join(candidates, "wid")
-        .join(small(wanted), ["iid", "h"])
-        .groupBy("wid", "iid", "m", "mi")
-        .agg(shared.alias("both"))
+        distinct.select("wid", F.size("shingles").alias("m"), numbered(F.col("shingles")).alias("had"))
+        .join(candidates, "wid")
+        .join(wanted, "iid")
+        .select("wid", "iid", "m", "mi", both.alias("both"))
         .select("wid", "iid", (F.col("both") / (F.col("m") + F.col("mi") - F.col("both"))).alias("similarity"))
         .where(F.col("similarity") >= SIMILARITY)
     )

@@ -77,3 +77,31 @@ def test_all_fingerprints_within_the_radius(spark):
         if ((x ^ y) & ((1 << 64) - 1)).bit_count() <= decontaminate.RADIUS
     }
     assert {(r.wid, r.iid) for r in decontaminate.within_radius(b, a).collect()} == want
+
+
+def test_numbered_sets_intersect_as_multisets(spark):
+    rnd = random.Random(9)
+    rows = [([1], [1]), ([1, 2], [3]), ([5] * 7, [5] * 4), ([1, 2, 3], [3, 2, 1])]
+    rows += [tuple([rnd.randint(-3, 3) for _ in range(rnd.randint(1, 20))] for _ in "ab") for _ in range(60)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    a, b = (decontaminate.numbered(F.col(c)) for c in "ab")
+    got = df.select("a", "b", F.size(F.array_intersect(a, b)).alias("both"), F.size(a).alias("n"), F.size(F.array_distinct(a)).alias("sets")).collect()
+    assert all(r.both == sum((Counter(r.a) & Counter(r.b)).values()) and r.n == r.sets == len(r.a) for r in got)
+
+
+def test_verification_deals_no_shingle_out_as_a_row(spark, monkeypatch):
+    """Windows are dealt out as one array each: no exchange of the last step holds rows of a hash."""
+    rnd = random.Random(10)
+    items = [(i, sentence(rnd, 30)) for i in range(3)]
+    docs = [(i, f"{sentence(rnd, 10)} {items[i % 3][1]} {sentence(rnd, 10)}") for i in range(9)]
+    plans, stored = {}, decontaminate.materialized
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(decontaminate, "materialized", kept)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.contaminated(d, b).collect()} == brute(docs, items)
+    assert "Generate" not in plans["matches"] and plans["matches"].count("Aggregate") == 1
