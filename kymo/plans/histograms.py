@@ -12,11 +12,14 @@ pass. The driver holds trees, one row a node and those sums, never rows of data.
 
 Tables of at most ``PART_ROWS`` rows fit one task, whose sums need no shuffle: there a pass brings each
 booster ``ROUNDS`` trees further instead of one level, and the boosters are dealt over tasks that each
-read all rows. Trees are the same either way.
+read all rows, with the predictions of their own boosters. Larger tables go a level a pass, in blocks, and
+no task holds more than a block. Trees are the same either way.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -29,12 +32,17 @@ from pyspark.sql import functions as F
 from kymo.session import materialized
 
 BINS = 32
-#: Trees that a pass evaluates at most, and rows of a partition.
-RESTAGE, PART_ROWS = 16, 200_000
+#: Trees that a pass evaluates at most, and rows of a table that one task holds: about 50 bytes each (50 MB,
+#: two or three times that while they are read) and 4 bytes a booster of the task.
+RESTAGE, PART_ROWS = 16, 1_000_000
+#: Rows of a stored partition, which holds the predictions of all boosters, and of a block of it.
+STORED_ROWS, BLOCK_ROWS = 200_000, 100_000
 #: Rounds of a pass over a table that fits one task.
 ROUNDS = 10
 #: Rows times boosters that are worth a task, and bytes of sums that a pass adds up in the driver.
 TASK_ROWS, DRIVER_SUMS = 50_000, 4_000_000
+#: Rows for each cell of a table that counts several columns at once.
+JOINED = 16
 NO_SPLIT = 255
 TRAIN, EVALUATE, TEST = 1, 2, 3
 
@@ -57,7 +65,8 @@ class Tree:
 
     def nodes(self, codes: np.ndarray, level: int) -> np.ndarray:
         """Place, within its level, of each row's node. Every split of these few levels is asked of
-        every row, column by column, in about a quarter of the time of each row's own way down."""
+        every row, column by column, and its sides are chosen by bit masks, in less than a tenth of
+        the time of each row's own way down."""
 
         def below(at: int, level: int) -> np.ndarray | None:
             """Place of each row in the last of ``level`` levels under node ``at``; None: all in the first."""
@@ -66,12 +75,10 @@ class Tree:
             left, right = below(2 * at + 1, level - 1), below(2 * at + 2, level - 1)
             if self.cut[at] == NO_SPLIT:  # no code is above it
                 return left
-            goes = codes[:, self.feature[at]] > self.cut[at]
-            half = 1 << (level - 1)
-            if left is None and right is None:
-                return goes.view(np.uint8) * np.uint8(half)
-            none = np.uint8(0)
-            return np.where(goes, (none if right is None else right) + np.uint8(half), none if left is None else left)
+            goes = -(codes[:, self.feature[at]] > self.cut[at]).view(np.uint8)  # all bits of a row that goes right
+            half = np.uint8(1 << (level - 1))
+            right = half if right is None else right + half
+            return goes & right if left is None else left ^ ((left ^ right) & goes)
 
         if level > 8:  # more nodes than a byte can tell apart, and too many splits to ask of all rows
             at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
@@ -171,22 +178,33 @@ BLOCK_SCHEMA = ", ".join(f"{c} binary" for c in BLOCK_COLUMNS)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch of rows -> one row that holds its columns as bytes, so that a pass reads few rows."""
+    """Batches of ``BLOCK_ROWS`` rows or more -> one row that holds their columns as bytes, so that a pass reads few rows."""
+
+    def block(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(some)
+        plain = [rows.column("rid").to_numpy(), rows.column("y").to_numpy(), *(_matrix(rows.column(c), np.uint8) for c in BLOCK_COLUMNS[2:])]
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in plain], BLOCK_COLUMNS)
+
+    some, n = [], 0
     for batch in batches:
         if batch.num_rows:
-            rows = [batch.column("rid").to_numpy(), batch.column("y").to_numpy(), *(_matrix(batch.column(c), np.uint8) for c in BLOCK_COLUMNS[2:])]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in rows], BLOCK_COLUMNS)
+            some.append(batch)
+            n += batch.num_rows
+        if n >= BLOCK_ROWS:
+            yield block(some)
+            some, n = [], 0
+    if some:
+        yield block(some)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(rid, y, roles, codes, so_far) of each packed row."""
+    """(rid, y, roles, codes, so_far) of each packed row; codes and ``so_far`` lie together by column."""
     for batch in batches:
         for at in range(batch.num_rows):
-            rid, y, *rest = (memoryview(batch.column(c)[at].as_buffer()) for c in BLOCK_COLUMNS)
+            rid, y, roles, codes, so_far = (memoryview(batch.column(c)[at].as_buffer()) for c in BLOCK_COLUMNS)
             n = len(rid) // 8
-            kinds = (np.uint8, np.uint8, np.float32)
-            roles, codes, so_far = (np.frombuffer(x, k).reshape(n, -1) for x, k in zip(rest, kinds, strict=True))
-            yield np.frombuffer(rid, np.int64), np.frombuffer(y), roles, np.asfortranarray(codes), so_far  # a column's codes together
+            roles, codes = (np.frombuffer(x, np.uint8).reshape(n, -1) for x in (roles, codes))
+            yield np.frombuffer(rid, np.int64), np.frombuffer(y), roles, np.asfortranarray(codes), np.frombuffer(so_far, np.float32).reshape(-1, n).T
 
 
 def _predictions(job: dict, codes: np.ndarray, so_far: np.ndarray, order: dict[int, int]) -> np.ndarray:
@@ -208,24 +226,67 @@ def _drawn(rid: np.ndarray, job: dict) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) < share * 2.0**53
 
 
-def _job_sums(job: dict, rid: np.ndarray, role: np.ndarray, codes: np.ndarray, error: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+@dataclass
+class _Fold:
+    """The places of a fold's rows by role, and the ids of those it learns from."""
+
+    places: dict[int, np.ndarray]
+    rid: np.ndarray
+
+    @staticmethod
+    def of(role: np.ndarray, rid: np.ndarray) -> _Fold:
+        places = {kind: np.flatnonzero(role == kind) for kind in (TRAIN, EVALUATE, TEST)}
+        return _Fold(places, rid.take(places[TRAIN]))
+
+    def learned(self, job: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rows that a round learns from, and their codes of its columns; all levels use them."""
+        rows = self.places[TRAIN][_drawn(self.rid, job)]
+        picked = np.empty((len(rows), codes.shape[1]), np.uint8, order="F")
+        for c in job["columns"]:
+            picked[:, c] = codes[:, c].take(rows)
+        return rows, picked
+
+
+def _joined(sizes: list[int], nodes: int, most: int) -> list[list[int]]:
+    """Neighbouring columns that are counted in one table of at most ``most`` cells (and 32,768, which
+    stay in a core's cache), or alone."""
+    out, cells = [], 0
+    for j, size in enumerate(sizes):
+        if out and cells * size <= min(most, 1 << 15):
+            out[-1].append(j)
+            cells *= size
+        else:
+            out.append([j])
+            cells = nodes * size
+    return out
+
+
+def _job_sums(job: dict, fold: _Fold, learned: tuple[np.ndarray, np.ndarray], error: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(node, sums) of some rows for a booster's next level."""
     if job["level"] == 0:
         for node, kind in ((-1, EVALUATE), (-2, TEST)):
-            e = error[role == kind]
+            e = error.take(fold.places[kind])
             yield node, np.array([len(e), (e * e).sum(), np.abs(e).sum()])
-    rows = np.flatnonzero((role == TRAIN) & _drawn(rid, job))
+    rows, picked = learned
     if job["tree"] is None or not len(rows):
         return
     columns, n = job["columns"], 2 ** job["level"]
-    node = job["tree"].nodes(codes, job["level"])[rows]
-    first, e = node.astype(np.int64) * BINS, error[rows]
-    g, h = np.empty((n, len(columns), BINS)), np.empty((n, len(columns), BINS))
-    for j, c in enumerate(columns):
-        at = first + codes[rows, c]
-        g[:, j] = np.bincount(at, e, n * BINS).reshape(n, BINS)
-        h[:, j] = np.bincount(at, minlength=n * BINS).reshape(n, BINS)
-    for i in np.unique(node):
+    node, e = job["tree"].nodes(picked, job["level"]), error.take(rows)
+    g, h = np.zeros((n, len(columns), BINS)), np.zeros((n, len(columns), BINS))
+    sizes = [int(picked[:, c].max()) + 1 for c in columns]
+    for some in _joined(sizes, n, len(rows) // JOINED):
+        shape = (n, *(sizes[j] for j in some))
+        total = math.prod(shape)
+        at = node.astype(np.uint16 if total <= 1 << 16 else np.int64)  # narrow numbers add up many at once
+        for j in some:
+            at *= at.dtype.type(sizes[j])
+            at += picked[:, columns[j]]
+        at = at.astype(np.int64)
+        for out, counted in ((g, np.bincount(at, e, total)), (h, np.bincount(at, minlength=total))):
+            counted = counted.reshape(shape)
+            for axis, j in enumerate(some, 1):
+                out[:, j, : sizes[j]] = counted.sum(axis=tuple(k for k in range(1, len(shape)) if k != axis))
+    for i in np.flatnonzero(h[:, 0].sum(axis=1)):
         yield int(i), np.concatenate([g[i].ravel(), h[i].ravel()])
 
 
@@ -249,10 +310,11 @@ def _summed(jobs, order: dict[int, int], width: int):
             total[key] = total[key] + x if key in total else x
 
         for rid, y, roles, codes, so_far in _blocks(batches):
+            folds = [_Fold.of(roles[:, f], rid) for f in range(roles.shape[1])]
             for job in jobs.value:
-                role = roles[:, job["fold"]]
+                fold = folds[job["fold"]]
                 error = y - _predictions(job, codes, so_far, order)
-                for node, x in _job_sums(job, rid, role, codes, error):
+                for node, x in _job_sums(job, fold, fold.learned(job, codes), error):
                     add((job["number"], node), x)
         keys = list(total)
         for at in range(0, len(keys), 256):
@@ -340,21 +402,48 @@ def _advance(booster: Booster, found: dict[int, list[float]], width: int, rounds
         booster.start_round(width)
 
 
-def _grown_alone(boosters, order: dict[int, int], width: int, rounds: int, patience: int, lanes: int):
+def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """(rid, y, roles, codes, so_far) of all packed rows, in an order that does not depend on their arrival."""
+    blocks = sorted(_blocks(batches), key=lambda block: block[0][0])
+    rid, y, roles, codes, so_far = map(np.concatenate, zip(*blocks, strict=True))
+    return rid, y, roles, np.asfortranarray(codes), so_far
+
+
+def _dealt(columns: list[list[int]]):
+    """Packed rows once a lane, each with the predictions (columns of ``so_far``) of its own boosters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                rid, *same, so_far = (batch.column(c).slice(at, 1) for c in BLOCK_COLUMNS)
+                now = np.frombuffer(so_far[0].as_buffer(), np.float32).reshape(-1, len(rid[0].as_buffer()) // 8)
+                for lane, mine in enumerate(columns):
+                    yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), rid, *same, pa.array([now[mine].tobytes()], pa.binary())], ["lane", *BLOCK_COLUMNS])
+
+    return run
+
+
+def _grown_alone(lanes, order: dict[int, int], width: int, rounds: int, patience: int):
     """The boosters of this task's lane, ``ROUNDS`` trees further; the task holds all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        lane = batches[0].column("lane")[0].as_py()
-        rid, y, roles, codes, so_far = map(np.concatenate, zip(*_blocks(batches), strict=True))
-        for booster in boosters.value[lane::lanes]:
-            job = booster.job()
-            role, now = roles[:, job["fold"]], _predictions(job, codes, so_far, order)
+        if (head := next(batches, None)) is None:
+            return
+        boosters = lanes.value[head.column("lane")[0].as_py()]
+        held = {b.number: i for i, b in enumerate(b for b in boosters if b.number in order)}
+        rid, y, roles, codes, so_far = _whole(itertools.chain([head], batches))
+        folds: dict[int, _Fold] = {}
+        for booster in boosters:
+            job, learned = booster.job(), None
+            fold = folds[job["fold"]] = folds.get(job["fold"]) or _Fold.of(roles[:, job["fold"]], rid)
+            now = _predictions(job, codes, so_far, held)
             stop = (len(booster.trees) // ROUNDS + 1) * ROUNDS
             # ends where the errors after ``stop`` trees are known
             while not booster.done and (len(booster.trees), booster.level) < (stop, 1):
                 job, known = booster.job(), len(booster.trees)
-                found = {node: _decided(job, node, x) for node, x in _job_sums(job, rid, role, codes, y - now)}
+                if learned is None or job["level"] == 0:
+                    learned, error = fold.learned(job, codes), y - now
+                found = {node: _decided(job, node, x) for node, x in _job_sums(job, fold, learned, error)}
                 _advance(booster, found, width, booster.settings.get("rounds", rounds), patience)
                 for tree in booster.trees[known:]:
                     now = now + tree.predict(codes)
@@ -363,14 +452,26 @@ def _grown_alone(boosters, order: dict[int, int], width: int, rounds: int, patie
     return run
 
 
-def _pass_alone(rows: DataFrame, active: list[Booster], order: dict[int, int], width: int, rounds: int, patience: int) -> None:
+def _lanes(active: list[Booster], lanes: int, learning: Sequence[int]) -> list[list[Booster]]:
+    """The boosters dealt to tasks, the longest first, each to the task with the least to do;
+    ``learning`` counts the training rows of each fold."""
+    dealt, load = [[] for _ in range(lanes)], [0.0] * lanes
+    work = lambda b: learning[b.fold] * b.settings["subsample"] * b.settings["columns"] * b.settings["max_depth"]
+    for b in sorted(active, key=work, reverse=True):
+        at = load.index(min(load))
+        dealt[at].append(b)
+        load[at] += max(work(b), 1)
+    return dealt
+
+
+def _pass_alone(rows: DataFrame, active: list[Booster], order: dict[int, int], width: int, rounds: int, patience: int, learning: Sequence[int]) -> None:
     """One pass over packed rows, at most ``PART_ROWS``, which each lane reads whole."""
     context = rows.sparkSession.sparkContext
-    lanes = max(1, min(context.defaultParallelism, len(active)))
-    lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
-    dealt = rows.select("*", lane).repartitionById(lanes, "lane")
-    sent = context.broadcast(active)
-    grown = dealt.mapInArrow(_grown_alone(sent, order, width, rounds, patience, lanes), "booster long, state binary")
+    lanes = _lanes(active, max(1, min(context.defaultParallelism, len(active))), learning)
+    columns = [[order[b.number] for b in lane if b.number in order] for lane in lanes]
+    dealt = rows.mapInArrow(_dealt(columns), f"lane int, {BLOCK_SCHEMA}").repartitionById(len(lanes), "lane")
+    sent = context.broadcast(lanes)
+    grown = dealt.mapInArrow(_grown_alone(sent, order, width, rounds, patience), "booster long, state binary")
     states = {r["booster"]: r["state"] for r in grown.toArrow().to_pylist()}  # one row a booster
     sent.destroy()
     for b in active:
@@ -383,12 +484,15 @@ def grow(rows: DataFrame, boosters: Iterator[Booster], slots: int, width: int, r
     spark = rows.sparkSession
     rows = materialized(rows, "boost-binned")
     folds = range(len(rows.select("roles").first()[0])) if rows.limit(1).count() else []
-    means = rows.agg(F.count("*"), *(F.avg(F.when(F.substring("roles", f + 1, 1) == bytes([TRAIN]), F.col("y"))) for f in folds)).first()
-    # a task for each PART_ROWS rows of data, or TASK_ROWS rows times boosters as far as there are cores
-    parts = max(1, min(spark.sparkContext.defaultParallelism, means[0] * slots // TASK_ROWS), -(-means[0] // PART_ROWS))
+    learns = [F.substring("roles", f + 1, 1) == bytes([TRAIN]) for f in folds]
+    means = rows.agg(F.count("*"), *(F.avg(F.when(x, F.col("y"))) for x in learns), *(F.count_if(x) for x in learns)).first()
+    learning = means[1 + len(folds) :]
     alone = 0 < means[0] <= PART_ROWS
-    parts = 1 if alone else parts
-    rows = materialized(rows.repartition(parts, "rid").mapInArrow(_packed, BLOCK_SCHEMA), "boost-rows")
+    # a task for each STORED_ROWS rows of data, or TASK_ROWS rows (times boosters, if they share a pass) as far as there are cores
+    parts = max(1, min(spark.sparkContext.defaultParallelism, means[0] * (1 if alone else slots) // TASK_ROWS), -(-means[0] // min(PART_ROWS, STORED_ROWS)))
+    dealt = rows.repartition(parts, "rid")
+    dealt = dealt.sortWithinPartitions("rid", "y") if parts > 1 else dealt  # sums add up in the same order each time
+    rows = materialized(dealt.mapInArrow(_packed, BLOCK_SCHEMA), "boost-rows")
     active: list[Booster] = []
     order: dict[int, int] = {}
     done: list[Booster] = []
@@ -408,7 +512,7 @@ def grow(rows: DataFrame, boosters: Iterator[Booster], slots: int, width: int, r
             for b in active:
                 b.staged = len(b.trees)
         if alone:
-            _pass_alone(rows, active, order, width, rounds, patience)
+            _pass_alone(rows, active, order, width, rounds, patience, learning)
         else:
             _pass_by_level(rows, active, order, width, rounds, patience, parts)
         if report:
@@ -437,12 +541,12 @@ def _pass_by_level(rows: DataFrame, active: list[Booster], order: dict[int, int]
 
 
 def _restaged(rows: DataFrame, active: list[Booster], order: dict[int, int]) -> DataFrame:
-    """``rows`` with the predictions of the active boosters, in their order."""
+    """``rows`` with the predictions of the active boosters, in their order, one booster after the other."""
     jobs = rows.sparkSession.sparkContext.broadcast([b.job() for b in active])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rid, y, roles, codes, so_far in _blocks(batches):
-            now = np.stack([_predictions(job, codes, so_far, order) for job in jobs.value], axis=1).astype(np.float32)
+            now = np.stack([_predictions(job, codes, so_far, order).astype(np.float32) for job in jobs.value])
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (rid, y, roles, codes, now)], BLOCK_COLUMNS)
 
     return rows.mapInArrow(run, rows.schema)

@@ -273,3 +273,72 @@ def test_nodes_are_found_column_by_column():
         return min(taken)
 
     assert seconds(lambda: tree.nodes(codes, 3)) < 0.5 * seconds(lambda: _own_way_down(tree, codes, 3))
+
+
+# ---- larger tables -------------------------------------------------------------------------------
+
+
+def codes_by_row(spark, n, folds=3, width=5):
+    """Binned rows of ``n`` made-up days, as ``grow`` takes them."""
+    learns, stops, tests = (f"X'0{k}'" for k in (histograms.TRAIN, histograms.EVALUATE, histograms.TEST))
+    code = "unhex(lpad(hex(pmod(shiftright(xxhash64(id), {}), {})), 2, '0'))"
+    role = f"CASE WHEN pmod(xxhash64(id, {{}}), 10) < 6 THEN {learns} WHEN pmod(xxhash64(id, {{}}), 10) < 8 THEN {stops} ELSE {tests} END"
+    return spark.range(n).selectExpr(
+        "xxhash64(id) AS rid", "pmod(xxhash64(id), 16) / 8.0D + pmod(shiftright(xxhash64(id), 6), 32) / 16.0D + pmod(xxhash64(id, 7), 1000) / 500.0D AS y",
+        f"concat({', '.join(role.format(f, f) for f in range(folds))}) AS roles",
+        f"concat({', '.join(code.format(6 * c, size) for c, size in zip(range(width), (16, 32, 7, 16, 12), strict=False))}) AS codes", "X'' AS so_far",
+    )
+
+
+def test_a_table_of_a_quarter_million_rows_takes_one_pass_for_ten_rounds(spark, monkeypatch):
+    monkeypatch.setattr(histograms, "_pass_by_level", lambda *a: pytest.fail("a pass a level"))
+    passes = []
+    boosters = [histograms.Booster(f, {**boosting.DEFAULTS, "max_depth": 2, "rounds": 10}, f) for f in range(3)]
+    done = histograms.grow(codes_by_row(spark, 250_000), iter(boosters), 3, 5, 10, 20, lambda active: passes.append(len(active)))
+    assert [len(b.trees) for b in done] == [10] * 3 and passes == [3]
+
+
+def test_lanes_continue_from_the_predictions_of_their_own_boosters(spark, monkeypatch):
+    """Several stored partitions and blocks, predictions written between passes, more boosters than tasks."""
+    settings = [{"max_depth": d, "rate": r, "rounds": 5} for d, r in ((1, 0.3), (2, 0.2), (3, 0.4))]
+    for name, value in (("RESTAGE", 2), ("ROUNDS", 2), ("TASK_ROWS", 1_500), ("BLOCK_ROWS", 400)):
+        monkeypatch.setattr(histograms, name, value)
+
+    def grown():
+        boosters = (histograms.Booster(3 * i + f, {**boosting.DEFAULTS, **s}, f) for i, s in enumerate(settings) for f in range(3))
+        return sorted(histograms.grow(codes_by_row(spark, 6_000), boosters, 5, 5, 5, 20), key=lambda b: b.number)
+
+    alone = grown()
+    assert [b.rmse for b in alone] == [b.rmse for b in grown()]  # whatever order blocks arrive in
+    monkeypatch.setattr(histograms, "PART_ROWS", 2_000)
+    for a, b in zip(alone, grown(), strict=True):
+        assert a.number == b.number and len(a.trees) == len(b.trees) == 5
+        assert a.rmse == pytest.approx(b.rmse, abs=1e-5) and a.test_mae == pytest.approx(b.test_mae, abs=1e-5)
+
+
+def test_columns_counted_together_have_their_own_sums():
+    rng = np.random.default_rng(8)
+    sizes, n = [16, 32, 1, 7, 7, 2, 32, 12, 16], 60_000
+    codes = np.asfortranarray(np.stack([rng.integers(0, s, n) for s in sizes], axis=1).astype(np.uint8))
+    role, rid, error = rng.integers(0, 4, n).astype(np.uint8), rng.integers(0, 1 << 62, n), rng.normal(size=n)
+    tree = histograms.Tree.empty(3)
+    tree.feature[:], tree.cut[:] = (0, 1, 8, 3, 4, 6, 5), (7, 15, 9, 3, histograms.NO_SPLIT, 30, 4)
+    fold = histograms._Fold.of(role, rid)
+    assert max(map(len, histograms._joined(sizes, 1, n // 16))) > 2 and set(map(len, histograms._joined(sizes, 1, 0))) == {1}
+    for level in range(4):
+        job = {"level": level, "columns": np.array([0, 1, 3, 4, 5, 6, 8]), "tree": tree, "round": 5, "settings": {**boosting.DEFAULTS, "subsample": 0.6}}
+        rows, picked = fold.learned(job, codes)
+        assert (rows == np.flatnonzero((role == histograms.TRAIN) & histograms._drawn(rid, job))).all()
+        node = _own_way_down(tree, codes, level)[rows]
+        found = dict(histograms._job_sums(job, fold, (rows, picked), error))
+        assert sorted(k for k in found if k >= 0) == sorted(set(node.tolist())) and ({-1, -2} <= set(found)) == (level == 0)
+        for at, sums in found.items():
+            if at < 0:
+                e = error[role == (histograms.EVALUATE if at == -1 else histograms.TEST)]
+                assert sums == pytest.approx([len(e), (e * e).sum(), np.abs(e).sum()])
+                continue
+            g, h = sums.reshape(2, 7, histograms.BINS)
+            for j, c in enumerate(job["columns"]):
+                mine = rows[node == at]
+                assert (h[j] == np.bincount(codes[mine, c], minlength=32)).all()
+                assert g[j] == pytest.approx(np.bincount(codes[mine, c], error[mine], 32), abs=1e-9)
