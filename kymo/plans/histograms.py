@@ -221,30 +221,33 @@ def _drawn(rid: np.ndarray, job: dict) -> np.ndarray:
         return np.ones(len(rid), bool)
     key = (job["settings"]["seed"] * 0x9E3779B97F4A7C15 + job["round"] * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
     x = rid.view(np.uint64) ^ np.uint64(key)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return (x >> np.uint64(11)).astype(float) < share * 2.0**53
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(factor)
+    x >>= np.uint64(11)
+    return x.astype(float) < share * 2.0**53
 
 
 @dataclass
 class _Fold:
-    """The places of a fold's rows by role, and the ids of those it learns from."""
+    """The places of a fold's rows by role, the ids of those it learns from, and room for their codes."""
 
     places: dict[int, np.ndarray]
     rid: np.ndarray
+    room: np.ndarray
 
     @staticmethod
-    def of(role: np.ndarray, rid: np.ndarray) -> _Fold:
+    def of(role: np.ndarray, rid: np.ndarray, width: int) -> _Fold:
         places = {kind: np.flatnonzero(role == kind) for kind in (TRAIN, EVALUATE, TEST)}
-        return _Fold(places, rid.take(places[TRAIN]))
+        return _Fold(places, rid.take(places[TRAIN]), np.empty((width, len(places[TRAIN])), np.uint8))
 
     def learned(self, job: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the rows that a round learns from, and their codes of its columns; all levels use them."""
+        """Places of the rows that a round learns from, and their codes of its columns, until the next
+        call; all levels use them."""
         rows = self.places[TRAIN][_drawn(self.rid, job)]
-        picked = np.empty((len(rows), codes.shape[1]), np.uint8, order="F")
         for c in job["columns"]:
-            picked[:, c] = codes[:, c].take(rows)
-        return rows, picked
+            np.take(codes[:, c], rows, out=self.room[c, : len(rows)], mode="clip")  # no copy between
+        return rows, self.room[:, : len(rows)].T
 
 
 def _joined(sizes: list[int], nodes: int, most: int) -> list[list[int]]:
@@ -310,7 +313,7 @@ def _summed(jobs, order: dict[int, int], width: int):
             total[key] = total[key] + x if key in total else x
 
         for rid, y, roles, codes, so_far in _blocks(batches):
-            folds = [_Fold.of(roles[:, f], rid) for f in range(roles.shape[1])]
+            folds = [_Fold.of(roles[:, f], rid, width) for f in range(roles.shape[1])]
             for job in jobs.value:
                 fold = folds[job["fold"]]
                 error = y - _predictions(job, codes, so_far, order)
@@ -432,10 +435,11 @@ def _grown_alone(lanes, order: dict[int, int], width: int, rounds: int, patience
         boosters = lanes.value[head.column("lane")[0].as_py()]
         held = {b.number: i for i, b in enumerate(b for b in boosters if b.number in order)}
         rid, y, roles, codes, so_far = _whole(itertools.chain([head], batches))
+        del head  # its bytes are in arrays now
         folds: dict[int, _Fold] = {}
         for booster in boosters:
             job, learned = booster.job(), None
-            fold = folds[job["fold"]] = folds.get(job["fold"]) or _Fold.of(roles[:, job["fold"]], rid)
+            fold = folds[job["fold"]] = folds.get(job["fold"]) or _Fold.of(roles[:, job["fold"]], rid, width)
             now = _predictions(job, codes, so_far, held)
             stop = (len(booster.trees) // ROUNDS + 1) * ROUNDS
             # ends where the errors after ``stop`` trees are known
@@ -446,7 +450,7 @@ def _grown_alone(lanes, order: dict[int, int], width: int, rounds: int, patience
                 found = {node: _decided(job, node, x) for node, x in _job_sums(job, fold, learned, error)}
                 _advance(booster, found, width, booster.settings.get("rounds", rounds), patience)
                 for tree in booster.trees[known:]:
-                    now = now + tree.predict(codes)
+                    now += tree.predict(codes)
             yield pa.RecordBatch.from_arrays([pa.array([booster.number]), pa.array([pickle.dumps(booster)])], ["booster", "state"])
 
     return run

@@ -323,7 +323,7 @@ def test_columns_counted_together_have_their_own_sums():
     role, rid, error = rng.integers(0, 4, n).astype(np.uint8), rng.integers(0, 1 << 62, n), rng.normal(size=n)
     tree = histograms.Tree.empty(3)
     tree.feature[:], tree.cut[:] = (0, 1, 8, 3, 4, 6, 5), (7, 15, 9, 3, histograms.NO_SPLIT, 30, 4)
-    fold = histograms._Fold.of(role, rid)
+    fold = histograms._Fold.of(role, rid, len(sizes))
     assert max(map(len, histograms._joined(sizes, 1, n // 16))) > 2 and set(map(len, histograms._joined(sizes, 1, 0))) == {1}
     for level in range(4):
         job = {"level": level, "columns": np.array([0, 1, 3, 4, 5, 6, 8]), "tree": tree, "round": 5, "settings": {**boosting.DEFAULTS, "subsample": 0.6}}
